@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import n_words, table, written
 
 #: The query's weights, repeating over the sources by code point, null last.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -91,7 +91,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_shar
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.md5(text)))
     base = docs.select(*keep, n_words(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"))
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # what the sums and the cut search need, without texts: they read it several times
+    slim = written(base.select("source", "hash", "size"), "mix")
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     if isinstance(weights, dict):
         table_of = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_shar
     rows = plan.select("source", "source_size", "target", "whole", "want").collect()
     spark = docs.sparkSession
     plan = spark.createDataFrame(rows, "s_source string, source_size long, target double, whole long, want double")
-    cuts = _cut(base.select("source", "hash", "size").filter("size > 0"), plan.filter("want > 0").select("s_source", "want")).withColumnRenamed("s_source", "c_source")
+    cuts = _cut(slim.filter("size > 0"), plan.filter("want > 0").select("s_source", "want")).withColumnRenamed("s_source", "c_source")
     plan = plan.join(F.broadcast(cuts), F.expr("s_source <=> c_source"), "left").drop("c_source")
     out = base.join(F.broadcast(plan), F.expr("source <=> s_source"), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("hash") < F.coalesce(F.col("cut"), F.lit(0)), 1).otherwise(0)).otherwise(0)
@@ -149,7 +151,7 @@ runs as (
   select b.source, b.hash, sum(b.size) as here, sum(sum(b.size)) over (partition by b.source order by b.hash) as upto
   from base b where b.size > 0 group by b.source, b.hash),
 cuts as (
-  select p.source, min(case when upto >= want then {'a': hash, 'b': upto - here, 'c': here} end) as x, any_value(want) as want
+  select p.source, min(case when upto >= want then struct_pack(a := hash, b := upto - here, c := here) end) as x, any_value(want) as want
   from (select *, greatest(target - whole * source_size, 0) as want from plans) p join runs r on p.source is not distinct from r.source
   where want > 0 group by p.source),
 cut as (
