@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import bpe, mixing, url_filter
 
 _MODULES = {
     "op4_url_filter": url_filter,
     "op5_mixing": mixing,
+    "op8_bpe": bpe,
 }
 
 
