@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import pretokens
 from .common import table
@@ -257,7 +258,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
                 arrays.append(pa.array([np.concatenate(k) if k else np.empty(0, np.int32) for k in kept], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *new])
 
-    schema = rows.schema
+    schema = StructType(list(rows.schema.fields))
     for name, kind in new.items():
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
