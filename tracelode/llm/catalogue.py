@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, url_filter
+from . import bpe, mixing, token_counts, url_filter
 
 _MODULES = {
     "op4_url_filter": url_filter,
     "op5_mixing": mixing,
     "op8_bpe": bpe,
+    "op9_token_counts": token_counts,
 }
 
 
