@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, token_counts, url_filter
+from . import bpe, mixing, token_counts, url_filter, warc
 
 _MODULES = {
     "op4_url_filter": url_filter,
     "op5_mixing": mixing,
+    "op6_warc": warc,
     "op8_bpe": bpe,
     "op9_token_counts": token_counts,
 }
