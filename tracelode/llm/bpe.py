@@ -258,10 +258,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
                 arrays.append(pa.array([np.concatenate(k) if k else np.empty(0, np.int32) for k in kept], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *new])
 
-    schema = StructType(list(rows.schema.fields))
-    for name, kind in new.items():
-        schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields) + StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

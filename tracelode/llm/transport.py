@@ -297,9 +297,7 @@ def inspected(df: DataFrame, media_col: str = "media", keep_payload: bool = Fals
     new = FACTS | ({"payload": "binary"} if keep_payload else {})
     keep = [c for c in df.columns if c not in new and c != media_col]
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`").alias(media_col))
-    schema = StructType(list(rows.schema.fields)[:-1])
-    for name, kind in new.items():
-        schema = schema.add(name, kind)
+    schema = StructType(list(rows.schema.fields)[:-1] + StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
