@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, token_counts, transport, url_filter, warc
+from . import bpe, mixing, simhash, token_counts, transport, url_filter, warc
 
 _MODULES = {
+    "op1_simhash": simhash,
     "op2_transport_stream": transport,
     "op4_url_filter": url_filter,
     "op5_mixing": mixing,
