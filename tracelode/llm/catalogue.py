@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash, token_counts, transport, url_filter, warc
+from . import ann, bpe, mixing, simhash, token_counts, transport, url_filter, warc
 
 _MODULES = {
     "op1_simhash": simhash,
@@ -10,6 +10,7 @@ _MODULES = {
     "op4_url_filter": url_filter,
     "op5_mixing": mixing,
     "op6_warc": warc,
+    "op7_ann": ann,
     "op8_bpe": bpe,
     "op9_token_counts": token_counts,
 }
