@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, simhash, token_counts, transport, url_filter, warc
+from . import ann, bpe, mixing, quality, simhash, token_counts, transport, url_filter, warc
 
 _MODULES = {
     "op1_simhash": simhash,
     "op2_transport_stream": transport,
+    "op3_quality": quality,
     "op4_url_filter": url_filter,
     "op5_mixing": mixing,
     "op6_warc": warc,
