@@ -9,6 +9,7 @@ of about ARCHIVE_BYTES, so that a task reads it back whole; a larger record has
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -84,9 +85,9 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def write_archives(rows: DataFrame, path: str) -> None:
-    """Writes rows (see records) below path: a file for each partition, text by name and WARC 1.1 by content."""
+    """Writes rows (see records) below path: a file for each partition, .txt.gz by name and compressed WARC 1.1 by content."""
     # the bytes go through Spark's text writer as they are; it checks no encoding
-    records(rows).select(F.col("record").cast("string").alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    records(rows).select(F.col("record").cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -125,7 +126,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for x in b.column(0):
                 rows, held = [], 0
-                for head, body in parse(x.as_py()):
+                for head, body in parse(gzip.decompress(x.as_buffer())):
                     digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
                     rows.append((head.get("x-source-id") or None, head.get("warc-target-uri"), head["warc-type"], digest, int(head.get("x-payload-length", len(body))), head.get("x-refers-to-source-id"), bytes(body)))
                     held += len(body)
