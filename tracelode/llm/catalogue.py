@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, quality, simhash, token_counts, transport, url_filter, warc
+from . import ann, bpe, mixing, quality, repeats, simhash, token_counts, transport, url_filter, warc
 
 _MODULES = {
     "op1_simhash": simhash,
@@ -13,6 +13,7 @@ _MODULES = {
     "op6_warc": warc,
     "op7_ann": ann,
     "op8_bpe": bpe,
+    "op10_repeats": repeats,
     "op9_token_counts": token_counts,
 }
 
