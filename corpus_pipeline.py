@@ -1,6 +1,64 @@
-"""The corpus pipeline: documents through filtering, deduplication, mixing and encoding."""
+"""The corpus pipeline: documents through filtering, deduplication, mixing and encoding.
+
+Each stage takes all that the one before kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelode.llm import bpe, mixing, quality, repeats, simhash
+from tracelode.llm.common import table, written
+
+#: Near-duplicates: words of a shingle, and the least similarity.
+WORDS, SIMILARITY = 5, 0.8
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifiers find neither low nor toxic."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).filter("keep").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.deduplicated(docs, words=WORDS, similarity=SIMILARITY)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that occur twice; n_chars follows."""
+    out = repeats.without_repeats(docs, new_text=True).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the text they decode to."""
+    import public_tokenizers
+
+    out = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=True)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: SQL expresses neither fitted classifiers nor byte-pair merges.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

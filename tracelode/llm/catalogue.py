@@ -19,7 +19,9 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: getattr(module, name) for name, module in _MODULES.items()}
+    import corpus_pipeline
+
+    return {name: getattr(module, name) for name, module in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

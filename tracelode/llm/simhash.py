@@ -160,3 +160,97 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents within two bits of 64, by shingles of three words."""
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def bit_limit(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of texts with this Jaccard similarity differ: what is expected, and a deviation more.
+
+    Sets of a Jaccard similarity s meet at an angle whose cosine is 2s / (1 + s), and each bit tells a random plane's sides.
+    """
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(tid, signature, doubts) of texts(tid, text): LANES words of bits, and of each segment the FLIPS bits with the smallest margins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # texts of this task; copies add nothing
+        for b in batches:
+            tids, bits, doubts = [], [], []
+            for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if tid in seen:
+                    continue
+                seen.add(tid)
+                margins = bit_margins(shingle_hashes(text, words), LANES)
+                tids.append(tid)
+                bits.append(np.packbits(margins > 0).tobytes())
+                doubts.append(np.argsort(np.abs(margins).reshape(-1, SEGMENT), axis=1, kind="stable")[:, :FLIPS].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(bits, pa.binary()), pa.array(doubts, pa.binary())], names=["tid", "signature", "doubts"])
+
+    return texts.mapInArrow(run, "tid long, signature binary, doubts binary")
+
+
+def _lookups(sketched: DataFrame) -> DataFrame:
+    """(key, tid): of every segment the values in the ball that its doubtful bits span."""
+    segments = LANES * 64 // SEGMENT
+    chosen = np.array(list(itertools.product((0, 1), repeat=FLIPS)), np.uint32)  # each subset of the doubtful bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            value = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(-1, segments, 1).astype(np.uint32)
+            doubt = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, segments, 1, FLIPS)
+            mask = ((np.uint32(1) << (31 - doubt).astype(np.uint32)) * chosen).sum(axis=3, dtype=np.uint32)
+            key = (np.arange(segments, dtype=np.int64) << 32)[:, None] | (value ^ mask).astype(np.int64)
+            tid = np.repeat(b.column(0).to_numpy(), segments * len(chosen))
+            key = key.reshape(-1)
+            for low in range(0, len(key), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[low : low + 500_000]), pa.array(tid[low : low + 500_000])], names=["key", "tid"])
+
+    return sketched.mapInArrow(run, "key long, tid long")
+
+
+def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(tid, root) of the texts(tid, text) that have near-duplicates: components of pairs of at least this similarity.
+
+    A fingerprint of LANES * 64 bits falls into segments of SEGMENT bits. Every text looks up, in each segment's
+    table, the values reached by flipping its least certain bits, and is in the table under them too, so two texts
+    meet where their differences in a segment lie among the doubtful bits of either. Those that meet are linked to
+    one of them, chosen at random for each value, if the complete fingerprints are near enough; a value that very
+    many share costs each of them one row. At a similarity of 0.8 two texts alone meet in 84 of 100 cases, at
+    0.85 in 97, at 0.9 nearly always; members of larger groups have more ways to meet.
+    """
+    limit = bit_limit(similarity, LANES * 64)
+    sketched = written(sketches(texts, words), "sketches")
+    found = _lookups(sketched)
+    mixed = F.col("tid").bitwiseXOR(F.xxhash64("key"))
+    met = found.groupBy("key").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).filter("low <> high")
+    met = met.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("leader"))
+    pairs = found.join(met, "key").filter("tid <> leader").select(F.greatest("tid", "leader").alias("a"), F.least("tid", "leader").alias("b"))
+    pairs = written(pairs.distinct(), "met")
+    lanes = [F.conv(F.hex(F.substring("signature", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(LANES)]
+    bits = sketched.groupBy("tid").agg(F.first("signature").alias("signature")).select("tid", *[x.alias(f"s{i}") for i, x in enumerate(lanes)])
+    one = bits.select(F.col("tid").alias("a"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(LANES)])
+    two = bits.select(F.col("tid").alias("b"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(LANES)])
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, LANES)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    near = pairs.join(one, "a").join(two, "b").filter(apart <= limit).select("a", "b")
+    return components(near).withColumnRenamed("node", "tid")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest id, nulls last, then the smallest text hash.
+
+    Equal texts are near-duplicates, empty and null texts of one another too. Of rows that repeat an id with the
+    same text, one stays. All columns pass through.
+    """
+    tid = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    roots = written(similar_groups(docs.select(tid.alias("tid"), F.col(f"`{text_col}`").alias("text")), words, similarity), "groups")
+    slim = written(docs.select(F.col(f"`{id_col}`").alias("id"), tid.alias("tid")), "ids")
+    known = slim.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.tid").alias("__tid"))
+    out = docs.withColumn("__hash", tid).join(best, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tid")), "left_semi")
+    if slim.groupBy("id", "tid").count().filter("count > 1").head(1):
+        out = out.dropDuplicates([id_col, "__hash"])
+    return out.drop("__hash")
