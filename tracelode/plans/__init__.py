@@ -1 +1,3 @@
 """The query catalogue with its DuckDB counterparts."""
+
+from . import sessions, texts  # noqa: F401
