@@ -192,7 +192,7 @@ def test_mixing(spark):
 
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(800)] + [(900, None, "a"), (901, "x", "z"), (901, "x", "z"), (None, "y", "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("text", "text").selectExpr("*", "1 as size")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as hash", "3 as whole")
     got = mixing.mix(df).collect()
     assert len(got) == len(rows) and got == mixing.mix(df).collect()
     sizes = collections.Counter()
@@ -217,5 +217,7 @@ def test_mixing(spark):
         taken[r.source] += r.copies * r.size
         most[r.source] = max(most[r.source], r.size)
     assert all(abs(taken[s] - target[s]) <= most[s] for s in order)
-    assert len(mixing.mixed_rows(df).columns) == len(df.columns)
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns and mixed.filter("size <> 1 or hash <> 2 or whole <> 3").count() == 0
+    assert mixed.count() == sum(r.copies if r.text and r.text.split() else 1 for r in got)
     assert mixing.mix(df.limit(0)).count() == 0

@@ -77,28 +77,20 @@ def _cut(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select(F.col("s_source"), (F.col("low") + F.when(F.col("want") * 2 >= F.col("last"), 1).otherwise(0)).alias("cut"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Every row of docs(doc_id, text, source) with size, source_size, target and copies (repetitions taken).
-
-    weights: by source name, or a tuple that repeats over the sources by code point, null last. Null text has no
-    words. A null source is a source of its own. The seeded hash is of doc_id and the text, so repeated rows and
-    reruns get the same copies; rows with equal hashes are taken or left together. Empty tables give no rows. A
-    source without words has target 0 and its documents no copies. Extra columns pass through untouched, and the
-    columns made here replace any of the same name. The sums by source are one row a source and are broadcast:
-    their number is that of the weights a user lists, not of the documents.
-    """
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+def _taken(docs: DataFrame, weights: tuple[float, ...] | dict, total_share: float, max_epochs: float, seed: str) -> DataFrame:
+    """docs with __size, __source_size, __target and __copies beside its own columns."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.md5(text)))
-    base = docs.select(*keep, n_words(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"))
+    base = docs.withColumns({"__size": n_words(F.col("text")), "__hash": F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")})
     # what the sums and the cut search need, without texts: they read it several times
-    slim = written(base.select("source", "hash", "size"), "mix")
+    slim = written(base.select("source", F.col("__hash").alias("hash"), F.col("__size").alias("size")), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     if isinstance(weights, dict):
         table_of = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
         sources = sizes.withColumn("weight", F.coalesce(table_of[F.col("source")], F.lit(0.0)).cast("double"))
     else:
+        order = Window.orderBy(F.col("source").isNull(), F.col("source"))
         values = F.array(*[F.lit(float(w)) for w in weights])
         sources = sizes.withColumn("weight", F.element_at(values, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
     filled = water_fill(sources, total_share, max_epochs)
@@ -106,20 +98,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_shar
     plan = filled.withColumn("whole", F.floor(rate + F.lit(1e-12)).cast("long"))
     plan = plan.withColumn("want", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     rows = plan.select("source", "source_size", "target", "whole", "want").collect()
-    spark = docs.sparkSession
     plan = spark.createDataFrame(rows, "s_source string, source_size long, target double, whole long, want double")
     cuts = _cut(slim.filter("size > 0"), plan.filter("want > 0").select("s_source", "want")).withColumnRenamed("s_source", "c_source")
-    plan = plan.join(F.broadcast(cuts), F.expr("s_source <=> c_source"), "left").drop("c_source")
-    out = base.join(F.broadcast(plan), F.expr("source <=> s_source"), "left")
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("hash") < F.coalesce(F.col("cut"), F.lit(0)), 1).otherwise(0)).otherwise(0)
-    return out.select(*keep, "size", "source_size", "target", copies.cast("long").alias("copies"))
+    plan = plan.join(F.broadcast(cuts), F.expr("s_source <=> c_source"), "left")
+    plan = plan.select(F.col("s_source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.coalesce("cut", F.lit(0)).alias("__cut"))
+    copies = F.when(F.col("__size") > 0, F.col("__whole") + F.when(F.col("__hash") < F.col("__cut"), 1).otherwise(0)).otherwise(0)
+    out = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", copies.cast("long"))
+    return out.drop("__hash", "__source", "__whole", "__cut")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """Every row of docs(doc_id, text, source) with size, source_size, target and copies (repetitions taken).
+
+    weights: by source name, or a tuple that repeats over the sources by code point, null last. Null text has no
+    words. A null source is a source of its own. The seeded hash is of doc_id and the text, so repeated rows and
+    reruns get the same copies; rows with equal hashes are taken or left together. Empty tables give no rows. A
+    source without words has target 0 and its documents no copies. Extra columns pass through untouched, and the
+    columns made here replace any of the same name. The sums by source are one row a source and are broadcast:
+    their number is that of the weights a user lists, not of the documents.
+    """
+    new = ("size", "source_size", "target", "copies")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    return _taken(docs, weights, total_share, max_epochs, seed).select(*keep, *[F.col(f"__{c}").alias(c) for c in new])
 
 
-def mixed_rows(docs: DataFrame, **kw) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """docs with each row as many times as the mix takes it. Documents without words take no part in the shares and stay once."""
-    columns = docs.columns
-    times = F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int")
-    return mix(docs, **kw).filter(times > 0).withColumn("copy_no", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    times = F.when(F.col("__size") > 0, F.col("__copies")).otherwise(1).cast("int")
+    out = _taken(docs, weights, total_share, max_epochs, seed).filter(times > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
