@@ -1,10 +1,13 @@
 """Token counts without token ids.
 
 Two passes split the texts into pre-tokens. The first gathers the distinct ones, and the library counts the pieces
-of each once. The second gives, for each slice of documents, every pre-token with the documents that hold it and
+of each once. The second gives, for each batch of documents, every pre-token with the documents that hold it and
 how often; joined to the counts, these add up to the documents' token counts. Entries are three bytes, so that
 even a pre-token of nearly all documents is a small part of the rows, and the join can be split by Spark where
-it is skewed, since the counts have one row a pre-token.
+it is skewed, since the counts have one row a pre-token. The sums go back to their batch as a block a task.
+
+Pre-tokens that are entries of the vocabulary, which is of fixed size, are counted once where the texts are split
+and take no part in the join; the most frequent ones are among them.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from . import pretokens
 from .common import table
@@ -26,6 +30,7 @@ from .common import table
 #: Characters split at once, and rows of a slice (their numbers take 16 bits).
 SLICE, ROWS = 3_000_000, 50_000
 ENTRY = np.dtype([("row", "<u2"), ("times", "u1")])
+SUM = np.dtype([("row", "<u2"), ("tokens", "<u4")])
 #: Sums that a task holds before it hands them on.
 HELD = 2_000_000
 LIMIT = 512
@@ -50,6 +55,18 @@ def tokenizer(path: str):
     return t, sorted((x["content"] for x in added), key=len, reverse=True)
 
 
+@cache
+def known(path: str) -> tuple[pa.StringArray, np.ndarray]:
+    """The vocabulary's entries that are pre-tokens, and how many pieces each has."""
+    t = tokenizer(path)[0]
+    words = sorted({t.decode([i], skip_special_tokens=False) for i in range(t.get_vocab_size(with_added_tokens=False))})
+    words = [w for w in words if w and "\ufffd" not in w and "\n" not in w]
+    s = pretokens.split(words)
+    whole = np.bincount(s.text, minlength=len(words)) == 1
+    words = [w for w, ok in zip(words, whole.tolist(), strict=True) if ok]
+    return pa.array(words, pa.string()), np.array([len(e) for e in t.encode_batch_fast(words, add_special_tokens=False)], np.int64)
+
+
 def _parts(texts: list[str], added: list[str]) -> tuple[list[int], list[str], np.ndarray]:
     """The texts between added tokens, whose text each is of, and how many added tokens each text has."""
     import re
@@ -88,9 +105,15 @@ def piece_counts(texts: DataFrame, path: str) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = tokenizer(path)[1]
         for _, group in _batches(batches, 0):
+            found, entries = pa.array([], pa.string()), known(path)[0]
             for _, part in pretokens.slices(_parts(group, added)[1], SLICE):
                 s = pretokens.split(part)
-                yield pa.RecordBatch.from_arrays([_strings(s, pretokens.distinct(s)[0])], names=["pretoken"])
+                words = _strings(s, pretokens.distinct(s)[0])
+                found = pa.concat_arrays([found, words.filter(pc.invert(pc.is_in(words, entries)))]).unique()
+                if len(found) > HELD:
+                    yield pa.RecordBatch.from_arrays([found], names=["pretoken"])
+                    found = found[:0]
+            yield pa.RecordBatch.from_arrays([found], names=["pretoken"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)[0]
@@ -103,26 +126,42 @@ def piece_counts(texts: DataFrame, path: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, path: str) -> DataFrame:
-    """Per slice of rows: (pretoken, batch, entries), and one row with the rows' ids, sizes and added tokens.
+    """Per batch of rows: (pretoken, batch, entries), and one row with the rows' ids, sizes and what is counted already.
 
     That row's pre-token is a NUL and a number, which is no match of the pattern, so it spreads over the join's
     partitions and meets no count.
     """
-    kind = docs.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        added = tokenizer(path)[1]
+        added, (entry_words, entry_pieces) = tokenizer(path)[1], known(path)
         batch = TaskContext.get().partitionId() << 32
+        names = ["pretoken", "batch", "entries", "rows"]
         for b, texts in _batches(batches, 1):
-            number, parts, special = _parts(texts, added)
+            number, parts, counted = _parts(texts, added)
             number = np.array(number, np.int64)
-            info = pa.StructArray.from_arrays(
-                [b.column(0), pa.array(np.arange(len(texts), dtype=np.int32)), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(special)],
-                names=["id", "row", "n_bytes", "special"],
-            )
-            rows = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), info)
-            names = ["pretoken", "batch", "entries", "rows"]
-            yield pa.RecordBatch.from_arrays([pa.array([f"\0{batch}"]), pa.array([batch]), pa.array([None], pa.binary()), rows], names=names)
+            words, pairs, held = [], [], 0
+
+            def merged() -> pa.RecordBatch:
+                """A row for each unknown pre-token of the slices held, with its entries one after the other; the known ones are counted."""
+                both = pa.concat_arrays(words).dictionary_encode()
+                code = both.indices.to_numpy()
+                shift = np.cumsum([0, *map(len, words[:-1])])
+                word = np.concatenate([code[w + k] for k, (w, _) in zip(shift, pairs, strict=True)])
+                entries = np.concatenate([e for _, e in pairs])
+                place = pc.index_in(both.dictionary, entry_words).fill_null(-1).to_numpy()
+                of = place[word]
+                here = of >= 0
+                counted[:] += np.bincount(entries["row"][here], weights=entry_pieces[of[here]] * entries["times"][here], minlength=len(counted)).astype(np.int64)
+                rest = np.flatnonzero(place < 0)
+                renumbered = np.full(len(place), -1)
+                renumbered[rest] = np.arange(len(rest))
+                word, entries = renumbered[word[~here]], entries[~here]
+                entries = entries[np.argsort(word, kind="stable")]
+                upto = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(rest))))) * ENTRY.itemsize
+                blobs = pa.Array.from_buffers(pa.binary(), len(rest), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(entries.tobytes())])
+                return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(rest)), pa.array(np.full(len(rest), batch)), blobs, pa.nulls(len(rest), rows_type)], names=names)
+
+            rows_type = pa.list_(pa.struct([("id", b.schema.field(0).type), ("n_bytes", pa.int64()), ("counted", pa.int64())]))
             for of, part in pretokens.slices(parts, SLICE):
                 s = pretokens.split(part)
                 rep, which = pretokens.distinct(s)
@@ -131,43 +170,50 @@ def _postings(docs: DataFrame, path: str) -> DataFrame:
                 pair, times = np.unique(which.astype(np.int64) * ROWS + number[of][s.text], return_counts=True)
                 more = -(-times // 255)  # entries for a count
                 pair, last = np.repeat(pair, more), np.cumsum(more) - 1
-                amount = np.full(len(pair), 255, np.uint8)
-                amount[last] = times - (more - 1) * 255
                 entries = np.empty(len(pair), ENTRY)
-                entries["row"], entries["times"] = pair % ROWS, amount
-                upto = np.searchsorted(pair, np.arange(len(rep) + 1) * ROWS) * ENTRY.itemsize
-                blobs = pa.Array.from_buffers(pa.binary(), len(rep), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(entries.tobytes())])
-                yield pa.RecordBatch.from_arrays([_strings(s, rep), pa.array(np.full(len(rep), batch)), blobs, pa.nulls(len(rep), rows.type)], names=names)
+                entries["row"], entries["times"] = pair % ROWS, 255
+                entries["times"][last] = times - (more - 1) * 255
+                words.append(_strings(s, rep))
+                pairs.append((pair // ROWS, entries))
+                held += len(pair)
+                if held > HELD * 3:
+                    yield merged()
+                    words, pairs, held = [], [], 0
+            if words:
+                yield merged()
+            facts = pa.StructArray.from_arrays([b.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counted)], names=["id", "n_bytes", "counted"])
+            rows = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), facts)
+            yield pa.RecordBatch.from_arrays([pa.array([f"\0{batch}"]), pa.array([batch]), pa.array([None], pa.binary()), rows], names=names)
             batch += 1
 
-    info = StructType().add("id", kind).add("row", IntegerType()).add("n_bytes", LongType()).add("special", LongType())
-    return docs.mapInArrow(run, StructType().add("pretoken", StringType()).add("batch", LongType()).add("entries", BinaryType()).add("rows", ArrayType(info)))
+    facts = StructType().add("id", docs.schema["id"].dataType).add("n_bytes", LongType()).add("counted", LongType())
+    return docs.mapInArrow(run, StructType().add("pretoken", StringType()).add("batch", LongType()).add("entries", BinaryType()).add("rows", ArrayType(facts)))
 
 
-def _sums(joined: DataFrame, kind: DataType) -> DataFrame:
-    """(batch, row, tokens, id, n_bytes): sums of pieces as far as a task's memory allows, and each row's own facts."""
+def _sums(joined: DataFrame) -> DataFrame:
+    """(batch, sums, rows) of (pieces, batch, entries, rows): a block of SUM for each batch, and the rows' own facts as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         sums: list[np.ndarray] = []
-        held, names, empty = 0, ["batch", "row", "tokens", "id", "n_bytes"], None
+        held, kind, names = 0, None, ["batch", "sums", "rows"]
 
         def folded() -> tuple[np.ndarray, np.ndarray]:
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             return key, np.bincount(at, weights=np.concatenate(sums), minlength=len(key)).astype(np.int64)
 
-        def batch_of(key: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-            arrays = [pa.array(key >> 16), pa.array((key & 0xFFFF).astype(np.int32)), pa.array(total), pa.nulls(len(key), empty), pa.nulls(len(key), pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+        def blocks(key: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.concatenate(([True], key[1:] >> 16 != key[:-1] >> 16)))
+            out = np.empty(len(key), SUM)
+            out["row"], out["tokens"] = key & 0xFFFF, total
+            of_batch = [out[a:z].tobytes() for a, z in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(key[first] >> 16), pa.array(of_batch, pa.binary()), pa.nulls(len(first), kind)], names=names)
 
         for b in batches:
-            empty = b.schema.field("rows").type.value_type.field("id").type
+            kind = b.schema.field("rows").type
             heads = b.filter(b.column("rows").is_valid())
             if heads.num_rows:
-                rows = heads.column("rows")
-                facts = rows.flatten()
-                batch = np.repeat(heads.column("batch").to_numpy(), rows.value_lengths().to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(batch), facts.field("row"), facts.field("special"), facts.field("id"), facts.field("n_bytes")], names=names)
+                yield pa.RecordBatch.from_arrays([heads.column("batch"), pa.nulls(heads.num_rows, pa.binary()), heads.column("rows")], names=names)
             b = b.filter(b.column("entries").is_valid())
             if not b.num_rows:
                 continue
@@ -175,24 +221,52 @@ def _sums(joined: DataFrame, kind: DataType) -> DataFrame:
             offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + b.num_rows + 1].astype(np.int64)
             data = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(ENTRY)
             n = np.diff(offsets) // ENTRY.itemsize
-            key = np.repeat(b.column("batch").to_numpy() << 16, n) | data["row"]
-            keys.append(key)
+            keys.append(np.repeat(b.column("batch").to_numpy() << 16, n) | data["row"])
             sums.append(np.repeat(b.column("pieces").to_numpy().astype(np.int64), n) * data["times"])
-            held += len(key)
+            held += len(data)
             if held > 2 * HELD:
                 key, total = folded()
                 if len(key) > HELD:
-                    yield batch_of(key, total)
+                    yield blocks(key, total)
                     keys, sums, held = [], [], 0
                 else:
                     keys, sums, held = [key], [total], len(key)
         if keys:
-            yield batch_of(*folded())
+            yield blocks(*folded())
 
-    schema = StructType().add("batch", LongType()).add("row", IntegerType()).add("tokens", LongType()).add("id", kind).add("n_bytes", LongType())
+    schema = StructType().add("batch", LongType()).add("sums", BinaryType()).add("rows", joined.schema["rows"].dataType)
     return joined.select("pieces", "batch", "entries", "rows").mapInArrow(run, schema)
 
 
+def _totals(blocks: DataFrame) -> DataFrame:
+    """(id, n_bytes, n_tokens) of each row, a batch after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, facts = None, np.zeros(0, np.int64), None
+
+        def done() -> pa.RecordBatch:
+            tokens = facts.field("counted").to_numpy() + total[: len(facts)]
+            return pa.RecordBatch.from_arrays([facts.field("id"), facts.field("n_bytes"), pa.array(tokens)], names=["id", "n_bytes", "n_tokens"])
+
+        for b in batches:
+            for batch, sums, rows in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if batch != now:
+                    if now is not None:
+                        yield done()
+                    now, total = batch, np.zeros(ROWS, np.int64)
+                if sums.is_valid:
+                    x = np.frombuffer(sums.as_buffer(), SUM)
+                    total[x["row"]] += x["tokens"]  # a block has each row once
+                else:
+                    facts = rows.values
+        if now is not None:
+            yield done()
+
+    facts = blocks.schema["rows"].dataType.elementType
+    schema = StructType().add("id", facts["id"].dataType).add("n_bytes", LongType()).add("n_tokens", LongType())
+    return blocks.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, schema)
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """A row for each row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -202,9 +276,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     joined = _postings(docs, path).join(piece_counts(docs.select("text"), path), "pretoken", "left")
-    by_row = _sums(joined, docs.schema["id"].dataType).groupBy("batch", "row")
-    counted = by_row.agg(F.first("id", ignorenulls=True).alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
-    return counted.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return _totals(_sums(joined)).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
