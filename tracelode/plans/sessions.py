@@ -230,7 +230,7 @@ both(
 )
 both("W7_paging", "select conv_id, turn, role from {conversations} where role = 'user' order by conv_id desc, turn desc limit 50 offset 20")
 both("W8_changes", "select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from {events}) x where before <> event_type")
-both("W9_evolution", "select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as version from {lineitem} where l_partkey < 50")
+both("W9_evolution", "select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as version from {lineitem}")
 both(
     "W10_sparkline",
     """select day, substr('12345678', cast(case when hi = lo then 4 else round((v - lo) / (hi - lo) * 7) + 1 end as int), 1) as glyph from (
@@ -261,7 +261,7 @@ both("J5_context", "select o.o_orderkey, count(*) as n, round(sum(l.l_quantity),
 both("J6_annotations", "select d.doc_id, d.source, l.quality, l.toxic from {documents} d left join {labels} l on d.doc_id = l.doc_id")
 both(
     "J7_interval",
-    """with s as (select o_custkey, min(o_orderdate) as a, max(o_orderdate) as b from {orders} where o_custkey < 60 group by o_custkey)
+    """with s as (select o_custkey, min(o_orderdate) as a, max(o_orderdate) as b from {orders} group by o_custkey)
     select s.o_custkey, count(*) as within_span from s join {orders} o on o.o_orderdate between s.a and s.b and o.o_custkey = s.o_custkey + 1 group by s.o_custkey""",
 )
 both("J9_parent_child", "select p.conv_id, p.turn as parent, c.turn as child, c.role from {conversations} p join {conversations} c on c.conv_id = p.conv_id and c.turn = p.turn + 1")
