@@ -105,7 +105,8 @@ def fuzzy_matches(texts: DataFrame, text_col: str, pattern: str, threshold: int
     """Rows whose text matches with at least this score; rows without the characters in order never reach Python."""
     import re
 
-    likely = F.col(text_col).rlike("(?is)" + ".*?".join(re.escape(c) for c in pattern))
+    # each gap excludes the character that ends it, so the expression never goes back over the text
+    likely = F.col(text_col).rlike("(?is)^" + "".join(f"[^{re.escape(c)}]*{re.escape(c)}" for c in pattern))
 
     @F.pandas_udf("int")
     def score(s: pd.Series) -> pd.Series:
