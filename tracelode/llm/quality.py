@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, values, written
 
 #: Bounds of what the classifiers are fitted on: labelled rows, rows of the unlabelled pool, words for each target.
 LABELLED, POOL, WORDS = 12_000, 8_000, 400
@@ -64,9 +64,9 @@ class Features:
         self.known = frozenset(words)
         self.find = re.compile(r"[^\W\d_]+").findall
 
-    def of(self, texts: list[str | None], langs: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: Iterator, langs: Iterator, sources: Iterator, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         numbers, count = [], []
-        meta = np.zeros((len(texts), SHAPES + LANGS + SOURCES), np.float32)
+        meta = np.zeros((n, SHAPES + LANGS + SOURCES), np.float32)
         for i, (text, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
             text = text or ""
             found = set(self.find(text.lower()))
@@ -315,10 +315,9 @@ def _extract(words: list[str]):
 
         features = Features(words)
         for b in batches:
-            text, lang, source = (b.column(k).to_pylist() for k in ("text", "lang", "source"))
-            number, count, meta = features.of(text, lang, source)
+            number, count, meta = features.of(*(values(b.column(k)) for k in ("text", "lang", "source")), b.num_rows)
             at = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-            h = [xxhash.xxh64_intdigest(f"{i}/{t}") >> 1 for i, t in zip(b.column("doc_id").to_pylist(), text, strict=True)]
+            h = [xxhash.xxh64_intdigest(f"{i}/{t}") >> 1 for i, t in zip(b.column("doc_id").to_pylist(), values(b.column("text")), strict=True)]
             metas = pa.FixedSizeListArray.from_arrays(pa.array(meta.ravel()), meta.shape[1]).cast(pa.list_(pa.float32()))
             arrays = [pa.ListArray.from_arrays(pa.array(at), pa.array(number)), metas, b.column("low"), b.column("toxic"), pa.array(h, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["number", "meta", "low", "toxic", "h"])
@@ -343,7 +342,7 @@ def scored(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.words)
         for b in batches:
-            number, count, meta = features.of(*(b.column(keep.index(k)).to_pylist() for k in ("text", "lang", "source")))
+            number, count, meta = features.of(*(values(b.column(keep.index(k))) for k in ("text", "lang", "source")), b.num_rows)
             words, dense = Words(number, count, len(model.words)), Dense((meta - model.mean) / model.spread)
             arrays, good = [], np.ones(b.num_rows, bool)
             for target in TARGETS:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table, written
+from .common import table, values, written
 
 #: Bytes of a repeat, and of what an anchor hashes.
 LENGTH, GRAM = 200, 40
@@ -164,7 +164,7 @@ def _scan(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             held = 0
-            for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for tid, text in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
                 raw = (text or "").encode()
                 if len(raw) < length:
                     continue
@@ -191,7 +191,7 @@ def _cut(asked: DataFrame, length: int) -> DataFrame:
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for b in batches:
             out: list[tuple] = []
-            for tid, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for tid, text, wanted in zip(*map(values, b.columns), strict=True):
                 if tid in seen:
                     continue
                 seen.add(tid)
@@ -307,7 +307,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
         for b in batches:
             facts: list[list] = [[], [], [], []]
             texts: list[str | None] = []
-            for text, spans in zip(b.column(at).to_pylist(), b.column(len(keep)).to_pylist(), strict=True):
+            for text, spans in zip(values(b.column(at)), values(b.column(len(keep))), strict=True):
                 raw = (text or "").encode()
                 runs = merged(spans)
                 kept, done = [], 0

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, values, written
 from .components import components
 
 SEED = 42
@@ -30,7 +30,7 @@ WORDS, DISTANCE = 3, 2
 #: Distinct fingerprints that a table's bucket holds before it counts as dense.
 DENSE = 64
 #: Shingles whose bits are unpacked at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 15
 #: For similarity search: 64-bit hashes a shingle, bits of a segment, and the least certain bits that are flipped.
 LANES, SEGMENT, FLIPS = 10, 32, 3
 
@@ -63,9 +63,9 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
 
 def bit_margins(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     """Per bit, twice the number of hashes that set it less their number; the first bit is the highest."""
-    total = np.zeros(64 * lanes, np.int64)
-    for low in range(0, len(hashes), BLOCK):
-        part = hashes[low : low + BLOCK]
+    total, block = np.zeros(64 * lanes, np.int64), BLOCK // lanes
+    for low in range(0, len(hashes), block):
+        part = hashes[low : low + block]
         if lanes > 1:
             h = np.ascontiguousarray(part).view(">u8").astype(np.uint64).ravel()
             part = np.stack([_mixed(h, lane) for lane in range(lanes)], axis=1).astype(">u8").view(np.uint8)
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.packbits(bit_margins(shingle_hashes(x, words)) > 0) for x in b.column(1).to_pylist()]
+            bits = [np.packbits(bit_margins(shingle_hashes(x, words)) > 0) for x in values(b.column(1))]
             fp = np.frombuffer(b"".join(x.tobytes() for x in bits), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
@@ -178,7 +178,7 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
         seen: set[int] = set()  # texts of this task; copies add nothing
         for b in batches:
             tids, bits, doubts = [], [], []
-            for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for tid, text in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
                 if tid in seen:
                     continue
                 seen.add(tid)
@@ -197,17 +197,15 @@ def _lookups(sketched: DataFrame) -> DataFrame:
     chosen = np.array(list(itertools.product((0, 1), repeat=FLIPS)), np.uint32)  # each subset of the doubtful bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x.slice(low, 2_000) for x in batches for low in range(0, x.num_rows, 2_000)):
             value = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(-1, segments, 1).astype(np.uint32)
             doubt = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, segments, 1, FLIPS)
             mask = ((np.uint32(1) << (31 - doubt).astype(np.uint32)) * chosen).sum(axis=3, dtype=np.uint32)
             key = (np.arange(segments, dtype=np.int64) << 32)[:, None] | (value ^ mask).astype(np.int64)
             tid = np.repeat(b.column(0).to_numpy(), segments * len(chosen))
             key = key.reshape(-1)
-            for low in range(0, len(key), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[low : low + 500_000]), pa.array(tid[low : low + 500_000])], names=["key", "tid"])
+            for low in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[low : low + 100_000]), pa.array(tid[low : low + 100_000])], names=["key", "tid"])
 
     return sketched.mapInArrow(run, "key long, tid long")
 
@@ -224,7 +222,8 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     limit = bit_limit(similarity, LANES * 64)
     sketched = written(sketches(texts, words), "sketches")
-    found = _lookups(sketched)
+    # a task's rows grow by the number of lookups, so the small table is dealt over all tasks first
+    found = _lookups(sketched.repartition("tid"))
     mixed = F.col("tid").bitwiseXOR(F.xxhash64("key"))
     met = found.groupBy("key").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).filter("low <> high")
     met = met.select("key", F.col("low").bitwiseXOR(F.xxhash64("key")).alias("leader"))
