@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import pretokens
-from .common import table
+from .common import small, table
 
 NONE = np.int32(2**31 - 1)
 #: Longer pre-tokens go through a heap, whose time doesn't grow with the square of the length.
 LONGEST_ROW = 256
 #: Characters handled at once; bounds a worker's memory.
-SLICE = 1_500_000
+SLICE = 500_000
 
 
 class PairTable:
@@ -230,7 +230,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in small(batches):
             texts = [x or "" for x in b.column(at).to_pylist()]
             total = np.zeros(len(texts), np.int64)
             hashes = [None] * len(texts)

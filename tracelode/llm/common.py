@@ -44,6 +44,13 @@ def values(column: pa.Array) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of a slice is small beside the batch itself."""
+    for b in batches:
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, other characters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

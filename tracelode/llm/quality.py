@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, values, written
+from .common import small, table, values, written
 
 #: Bounds of what the classifiers are fitted on: labelled rows, rows of the unlabelled pool, words for each target.
 LABELLED, POOL, WORDS = 12_000, 8_000, 400
@@ -314,7 +314,7 @@ def _extract(words: list[str]):
         import xxhash
 
         features = Features(words)
-        for b in batches:
+        for b in small(batches):
             number, count, meta = features.of(*(values(b.column(k)) for k in ("text", "lang", "source")), b.num_rows)
             at = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
             h = [xxhash.xxh64_intdigest(f"{i}/{t}") >> 1 for i, t in zip(b.column("doc_id").to_pylist(), values(b.column("text")), strict=True)]
@@ -341,7 +341,7 @@ def scored(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.words)
-        for b in batches:
+        for b in small(batches):
             number, count, meta = features.of(*(values(b.column(keep.index(k))) for k in ("text", "lang", "source")), b.num_rows)
             words, dense = Words(number, count, len(model.words)), Dense((meta - model.mean) / model.spread)
             arrays, good = [], np.ones(b.num_rows, bool)

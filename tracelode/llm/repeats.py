@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table, values, written
+from .common import small, table, values, written
 
 #: Bytes of a repeat, and of what an anchor hashes.
 LENGTH, GRAM = 200, 40
@@ -304,7 +304,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             facts: list[list] = [[], [], [], []]
             texts: list[str | None] = []
             for text, spans in zip(values(b.column(at)), values(b.column(len(keep))), strict=True):
