@@ -67,3 +67,12 @@ def test_fuzzy(spark):
     got = {r.t: r.score for r in replay.fuzzy_matches(df, "t", "fb", 0).collect()}
     assert set(got) == {"foo bar", "fxxxb"} and got["foo bar"] > got["fxxxb"]
     assert replay.fuzzy_score("abc", "abc") == 100 - 15 + 5
+
+
+def test_fuzzy_covers_all_lines(spark, tmp_path):
+    from tracelode.plans import catalogue
+
+    texts = ["a\nthe license\nb", "license", "x\ny", None, "license 1\n\nlicense 2\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.line_no, r.line) for r in catalogue.queries()["X5_fuzzy"](spark, str(tmp_path)).collect())
+    assert got == [(0, 2, "the license"), (1, 1, "license"), (4, 1, "license 1"), (4, 3, "license 2")]

@@ -65,8 +65,9 @@ def file_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("X5_fuzzy")
 def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents that `license` matches as a subsequence."""
-    d = load(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", "\n"), -1).alias("line"))
+    """Lines of documents that `license` matches as a subsequence, numbered from one."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nr", "line"))
+    d = d.select("doc_id", (F.col("nr") + 1).alias("line_no"), "line")
     return replay.fuzzy_matches(d, "line", "license", 70)
 
 
