@@ -94,6 +94,23 @@ def test_similar_texts_meet(spark):
     assert len(kept) <= 42 + 1 and all(r.doc_id % 2 == 0 for r in kept if r.g >= 0 and [k.g for k in kept].count(r.g) == 1)
 
 
+def test_a_bucket_compares_all_its_pairs(spark):
+    """Two near copies under a value whose first text is a third one, in one block and in several."""
+    from tracelode.llm import simhash
+
+    rng = np.random.default_rng(7)
+    bits = rng.integers(-(2**63), 2**63 - 1, (60, simhash.LANES), np.int64)
+    bits[1::2] = bits[::2] ^ 1  # each even one is near the one after it
+    rows = [(9, i, i, 60, *map(int, x)) for i, x in enumerate(bits)]
+    df = spark.createDataFrame(rows, "key long, tid long, root long, n long, " + ", ".join(f"s{i} long" for i in range(simhash.LANES)))
+    keep = simhash.CROWD
+    try:
+        for simhash.CROWD in (keep, 7):
+            assert {(r.a, r.b) for r in simhash._crowded_pairs(df, 20).collect()} == {(i + 1, i) for i in range(0, 60, 2)}
+    finally:
+        simhash.CROWD = keep
+
+
 def without(texts, size):
     raws = [(t or "").encode() for t in texts]
     count = collections.Counter(r[i : i + size] for r in raws for i in range(len(r) - size + 1))
