@@ -94,6 +94,51 @@ def test_similar_texts_meet(spark):
     assert len(kept) <= 42 + 1 and all(r.doc_id % 2 == 0 for r in kept if r.g >= 0 and [k.g for k in kept].count(r.g) == 1)
 
 
+def shingles(text):
+    w = text.split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_groups_are_exact_in_a_crowd(spark):
+    """Groups of a hot template, isolated pairs at 0.8 to 0.85 and texts at 0.6 to 0.75, against all pairs."""
+    from tracelode.llm import simhash
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+
+    def changed(base, n):
+        copy, at = list(base), rng.randrange(300 // n)
+        for i in range(n):
+            copy[(at + i * (300 // n)) % 300] = word()
+        return copy
+
+    fresh = lambda: [word() for _ in range(300)]
+    texts, template = [], fresh()
+    for _ in range(120):  # all of them about 0.7 similar, every second one has a near copy
+        x = changed(template, 5)
+        texts.append(x)
+        if len(texts) % 3 == 1:
+            texts.append(changed(x, 4))
+    for n in (5, 6):
+        for _ in range(40):
+            x = fresh()
+            texts += [x, changed(x, n)]
+    for n in (9, 10, 11):
+        for _ in range(40):
+            x = fresh()
+            texts += [x, changed(x, n)]
+    texts = [" ".join(x) for x in texts]
+    sets = [shingles(x) for x in texts]
+    linked = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    top = groups(list(range(len(texts))), lambda i, j: (i, j) in linked)
+    df = spark.createDataFrame(list(enumerate(texts)), "tid long, text string")
+    root = {r.tid: r.root for r in simhash.similar_groups(df).collect()}
+    together = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if root.get(i, i) == root.get(j, j)}
+    expected = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if top[i] == top[j]}
+    assert together <= expected  # nothing is merged that no chain of similar pairs joins
+    assert len(linked) > 100 and len(linked & together) >= 0.7 * len(linked)
+
+
 def test_a_bucket_compares_all_its_pairs(spark):
     """Two near copies under a value whose first text is a third one, in one block and in several."""
     from tracelode.llm import simhash

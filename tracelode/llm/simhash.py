@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, values, written
+from .common import small, table, values, written
 from .components import components
 
 SEED = 42
@@ -279,6 +279,38 @@ def _crowded_pairs(rows: DataFrame, limit: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose sets of shingles have at least this Jaccard similarity; two texts without words are alike."""
+    needed = pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in small(batches):
+            tids, found = [], []
+            for tid, text in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
+                if tid not in seen:
+                    seen.add(tid)
+                    tids.append(tid)
+                    found.append(np.unique(shingle_hashes(text, words).view("<u8").ravel()).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(found, pa.binary())], names=["tid", "shingles"])
+
+    of_text = texts.join(needed, "tid", "left_semi").select("tid", "text").mapInArrow(sets, "tid long, shingles binary")
+    of_text = written(of_text.dropDuplicates(["tid"]), "shingles")
+    both = pairs.join(of_text.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(of_text.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            keep = []
+            for x, y in zip(values(b.column(2)), values(b.column(3)), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(alike, "a long, b long")
+
+
 def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(tid, root) of the texts(tid, text) that have near-duplicates: components of pairs of at least this similarity.
 
@@ -286,7 +318,7 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     table, the values reached by flipping its least certain bits, and is in the table under them too, so two texts
     meet where their differences in a segment lie among the doubtful bits of either. Of those that meet under a value
     all pairs are compared: first each with one of them, then, where that leaves more than one component, all pairs of
-    different components.
+    different components. Pairs with near enough fingerprints are verified by their sets of shingles before they link.
     """
     limit = bit_limit(similarity, LANES * 64)
     sketched = written(sketches(texts, words).groupBy("tid").agg(F.first("signature").alias("signature"), F.first("doubts").alias("doubts")), "sketches")
@@ -295,14 +327,15 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     lanes = [F.conv(F.hex(F.substring("signature", 1 + 8 * i, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(LANES)]
     bits = sketched.select("tid", *lanes)
     pairs = met.filter("tid <> leader").select(F.col("tid").alias("a"), F.col("leader").alias("b")).distinct()
-    links = written(_within(pairs, bits, limit), "links")
+    links = written(verified(written(_within(pairs, bits, limit), "near"), texts, words, similarity), "links")
     roots = written(components(links).withColumnRenamed("node", "tid"), "roots")
     # all under a value have met their leader; any other two need to be compared unless they are joined already
     rest = met.filter("n > 2").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     rest = rest.filter("tid <> leader")
     apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     crowd = rest.join(apart, "key").join(bits, "tid").select("key", "tid", "root", "n", *[f"s{i}" for i in range(LANES)])
-    more = written(_crowded_pairs(crowd, limit), "more-links")
+    close = written(_crowded_pairs(crowd, limit), "close")
+    more = written(verified(close, texts, words, similarity), "more-links")
     if more.head(1):
         roots = components(links.union(more)).withColumnRenamed("node", "tid")
     return roots
