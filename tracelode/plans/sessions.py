@@ -287,7 +287,7 @@ both("K6_union", "select 'doc' as kind, lang as name, count(*) as n from {docume
 both("K7_distinct", "select count(distinct text) as texts, count(*) as n from {documents}")
 both("K8_set_difference", "select event_type from {events} where user_id = 1 except select event_type from {events} where user_id = 3")
 both("K8_intersection", "select event_type from {events} where user_id = 1 intersect select event_type from {events} where user_id = 2")
-both("K10_line_diff", "select line, max(a) as in_first, max(b) as in_second from (select text as line, 1 as a, 0 as b from {documents} where source = 'src0' union all select text, 0, 1 from {documents} where source = 'src1') x group by line")
+both("texts_of_two_sources", "select line, max(a) as in_first, max(b) as in_second from (select text as line, 1 as a, 0 as b from {documents} where source = 'src0' union all select text, 0, 1 from {documents} where source = 'src1') x group by line")
 both(
     "K11_similarity",
     """with t as (select user_id, @set(concat(event_type, @text(@div(cast(@json(props, k) as int), 20)))) as s from {events} group by user_id), a as (select s from t where user_id = 1)
