@@ -161,7 +161,7 @@ def deduplicated(pages: DataFrame, path: str, id_col: str, uri_col: str, payload
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as archives and read back; sizes and digests are of the payloads that were read, a revisit's from its response."""
+    """All pages written as archives and read back; sizes and digests of responses are of the payloads that were read, a revisit's are those that its header declares."""
     pages = table(spark, sf_dir, "pages")
     back = deduplicated(pages, shared_path(spark, "warc"), "page_id", "url", "html")
     kind = dict(pages.dtypes)["page_id"]
