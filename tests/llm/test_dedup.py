@@ -168,14 +168,12 @@ def without(texts, size):
         yield len(r), sum(mark), sum(1 for i in range(len(r)) if mark[i] and not (i and mark[i - 1])), hashlib.sha256(kept).hexdigest()
 
 
-def test_repeats(spark):
-    from tracelode.llm import repeats
-
+def some_texts():
     rng = random.Random(5)
     words = ["ab", "bc", "cab", "é", "x", "the", "foo"]
     some = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passages = [some(30) for _ in range(5)]
-    texts = [None, "", "a" * 100, "é" * 60, "\0" * 90]
+    texts = [None, "", "a" * 100, "é" * 60, "\0" * 90, "ab " * 80]
     for _ in range(40):
         t = some(rng.randint(0, 30))
         for _ in range(rng.randint(0, 4)):
@@ -183,26 +181,99 @@ def test_repeats(spark):
             i = rng.randint(0, len(p) // 2)
             t += p[i : rng.randint(i, len(p))] + some(rng.randint(0, 9))
         texts.append(t)
-    texts += texts[8:14] + [passages[0]] * 20
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for size, gram, group in ((40, 8, 50_000), (40, 8, 3), (30, 10, 50_000)):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df, length=size, gram=gram, group=group).collect()}
-        assert [got[i] for i in range(len(texts))] == list(without(texts, size))
+    return texts + texts[8:14] + [passages[0]] * 20 + [some(9) + passages[1] + some(9) for _ in range(20)]
+
+
+def test_repeats(spark):
+    from tracelode.llm import repeats
+
+    texts = some_texts()
+    df = spark.createDataFrame([(i, t, "k", "s") for i, t in enumerate(texts)], "doc_id long, text string, tid string, SPANS string").repartition(4)
+    for size, gram, group in ((40, 8, 4_096), (40, 8, 2), (30, 10, 3)):
+        rows = repeats.without_repeats(df, length=size, gram=gram, group=group).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+        assert [got[i] for i in range(len(texts))] == list(without(texts, size)) and all(r.tid == "k" and r.SPANS == "s" for r in rows)
     left = repeats.without_repeats(df, length=40, gram=8, new_text=True).collect()
     assert all(r.text is None or r.text.encode().decode() == r.text for r in left)
     assert repeats.without_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_of_long_texts(spark):
+    """Texts of several blocks that share passages across the blocks' bounds."""
+    from tracelode.llm import repeats
+
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(repeats.BLOCK + 900))
+    texts = [long, "x" + long[repeats.BLOCK - 300 : repeats.BLOCK + 300] + "y", long[:250] + "z", "q" * 700_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.without_repeats(df).collect()}
+    assert got == {0: (850, 2), 1: (600, 1), 2: (250, 1), 3: (700_000, 1)}
+
+
+def test_groups_name_all_places(spark):
+    """Every place of a group holds the same bytes, and each repeated window lies in groups that have all its texts."""
+    from tracelode.llm import repeats
+
+    texts = [t for t in some_texts() if t]
+    of = {hashlib.md5(t.encode()).digest(): t.encode() for t in texts}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for group in (4_096, 2):
+        rows = repeats.repeat_groups(df, length=40, gram=8, group=group).collect()
+        held, windows = collections.defaultdict(set), collections.defaultdict(set)
+        for r in rows:
+            held[r.repeat].add(of[bytes(r.tid)][r.begin : r.begin + r.size])
+            for i in range(r.begin, r.begin + r.size - 39):
+                windows[of[bytes(r.tid)][i : i + 40]].add(bytes(r.tid))
+        assert all(len(x) == 1 for x in held.values())
+        for tid, raw in of.items():
+            for i in range(len(raw) - 39):
+                w = raw[i : i + 40]
+                if sum(r.count(w) for r in of.values()) > 1 and sum(w in r for r in of.values()) > 1:
+                    assert windows[w] == {k for k, r in of.items() if w in r}
+
+
+def test_crowded_anchors_grow_in_proportion(spark):
+    """Rows of all tables of a search over a passage in ever more texts, beyond what one array takes."""
+    from tracelode.llm import repeats
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, rows = word(150), []
+    for n in (100, 200, 400):
+        df = spark.createDataFrame([(word(60) + passage + word(60),) for _ in range(n)] + [(passage * 2,)] * n, "text string")
+        found = repeats.Found(df.select(repeats.text_id(df.text).alias("tid"), "text"), 40, 8, 10)
+        rows.append(sum(x.count() for x in (found.shared, found.kinds, found.repeats, found.spans(), *found.levels)))
+    assert rows[2] < 2.2 * rows[1] < 4.9 * rows[0]
+
+
 def test_maximal_repeats_name_all_places():
     from tracelode.llm import repeats
 
-    data = b"xabcdeQyabcdeRzabcdfSabcdeT"
-    starts = np.array([i for i in range(len(data)) if data[i : i + 3] == b"abc"])
-    left = np.array([data[i - 1] for i in starts])
-    found = {(n, tuple(sorted(starts[p].tolist()))) for n, p in repeats.maximal_repeats(data, starts, np.full(len(starts), len(data)), left, 3)}
+    data = np.frombuffer(b"xabcdeQyabcdeRzabcdfSabcdeT", np.uint8)
+    first = np.zeros(len(data), bool)
+    first[0] = True
+    found = {(n, tuple(sorted(p.tolist()))) for n, p in repeats.maximal_repeats(data, np.full(len(data), len(data)), first, 3)}
     assert found == {(5, (1, 8, 21)), (4, (1, 8, 15, 21))}
 
 
+def test_suffix_arrays_order_all_suffixes():
+    from tracelode.llm import repeats
+
+    rng = random.Random(10)
+    for least in (1, 2, 5):
+        parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(12)] + [b"abab" * 9] * 2
+        data = b"".join(parts)
+        ends = np.repeat(np.cumsum([len(p) for p in parts]), [len(p) for p in parts])
+        places, common = repeats.suffix_array(np.frombuffer(data, np.uint8), ends, least)
+        suffixes = [data[i : ends[i]] for i in places.tolist()]
+        assert suffixes == sorted(suffixes)
+        lcp = [next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in itertools.pairwise(suffixes)]
+        assert common.tolist()[1:] == lcp
+        every = sorted(data[i : ends[i]] for i in range(len(data)))
+        shared = [s for k, s in enumerate(every) if len(s) >= least and any(o[:least] == s[:least] for o in every[max(0, k - 1) : k] + every[k + 1 : k + 2])]
+        assert [s for s in suffixes if len(s) >= least and suffixes.count(s) and s in shared] == shared
+
+
 def test_archives(spark):
     from tracelode.llm import warc
     from tracelode.llm.common import shared_path

@@ -19,9 +19,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of this machine's only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a local session gets a folder of its machine's, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +41,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table of written() that nothing reads any more."""
+    spark = df.sparkSession
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column has it in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fresh(seen: set, item, most: int) -> bool:
+    """Whether item is not in seen; adds it. The set starts anew when it holds `most`, so it may call an old item fresh."""
+    if item in seen:
+        return False
+    if len(seen) >= most:
+        seen.clear()
+    seen.add(item)
+    return True
+
+
 def values(column: pa.Array) -> Iterator:
     """The column's values one by one: a batch of long texts isn't held twice."""
     return (x.as_py() for x in column)

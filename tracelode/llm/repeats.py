@@ -2,16 +2,19 @@
 
 A window is a place where LENGTH bytes start. Among the runs of GRAM bytes within a window, the first with the least
 hash is its anchor, so equal windows have equal anchors at the same place within them. The windows of one anchor are
-a stretch of the text. Only anchors whose hash occurs twice can hold repeats, and most of their stretches are equal
-as a whole to another one, which a count of the stretches' hashes tells.
-
-The stretches that are left share an anchor with others that differ: the rims of repeats. Of these the bytes are
-gathered by anchor, and a suffix array is built over the places where a repeat may begin, with the lengths of the
-common prefixes of neighbours. A scan with a stack gives the intervals of common prefixes; one whose members differ
-in the byte to their left is a maximal repeat, given out with all its places.
-
-An anchor with more than GROUP stretches isn't gathered: its windows are counted by their hashes, which combine
-before the shuffle. Texts are told apart by a 64-bit hash; equal texts share their rows.
+a stretch of the text. Only anchors that occur twice can hold repeats.
+
+Equal things are collapsed before anything meets: copies of a text within a task, equal stretches within a text, and
+equal stretches of different texts, which a 128-bit digest tells and which combine before the shuffle. A stretch that
+occurs twice is a repeat as a whole. The bytes of one example of each kind of stretch are gathered by anchor, and a
+suffix array is built over them, with the lengths of the common prefixes of neighbours. A scan with a stack gives the
+tree of the intervals of common prefixes; one whose members differ in the byte to their left is a maximal repeat,
+given out with all its places.
+
+An anchor with more than GROUP kinds of stretches falls apart by its next bytes: the places of the anchor within the
+window are halved, and kinds stay together that agree in all bytes that the windows of a half share. Equal ones
+collapse again. After eight halvings a part is one window, and all in it are equal; so arrays have a bounded size and
+no string is counted in another way than any other.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small, table, values, written
+from .common import fresh, small, table, unused, values, written
 
 #: Bytes of a repeat, and of what an anchor hashes.
 LENGTH, GRAM = 200, 40
-#: Stretches of one anchor that are gathered; and bytes of stretches that one suffix array takes, about.
-GROUP, GATHERED = 50_000, 2 << 20
+#: Kinds of stretches under one key that an array takes; and bytes that one array takes, about.
+GROUP, GATHERED = 4_096, 1 << 20
+#: Texts of a task whose copies are told at once.
+SEEN = 200_000
 #: Windows of a text handled at once (their places take 20 bits).
 BLOCK = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
@@ -68,31 +73,63 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[: n - width + 1], up[width - 1 : n])
 
 
-def stretches(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hashes, first windows, last windows) of a text, block by block."""
+def stretches(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hashes, first windows, last windows, anchors' places) of a text, block by block."""
     width = length - gram + 1
     for low in range(0, len(data) - length + 1, BLOCK):
         h = window_hashes(data[low : low + BLOCK + length - 1], gram, BLOCK + length)
         # equal hashes are told apart by place, so that the first one is the least
         at = (_least((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), width) & PLACE).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        yield h[at[first]], low + first, low + np.append(first[1:], len(at)) - 1
+        yield h[at[first]], low + first, low + np.append(first[1:], len(at)) - 1, low + at[first]
 
 
-def suffix_array(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the strings data[start:end] and each one's common prefix with the one before in that order."""
-    size = ends - starts
-    depth = int(size.max())
-    padded = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(depth, np.uint8)))
-    rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[starts]
-    rows = np.where(np.arange(depth) < size[:, None], rows, np.uint8(0))
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{depth}").ravel(), kind="stable")
-    rows, size = rows[order], size[order]
-    common = np.zeros(len(order), np.int64)
-    differ = rows[1:] != rows[:-1]
-    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
-    common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
-    return order, common
+def suffix_array(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, common): the suffixes data[i:ends[i]] that share `least` bytes with another one, in order, and each one's common prefix with the one before.
+
+    Prefix doubling: ranks by seven bytes, then by pairs of ranks, each time among those that are still equal.
+    A suffix that ends is smaller than any that goes on.
+    """
+    n, at = len(data), np.arange(len(data))
+    padded = np.concatenate((data.astype(np.int64) + 1, np.zeros(7, np.int64)))
+    key = np.zeros(n, np.int64)
+    for k in range(7):
+        key = key << 9 | np.where(at + k < ends, padded[k : k + n], 0)
+    rank = np.zeros(n, np.int64)
+    open_, depth, found = at, 7, at
+    while True:
+        order = np.argsort(key, kind="stable")
+        open_, key = open_[order], key[order]
+        here = np.arange(len(open_))
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+        before = rank[open_]
+        old = np.concatenate(([True], before[1:] != before[:-1])) if len(key) else np.empty(0, bool)
+        rank[open_] = before + np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(old, here, 0))
+        alone = new & np.concatenate((new[1:], [True])) if len(new) else new
+        open_ = open_[~alone]
+        if depth <= least:
+            found = open_
+        if not len(open_) or depth >= n:
+            break
+        then = open_ + depth
+        key = rank[open_] * (n + 1) + np.where(then < ends[open_], rank[np.minimum(then, n - 1)] + 1, 0)
+        depth *= 2
+    found = found[np.argsort(rank[found], kind="stable")]
+    return found, _common(data, ends, found)
+
+
+def _common(data: np.ndarray, ends: np.ndarray, places: np.ndarray, block: int = 8_192) -> np.ndarray:
+    """Bytes that each of the suffixes shares with the one before it."""
+    common = np.zeros(len(places), np.int64)
+    size = ends[places] - places
+    depth = int(size.max()) if len(size) else 0
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(depth + 1, np.uint8))), depth + 1)
+    for low in range(1, len(places), block):
+        one, two = places[low : low + block], places[low - 1 : low - 1 + block][: len(places[low : low + block])]
+        differ = rows[one] != rows[two]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
+        common[low : low + len(one)] = np.minimum(first, np.minimum(size[low : low + block], size[low - 1 : low - 1 + len(one)]))
+    return common
 
 
 def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -107,121 +144,213 @@ def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((value, first))
 
 
-def maximal_repeats(data: bytes, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, places) of the maximal repeats among the suffixes data[start:end]: numbers of all starts where it stands.
+def maximal_repeats(data: np.ndarray, ends: np.ndarray, first: np.ndarray, least: int, starts: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of the maximal repeats of at least `least` bytes among the suffixes data[i:ends[i]], with all their places.
 
-    left is the byte before each start; a negative one stands for a beginning and differs from every other. An
-    interval whose members all have the same byte to their left can be extended, and is no maximal repeat.
+    first marks the places where a part begins: what stands to their left differs from everything. An interval whose
+    members all have the same byte to their left can be extended, and is no maximal repeat. starts: only these count.
     """
-    order, common = suffix_array(data, starts, ends)
-    before = left[order]
+    places, common = suffix_array(data, ends, least)
+    if starts is not None:
+        ok = starts[places]
+        # the common prefix of two members is the least one on the way between them
+        run = np.concatenate(([0], np.cumsum(ok)[:-1]))
+        lows = np.full(int(ok.sum()) + 1, 1 << 40, np.int64)
+        np.minimum.at(lows, run, common)
+        places, common = places[ok], lows[: int(ok.sum())]
+    if len(common):
+        common[0] = 0
+    before = np.where(first[places], -1, data[places - 1].astype(np.int64))
+    # whole trees whose members have the same byte to their left hold no maximal repeat
+    tree = np.cumsum(common < least) - 1
+    low, high = np.full(tree[-1] + 1 if len(tree) else 0, 999), np.full(tree[-1] + 1 if len(tree) else 0, -999)
+    np.minimum.at(low, tree, before)
+    np.maximum.at(high, tree, before)
+    keep = ((low != high) | (low < 0))[tree]
+    places, common, before = places[keep], common[keep], before[keep]
     # the last member of an interval that differs from its neighbour in the left byte tells its diversity
     change = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))))
-    for depth, first, last in intervals(common, least):
-        if change[last] > change[first] or before[first] < 0:
-            yield depth, order[first : last + 1]
+    for depth, a, z in intervals(common, least):
+        if change[z] > change[a] or before[a] < 0:
+            yield depth, places[a : z + 1]
 
 
-def covered(parts: list[bytes], windows: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, begin, end) of the repeats of `length` bytes or more in the parts; windows: how many start in each.
-
-    A part holds windows + length - 1 bytes; left is the byte before it, negative at a text's beginning.
-    """
-    data = b"".join(parts)
-    size = windows + length - 1
+def repeats_of(parts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, parts, places within them) of the maximal repeats of `length` bytes or more among the parts."""
+    size = np.array([len(p) for p in parts], np.int64)
     base = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(parts)), windows)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = base[of] + place
-    raw = np.frombuffer(data, np.uint8)
-    h = window_hashes(raw, length, len(raw))[at]
-    _, group, count = np.unique(h, return_inverse=True, return_counts=True)
-    many = np.flatnonzero(count[group] > 1)
-    none = np.empty(0, np.int64)
-    if not len(many):
-        return none, none, none
-    before = np.where(place[many] > 0, raw[at[many] - 1].astype(np.int64), left[of[many]])
-    # a repeat begins where its members differ to the left, or where a part begins
-    group = group[many]
-    low, high, edge = (np.full(len(count), x, np.int64) for x in (999, -999, 0))
-    np.minimum.at(low, group, before)
-    np.maximum.at(high, group, before)
-    np.maximum.at(edge, group, (place[many] == 0).astype(np.int64))
-    begins = (low[group] != high[group]) | (low[group] < 0) | (edge[group] > 0)
-    many, before = many[begins], np.where(place[many][begins] == 0, -1, before[begins])
-    starts = at[many]
-    longest = np.zeros(len(many), np.int64)
-    for depth, places in maximal_repeats(data, starts, (base + size)[of[many]], before, length):
-        np.maximum.at(longest, places, depth)
-    hit = longest > 0
-    return of[many][hit], place[many][hit], (place[many] + longest)[hit]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    of = np.repeat(np.arange(len(parts)), size)
+    ends = (base + size)[of]
+    first = np.zeros(len(data), bool)
+    first[base] = True
+    for depth, places in maximal_repeats(data, ends, first, length, ends - np.arange(len(data)) >= length):
+        yield depth, of[places], places - base[of[places]]
+
+
+#: A stretch: digest of its anchor, of all its bytes, its text, its place (PLACE bits: first window, 8 bits the anchor's place in it, 8 bits how many windows follow),
+#: how often it occurs in its text, and where more than once all bytes that it covers there, as pairs of numbers.
+STRETCH = "anchor long, one long, two long, tid binary, pos long, times long, all binary"
+
+
+def _runs(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The maximal runs of bytes that the spans cover, as pairs; the spans come in order."""
+    upto = np.maximum.accumulate(end)
+    new = np.concatenate(([True], begin[1:] > upto[:-1]))
+    return np.stack((begin[new], upto[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]), axis=1)
+
+
+def _kinds(raw: bytes, length: int, gram: int) -> list[np.ndarray | list]:
+    """The columns of STRETCH but tid of one text: a row for each kind of stretch in it."""
+    blocks = list(stretches(np.frombuffer(raw, np.uint8), length, gram))
+    anchor, first, last, at = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    digests = [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(first.tolist(), (last + length).tolist(), strict=True)]
+    whole = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    pos = first << 16 | (at - first) << 8 | last - first
+    times, every = np.ones(len(first), np.int64), [None] * len(first)
+    if len(set(digests)) < len(digests):
+        by: dict[bytes, list[int]] = {}
+        for i, d in enumerate(digests):
+            by.setdefault(d, []).append(i)
+        one = np.array([x[0] for x in by.values()])
+        times = np.array([len(x) for x in by.values()])
+        every = [_runs(first[x], last[x] + length).tobytes() if len(x) > 1 else None for x in by.values()]
+        anchor, whole, pos = anchor[one], whole[one], pos[one]
+    return [anchor.view(np.int64), whole[:, 0], whole[:, 1], pos, times, every]
 
 
 def _scan(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(tid, anchor, whole, pos) of texts(tid, text): pos is the first window and, in its low 8 bits, how many follow."""
+    """STRETCH of texts(tid, text). Copies of a text within a task add nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        names = ["anchor", "one", "two", "tid", "pos", "times", "all"]
+
+        def batch_of(held: list[list]) -> pa.RecordBatch:
+            tid, *rest, every = zip(*held, strict=True)
+            n = [len(x) for x in every]
+            anchor, one, two, pos, times = (pa.array(np.concatenate(c)) for c in rest)
+            tids = pa.array(tid, pa.binary()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            return pa.RecordBatch.from_arrays([anchor, one, two, tids, pos, times, pa.array([x for e in every for x in e], pa.binary())], names=names)
+
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            held = 0
+            held, rows = [], 0
             for tid, text in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
-                raw = (text or "").encode()
-                if len(raw) < length:
+                if not fresh(seen, tid, SEEN):
                     continue
-                for anchor, first, last in stretches(np.frombuffer(raw, np.uint8), length, gram):
-                    whole = b"".join([xxhash.xxh64_digest(raw[i:j], 1) for i, j in zip(first.tolist(), (last + length).tolist(), strict=True)])
-                    for column, x in zip(out, (np.full(len(first), tid), anchor.view(np.int64), np.frombuffer(whole, np.int64), first << 8 | last - first), strict=True):
-                        column.append(x)
-                    held += len(first)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["tid", "anchor", "whole", "pos"])
-                    out, held = [[], [], [], []], 0
+                held.append([tid, *_kinds(text.encode(), length, gram)])
+                rows += len(held[-1][1])
+                if rows > 100_000:
+                    yield batch_of(held)
+                    held, rows = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["tid", "anchor", "whole", "pos"])
+                yield batch_of(held)
+
+    return texts.mapInArrow(run, STRETCH)
+
+
+#: An example of a kind of stretch, or of some windows of one: the key that those share that may hold equal windows (two digests and the range of the anchor's
+#: places in them), the digest of its bytes, the kind (anchor and digest) with its number of places, and the example: its text, its first window, how far that is
+#: into the kind, the anchor's place in it, and the bytes.
+PART = "k1 long, k2 long, low int, high int, one long, two long, anchor long, w1 long, w2 long, n long, tid binary, first long, skip int, at int, part binary"
+FIELDS = [x.split()[0] for x in PART.split(", ")]
+KEY, CLASS = FIELDS[:4], FIELDS[:6]
 
-    return texts.mapInArrow(run, "tid long, anchor long, whole long, pos long")
 
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    long, small = pa.int64(), pa.int32()
+    kinds = (long, long, small, small, long, long, long, long, long, long, pa.binary(), long, small, small, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=FIELDS)
 
-def _cut(asked: DataFrame, length: int) -> DataFrame:
-    """(anchor, hot, tid, pos, before, part) of asked(tid, text, stretches): the bytes of the stretches that are asked for."""
+
+def _cut(asked: DataFrame, length: int, gram: int) -> DataFrame:
+    """PART of asked(tid, text, stretches): the bytes of the stretches that are asked for."""
+    span = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # texts of this task; copies of a text add nothing
-        names = ["anchor", "hot", "tid", "pos", "before", "part"]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        seen: set[bytes] = set()
         for b in batches:
             out: list[tuple] = []
             for tid, text, wanted in zip(*map(values, b.columns), strict=True):
-                if tid in seen:
+                if not fresh(seen, tid, SEEN):
                     continue
-                seen.add(tid)
                 raw = text.encode()
                 for x in wanted:
-                    first = x["pos"] >> 8
-                    out.append((x["anchor"], x["hot"], tid, x["pos"], raw[first - 1] if first else -1, raw[first : first + (x["pos"] & 255) + length]))
+                    first, at, more = x["pos"] >> 16, x["pos"] >> 8 & 255, x["pos"] & 255
+                    kind = (x["anchor"], x["one"], x["two"])
+                    out.append((x["anchor"], 0, 0, span, *kind[1:], *kind, x["n"], tid, first, 0, at, raw[first : first + more + length]))
                 if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield _part_batch(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield _part_batch(out)
+
+    return asked.mapInArrow(run, PART)
+
+
+def _halved(parts: DataFrame, length: int) -> DataFrame:
+    """PART of parts: the windows of each in two, by the anchor's place, under the bytes that all windows of a half share."""
+    names = ("low", "high", "anchor", "w1", "w2", "n", "tid", "first", "skip", "at", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 10_000):
+            out: list[tuple] = []
+            for low, high, *kind, tid, first, skip, at, part in zip(*(b.column(k).to_pylist() for k in names), strict=True):
+                least = at - (len(part) - length)  # the anchor's place in the last window
+                middle = (low + high) // 2
+                for x, y in ((low, middle), (middle, high)):
+                    a, z = min(at, y - 1), max(least, x)  # in the first window of the half, and in the last
+                    if a < z:
+                        continue
+                    own = part[at - a : at - z + length]
+                    digests = xxhash.xxh3_128_digest(part[at - x : at - y + 1 + length]) + xxhash.xxh3_128_digest(own)
+                    k1, k2, one, two = np.frombuffer(digests, np.int64).tolist()
+                    out.append((k1, k2, x, y, one, two, *kind, tid, first + at - a, skip + at - a, a, own))
+            if out:
+                yield _part_batch(out)
 
-    return asked.mapInArrow(run, "anchor long, hot boolean, tid long, pos long, before int, part binary")
+    return parts.mapInArrow(run, PART)
 
 
-def _rims(parts: DataFrame, length: int) -> DataFrame:
-    """(tid, begin, end) of the repeats in the gathered stretches; equal strings have equal anchors, so an array takes whole anchors."""
-    dealt = parts.select("anchor", "tid", "pos", "before", "part").repartition("anchor").sortWithinPartitions("anchor")
+def _levels(parts: DataFrame, length: int, group: int) -> list[DataFrame]:
+    """Tables of PART with m (parts of the class) and kinds (classes of the key, at least two unless the class has several parts): one for each halving, until no key has more than `group`."""
+    levels = []
+    while True:
+        classes = parts.groupBy(*CLASS).agg(F.count("*").alias("m"))
+        sizes = classes.groupBy(*KEY).agg(F.count("*").alias("kinds"), F.sum("m").alias("rows")).filter("rows > 1").drop("rows")
+        levels.append(written(parts.join(classes.join(sizes, KEY), CLASS), "crowd"))
+        crowded = levels[-1].filter(F.col("kinds") > group)
+        if not crowded.head(1):
+            return levels
+        parts = written(_halved(crowded, length), "halves")
+
+
+def _arrays(parts: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, size, *CLASS, place) of the maximal repeats in the parts, one of each class: a digest of the repeat, its bytes, and its place in each part; equal strings have equal keys, so an array takes whole keys."""
+    dealt = parts.select(*CLASS, "part").repartition("k1").sortWithinPartitions("k1")
+    names = ["r1", "r2", "size", *CLASS, "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(t: pa.Table) -> pa.RecordBatch:
-            tid, pos = t["tid"].to_numpy(), t["pos"].to_numpy()
-            _, one = np.unique(np.stack((tid, pos), axis=1), axis=0, return_index=True)  # copies that other tasks cut
-            tid, pos, part = tid[one], pos[one], t["part"].take(one).to_pylist()
-            of, begin, end = covered(part, (pos & 255) + 1, t["before"].to_numpy()[one].astype(np.int64), length)
-            first = pos[of] >> 8
-            return pa.RecordBatch.from_arrays([pa.array(tid[of]), pa.array(first + begin), pa.array(first + end)], names=["tid", "begin", "end"])
+        def made(t: pa.Table, out: list[list[np.ndarray]]) -> pa.RecordBatch:
+            r1, r2, size, of, place = (np.concatenate(c) for c in zip(*out, strict=True))
+            own = t.select(CLASS).take(pa.array(of)).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array(r1), pa.array(r2), pa.array(size), *(own[c].combine_chunks() for c in CLASS), pa.array(place)], names=names)
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            part = t["part"].to_pylist()
+            out, rows = [], 0
+            for size, of, place in repeats_of(part, length):
+                p = int(place[0])
+                r1, r2 = np.frombuffer(xxhash.xxh3_128_digest(part[int(of[0])][p : p + size]), np.int64)
+                out.append([np.full(len(of), r1), np.full(len(of), r2), np.full(len(of), size), of, place])
+                rows += len(of)
+                if rows > 200_000:
+                    yield made(t, out)
+                    out, rows = [], 0
+            if out:
+                yield made(t, out)
 
         for b in batches:
             if not b.num_rows:
@@ -229,57 +358,105 @@ def _rims(parts: DataFrame, length: int) -> DataFrame:
             held.append(b)
             if sum(x.nbytes for x in held) > GATHERED:
                 t = pa.Table.from_batches(held).combine_chunks()
-                cut = int(np.searchsorted(t["anchor"].to_numpy(), t["anchor"][-1].as_py()))
+                cut = int(np.searchsorted(t["k1"].to_numpy(), t["k1"][-1].as_py()))
                 if cut:
-                    yield done(t.slice(0, cut))
+                    yield from done(t.slice(0, cut))
                     held = t.slice(cut).combine_chunks().to_batches()
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.mapInArrow(run, "tid long, begin long, end long")
+    return dealt.mapInArrow(run, "r1 long, r2 long, size long, k1 long, k2 long, low int, high int, one long, two long, place long")
 
 
-def _counted(parts: DataFrame, length: int) -> DataFrame:
-    """(tid, begin, end) of the windows in crowded anchors' stretches that occur twice, by two hashes of each."""
+def text_id(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for tid, pos, part in zip(*(b.column(k).to_pylist() for k in ("tid", "pos", "part")), strict=True):
-                n = (pos & 255) + 1
-                one, two = (pa.array(np.frombuffer(b"".join([xxhash.xxh64_digest(part[i : i + length], s) for i in range(n)]), np.int64)) for s in (1, 2))
-                yield pa.RecordBatch.from_arrays([one, two, pa.array(np.full(n, tid)), pa.array((pos >> 8) + np.arange(n))], names=["one", "two", "tid", "begin"])
-
-    windows = parts.dropDuplicates(["tid", "pos"]).mapInArrow(run, "one long, two long, tid long, begin long")
-    many = windows.groupBy("one", "two").count().filter("count > 1").select("one", "two")
-    return windows.join(many, ["one", "two"]).select("tid", "begin", (F.col("begin") + length).alias("end"))
-
-
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(tid, spans) of texts(tid, text), a row for each row of the input table's texts: spans [begin, end) of bytes that a string of `length` bytes covers which starts twice."""
-    found = _scan(texts, length, gram)
-    counts = found.groupBy("anchor").count().filter("count > 1").withColumnRenamed("count", "n")
-    shared = found.join(counts, "anchor")
-    crowded = shared.filter(F.col("n") > group)
-    crowded = crowded.join(crowded.groupBy("anchor", "whole").agg(F.count("*").alias("times")), ["anchor", "whole"])
-    hot = crowded.select("tid", "pos", "anchor", (F.col("times") > 1).alias("full"), F.lit(True).alias("ask"), F.lit(True).alias("hot"))
-    same, anchor = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
-    cold = shared.filter(F.col("n") <= group)
-    cold = cold.withColumn("times", F.count("*").over(same)).withColumn("nr", F.row_number().over(same.orderBy("tid", "pos")))
-    cold = cold.withColumn("kinds", F.sum(F.when(F.col("nr") == 1, 1).otherwise(0)).over(anchor))
-    cold = cold.select("tid", "pos", "anchor", (F.col("times") > 1).alias("full"), ((F.col("kinds") > 1) & (F.col("nr") == 1)).alias("ask"), F.lit(False).alias("hot"))
-    known = written(hot.union(cold).filter("full or ask"), "stretches")
-    asked = known.filter("ask").groupBy("tid").agg(F.collect_list(F.struct("pos", "anchor", "hot")).alias("stretches"))
-    parts = written(_cut(texts.join(asked, "tid"), length), "parts")
-    first = F.shiftright("pos", 8)
-    full = known.filter("full").select("tid", first.alias("begin"), (first + F.col("pos").bitwiseAND(F.lit(255)) + length).alias("end"))
-    spans = full.union(_rims(parts.filter("not hot"), length)).union(_counted(parts.filter("hot"), length))
-    return spans.groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+
+class Found:
+    """What one search leaves in the shared folder, and what can be asked of it.
+
+    The texts(tid, text) have no nulls, and rows with equal tid have equal text: they are copies of one text.
+    """
+
+    def __init__(self, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP):
+        if not 0 < gram <= length or length - gram > 255:
+            raise ValueError("an anchor has at least one byte, and at most 255 less than a repeat")
+        if group < 2:
+            raise ValueError("an array takes two kinds at least")
+        self.length, self.group = length, group
+        self.texts = texts.filter(F.octet_length("text") >= length)
+        found = _scan(self.texts, length, gram)
+        twice = found.groupBy("anchor").agg(F.sum("times").alias("total")).filter("total > 1").select("anchor")
+        self.shared = written(found.join(twice, "anchor"), "stretches")
+        kinds = self.shared.groupBy("anchor", "one", "two").agg(F.sum("times").alias("n"), F.first("tid").alias("tid"), F.first("pos").alias("pos"))
+        self.kinds = written(kinds, "kinds")
+        mixed = self.kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+        wanted = self.kinds.join(mixed, "anchor").groupBy("tid").agg(F.collect_list(F.struct("anchor", "one", "two", "n", "pos")).alias("stretches"))
+        parts = _cut(self.texts.join(wanted, "tid").select("tid", "text", "stretches"), length, gram)
+        # copies of a text that different tasks cut
+        self.levels = _levels(written(parts.dropDuplicates(CLASS), "parts"), length, group)
+        ready = [x.filter(F.col("kinds").between(2, group)).dropDuplicates(CLASS).select(*CLASS, "part") for x in self.levels]
+        self.repeats = written(_arrays(_union(ready), length), "repeats")
+
+    def _again(self) -> DataFrame:
+        """The stretches whose kind has more than one place."""
+        return self.shared.join(self.kinds.filter("n > 1").select("anchor", "one", "two"), ["anchor", "one", "two"])
+
+    def spans(self) -> DataFrame:
+        """(tid, begin, end, all): the spans [begin, end) of a text's bytes that a repeat covers; all: several spans of one kind, as pairs of numbers."""
+        none = F.lit(None).cast("binary").alias("all")
+        first = F.shiftright("pos", 16)
+        whole = self._again().select("tid", first.alias("begin"), (first + F.col("pos").bitwiseAND(F.lit(255)) + self.length).alias("end"), "all")
+        # kinds of several places are covered as a whole, and so are classes of several parts
+        alone = _union([x.filter("n = 1 and m = 1") for x in self.levels]).select(*CLASS, "tid", "first")
+        rest = self.repeats.join(alone, CLASS).groupBy("tid", "first", "place").agg(F.max("size").alias("size"))
+        begin = F.col("first") + F.col("place")
+        rest = rest.select("tid", begin.alias("begin"), (begin + F.col("size")).alias("end"), none)
+        classes = _union([x.filter("n = 1 and m > 1") for x in self.levels]).select("tid", F.col("first").alias("begin"), (F.col("first") + F.length("part")).alias("end"), none)
+        copies = self.texts.groupBy("tid").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")).filter("n > 1")
+        return _union([whole, rest, classes, copies.select("tid", F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"), none)])
+
+    def groups(self) -> DataFrame:
+        """(repeat, size, tid, begin, times): the maximal repeats with all their places.
+
+        repeat is a digest of the repeated bytes, size their number; begin is the first place in the text, and times
+        how often the stretch around it occurs there. A text and its copies are one. Repeats end at the rims of their
+        anchor's stretch; a longer one is a chain of groups that overlap.
+        """
+        name = lambda a, b: F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))).alias("repeat")
+        first = F.shiftright("pos", 16)
+        size = (F.col("pos").bitwiseAND(F.lit(255)) + self.length).cast("long").alias("size")
+        whole = self._again().select(name("one", "two"), size, "tid", first.alias("begin"), "times")
+        members = _union(self.levels).select(*CLASS, "m", "anchor", "w1", "w2", "skip", F.length("part").cast("long").alias("bytes"))
+        classes = members.filter("m > 1").select(name("one", "two"), F.col("bytes").alias("size"), "anchor", "w1", "w2", F.col("skip").cast("long").alias("shift"))
+        part = self.repeats.join(members, CLASS).select(name("r1", "r2"), "size", "anchor", "w1", "w2", (F.col("skip") + F.col("place")).alias("shift"))
+        places = self.shared.select("anchor", F.col("one").alias("w1"), F.col("two").alias("w2"), "tid", first.alias("low"), "times")
+        rims = classes.union(part).join(places, ["anchor", "w1", "w2"]).select("repeat", "size", "tid", (F.col("low") + F.col("shift")).alias("begin"), "times")
+        return whole.union(rims).distinct()
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """Found.groups() of the texts of docs; tid is text_id() of a text. Null texts hold none; an empty table gives no rows."""
+    text = F.col(f"`{text_col}`")
+    return Found(docs.filter(text.isNotNull()).select(text_id(text).alias("tid"), text.alias("text")), length, gram, group).groups()
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the spans cover."""
     out: list[tuple[int, int]] = []
-    for b, e in sorted((s["begin"], s["end"]) for s in spans or ()):
+    flat = [(s["begin"], s["end"]) for s in spans or () if not s["all"]]
+    for s in spans or ():
+        if s["all"]:
+            flat += map(tuple, np.frombuffer(s["all"], np.int64).reshape(-1, 2).tolist())
+    for b, e in sorted(flat):
         if out and b <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -298,9 +475,10 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
     new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
     keep = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    spans = repeated_spans(docs.select(F.xxhash64(text).alias("tid"), text.alias("text")), length, gram, group)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias("__tid"))
-    rows = rows.join(spans.select(F.col("tid").alias("__tid"), F.col("spans").alias("__spans")), "__tid", "left").select(*[f"`{c}`" for c in keep], "__spans")
+    tid, own = unused("tid", keep), unused("spans", keep)
+    found = Found(docs.select(text_id(text).alias("tid"), text.alias("text")), length, gram, group)
+    spans = found.spans().groupBy("tid").agg(F.collect_set(F.struct("begin", "end", "all")).alias(own)).withColumnRenamed("tid", tid)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_id(text).alias(tid)).join(spans, tid, "left").select(*[f"`{c}`" for c in keep], own)
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
