@@ -84,49 +84,49 @@ def stretches(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.nda
         yield h[at[first]], low + first, low + np.append(first[1:], len(at)) - 1, low + at[first]
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, common): the suffixes data[i:ends[i]] that share `least` bytes with another one, in order, and each one's common prefix with the one before.
+def suffix_array(data: np.ndarray, depth: int, starts: np.ndarray) -> np.ndarray:
+    """The places of starts whose `depth` symbols to come stand at another start too, in the order of all that follows; data: symbols from 0 to 511.
 
-    Prefix doubling: ranks by seven bytes, then by pairs of ranks, each time among those that are still equal.
-    A suffix that ends is smaller than any that goes on.
+    Prefix doubling: ranks by seven symbols, then by pairs of ranks, each time among those that are still equal.
     """
-    n, at = len(data), np.arange(len(data))
-    padded = np.concatenate((data.astype(np.int64) + 1, np.zeros(7, np.int64)))
+    n, seen = len(data), 7
+    padded = np.concatenate((data.astype(np.int64), np.zeros(7, np.int64)))
     key = np.zeros(n, np.int64)
     for k in range(7):
-        key = key << 9 | np.where(at + k < ends, padded[k : k + n], 0)
-    rank = np.zeros(n, np.int64)
-    open_, depth, found = at, 7, at
+        key <<= 9
+        key |= padded[k : k + n]
+    rank = np.zeros(n + 1, np.int64)  # the last one is that of the end
+    rank[n] = -1
+    open_, found = np.arange(n), np.arange(n)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         open_, key = open_[order], key[order]
-        here = np.arange(len(open_))
-        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-        before = rank[open_]
-        old = np.concatenate(([True], before[1:] != before[:-1])) if len(key) else np.empty(0, bool)
+        here, before = np.arange(len(open_)), rank[open_]
+        new, old = np.ones(len(open_), bool), np.ones(len(open_), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        np.not_equal(before[1:], before[:-1], out=old[1:])
         rank[open_] = before + np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(old, here, 0))
-        alone = new & np.concatenate((new[1:], [True])) if len(new) else new
-        open_ = open_[~alone]
-        if depth <= least:
+        new = np.append(new, True)
+        open_ = open_[~(new[:-1] & new[1:])]
+        if seen <= depth:
             found = open_
-        if not len(open_) or depth >= n:
+        if not len(open_):
             break
-        then = open_ + depth
-        key = rank[open_] * (n + 1) + np.where(then < ends[open_], rank[np.minimum(then, n - 1)] + 1, 0)
-        depth *= 2
-    found = found[np.argsort(rank[found], kind="stable")]
-    return found, _common(data, ends, found)
+        key = rank[open_] * (n + 1) + rank[np.minimum(open_ + seen, n)] + 1
+        seen *= 2
+    found = found[starts[found]]
+    return found[np.argsort(rank[found])]
 
 
-def _common(data: np.ndarray, ends: np.ndarray, places: np.ndarray, block: int = 8_192) -> np.ndarray:
-    """Bytes that each of the suffixes shares with the one before it."""
+def common_prefixes(data: np.ndarray, ends: np.ndarray, places: np.ndarray, block: int = 8_192) -> np.ndarray:
+    """Symbols that each of the suffixes data[i:ends[i]] shares with the one before it."""
     common = np.zeros(len(places), np.int64)
     size = ends[places] - places
     depth = int(size.max()) if len(size) else 0
-    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(depth + 1, np.uint8))), depth + 1)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(depth + 1, data.dtype))), depth + 1)
     for low in range(1, len(places), block):
-        one, two = places[low : low + block], places[low - 1 : low - 1 + block][: len(places[low : low + block])]
-        differ = rows[one] != rows[two]
+        one = places[low : low + block]
+        differ = rows[one] != rows[places[low - 1 : low - 1 + len(one)]]
         first = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
         common[low : low + len(one)] = np.minimum(first, np.minimum(size[low : low + block], size[low - 1 : low - 1 + len(one)]))
     return common
@@ -144,31 +144,24 @@ def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((value, first))
 
 
-def maximal_repeats(data: np.ndarray, ends: np.ndarray, first: np.ndarray, least: int, starts: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, places) of the maximal repeats of at least `least` bytes among the suffixes data[i:ends[i]], with all their places.
+def maximal_repeats(data: np.ndarray, ends: np.ndarray, first: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of the maximal repeats of at least `least` symbols among the suffixes data[i:ends[i]], with all their places, inner ones first.
 
-    first marks the places where a part begins: what stands to their left differs from everything. An interval whose
-    members all have the same byte to their left can be extended, and is no maximal repeat. starts: only these count.
+    data holds no symbol across an end twice (a separator). first marks the places where a part begins: what stands
+    to their left differs from everything. An interval whose members all have the same symbol to their left can be
+    extended, and is no maximal repeat.
     """
-    places, common = suffix_array(data, ends, least)
-    if starts is not None:
-        ok = starts[places]
-        # the common prefix of two members is the least one on the way between them
-        run = np.concatenate(([0], np.cumsum(ok)[:-1]))
-        lows = np.full(int(ok.sum()) + 1, 1 << 40, np.int64)
-        np.minimum.at(lows, run, common)
-        places, common = places[ok], lows[: int(ok.sum())]
-    if len(common):
-        common[0] = 0
+    places = suffix_array(data, least, ends - np.arange(len(data)) >= least)
+    common = common_prefixes(data, ends, places)
     before = np.where(first[places], -1, data[places - 1].astype(np.int64))
-    # whole trees whose members have the same byte to their left hold no maximal repeat
+    # whole trees whose members have the same symbol to their left hold no maximal repeat
     tree = np.cumsum(common < least) - 1
-    low, high = np.full(tree[-1] + 1 if len(tree) else 0, 999), np.full(tree[-1] + 1 if len(tree) else 0, -999)
+    low, high = (np.full(tree[-1] + 1 if len(tree) else 0, x) for x in (999, -999))
     np.minimum.at(low, tree, before)
     np.maximum.at(high, tree, before)
     keep = ((low != high) | (low < 0))[tree]
     places, common, before = places[keep], common[keep], before[keep]
-    # the last member of an interval that differs from its neighbour in the left byte tells its diversity
+    # the last member of an interval that differs from its neighbour to the left tells its diversity
     change = np.concatenate(([0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))))
     for depth, a, z in intervals(common, least):
         if change[z] > change[a] or before[a] < 0:
@@ -176,15 +169,16 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, first: np.ndarray, least
 
 
 def repeats_of(parts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, parts, places within them) of the maximal repeats of `length` bytes or more among the parts."""
-    size = np.array([len(p) for p in parts], np.int64)
+    """(length, parts, places within them) of the maximal repeats of `length` bytes or more among the parts, inner ones first."""
+    size = np.array([len(p) for p in parts], np.int64) + 1
     base = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(parts), np.uint8)
     of = np.repeat(np.arange(len(parts)), size)
-    ends = (base + size)[of]
+    ends = (base + size - 1)[of]
+    data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+    data[base + size - 1] = 0
     first = np.zeros(len(data), bool)
     first[base] = True
-    for depth, places in maximal_repeats(data, ends, first, length, ends - np.arange(len(data)) >= length):
+    for depth, places in maximal_repeats(data, ends, first, length):
         yield depth, of[places], places - base[of[places]]
 
 
@@ -325,46 +319,59 @@ def _levels(parts: DataFrame, length: int, group: int) -> list[DataFrame]:
         parts = written(_halved(crowded, length), "halves")
 
 
-def _arrays(parts: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, size, *CLASS, place) of the maximal repeats in the parts, one of each class: a digest of the repeat, its bytes, and its place in each part; equal strings have equal keys, so an array takes whole keys."""
-    dealt = parts.select(*CLASS, "part").repartition("k1").sortWithinPartitions("k1")
-    names = ["r1", "r2", "size", *CLASS, "place"]
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted rows of batches in tables of about GATHERED bytes that hold whole keys."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.nbytes for x in held) > GATHERED:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.searchsorted(t["k1"].to_numpy(), t["k1"][-1].as_py()))
+            if cut:
+                yield t.slice(0, cut)
+                held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _covered(parts: DataFrame, length: int) -> DataFrame:
+    """(tid, begin, end): of each place of a maximal repeat in the parts with n = m = 1 the longest one; equal strings have equal keys, so an array takes whole keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for t in _by_key(batches):
+            part, first = t["part"].to_pylist(), t["first"].to_numpy()
+            base = np.cumsum([0, *map(len, part)])
+            longest = np.zeros(base[-1], np.int64)
+            for size, of, place in repeats_of(part, length):
+                at = base[of] + place
+                longest[at] = np.maximum(longest[at], size)
+            at = np.flatnonzero(longest)
+            of = np.searchsorted(base, at, "right") - 1
+            ok = t["alone"].to_numpy()[of]
+            at, of = at[ok], of[ok]
+            begin = first[of] + at - base[of]
+            yield pa.RecordBatch.from_arrays([t["tid"].take(pa.array(of)).combine_chunks(), pa.array(begin), pa.array(begin + longest[at])], names=["tid", "begin", "end"])
+
+    dealt = parts.select("k1", "tid", "first", "part", F.expr("n = 1 and m = 1").alias("alone")).repartition("k1").sortWithinPartitions("k1")
+    return dealt.mapInArrow(run, "tid binary, begin long, end long")
+
 
-        def made(t: pa.Table, out: list[list[np.ndarray]]) -> pa.RecordBatch:
-            r1, r2, size, of, place = (np.concatenate(c) for c in zip(*out, strict=True))
-            own = t.select(CLASS).take(pa.array(of)).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array(r1), pa.array(r2), pa.array(size), *(own[c].combine_chunks() for c in CLASS), pa.array(place)], names=names)
+def _listed(parts: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, size, *CLASS, place) of the maximal repeats in the parts: a digest of the repeat, its bytes, and all its places."""
+    names = ["r1", "r2", "size", *CLASS, "place"]
 
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches):
             part = t["part"].to_pylist()
-            out, rows = [], 0
             for size, of, place in repeats_of(part, length):
                 p = int(place[0])
                 r1, r2 = np.frombuffer(xxhash.xxh3_128_digest(part[int(of[0])][p : p + size]), np.int64)
-                out.append([np.full(len(of), r1), np.full(len(of), r2), np.full(len(of), size), of, place])
-                rows += len(of)
-                if rows > 200_000:
-                    yield made(t, out)
-                    out, rows = [], 0
-            if out:
-                yield made(t, out)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            if sum(x.nbytes for x in held) > GATHERED:
-                t = pa.Table.from_batches(held).combine_chunks()
-                cut = int(np.searchsorted(t["k1"].to_numpy(), t["k1"][-1].as_py()))
-                if cut:
-                    yield from done(t.slice(0, cut))
-                    held = t.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held).combine_chunks())
+                own = t.select(CLASS).take(pa.array(of)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(of), x)) for x in (r1, r2, size)), *(own[c].combine_chunks() for c in CLASS), pa.array(place)], names=names)
 
+    dealt = parts.select(*CLASS, "part").repartition("k1").sortWithinPartitions("k1")
     return dealt.mapInArrow(run, "r1 long, r2 long, size long, k1 long, k2 long, low int, high int, one long, two long, place long")
 
 
@@ -396,8 +403,10 @@ class Found:
         parts = _cut(self.texts.join(wanted, "tid").select("tid", "text", "stretches"), length, gram)
         # copies of a text that different tasks cut
         self.levels = _levels(written(parts.dropDuplicates(CLASS), "parts"), length, group)
-        ready = [x.filter(F.col("kinds").between(2, group)).dropDuplicates(CLASS).select(*CLASS, "part") for x in self.levels]
-        self.repeats = written(_arrays(_union(ready), length), "repeats")
+
+    def _examples(self) -> DataFrame:
+        """What the arrays take: one part of each class, of the keys that have at most `group` classes."""
+        return _union([x.filter(F.col("kinds").between(2, self.group)).dropDuplicates(CLASS) for x in self.levels])
 
     def _again(self) -> DataFrame:
         """The stretches whose kind has more than one place."""
@@ -409,10 +418,7 @@ class Found:
         first = F.shiftright("pos", 16)
         whole = self._again().select("tid", first.alias("begin"), (first + F.col("pos").bitwiseAND(F.lit(255)) + self.length).alias("end"), "all")
         # kinds of several places are covered as a whole, and so are classes of several parts
-        alone = _union([x.filter("n = 1 and m = 1") for x in self.levels]).select(*CLASS, "tid", "first")
-        rest = self.repeats.join(alone, CLASS).groupBy("tid", "first", "place").agg(F.max("size").alias("size"))
-        begin = F.col("first") + F.col("place")
-        rest = rest.select("tid", begin.alias("begin"), (begin + F.col("size")).alias("end"), none)
+        rest = _covered(self._examples(), self.length).withColumn("all", F.lit(None).cast("binary"))
         classes = _union([x.filter("n = 1 and m > 1") for x in self.levels]).select("tid", F.col("first").alias("begin"), (F.col("first") + F.length("part")).alias("end"), none)
         copies = self.texts.groupBy("tid").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")).filter("n > 1")
         return _union([whole, rest, classes, copies.select("tid", F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"), none)])
@@ -422,7 +428,8 @@ class Found:
 
         repeat is a digest of the repeated bytes, size their number; begin is the first place in the text, and times
         how often the stretch around it occurs there. A text and its copies are one. Repeats end at the rims of their
-        anchor's stretch; a longer one is a chain of groups that overlap.
+        anchor's stretch; a longer one is a chain of groups that overlap. Groups nest, so that a place is listed under
+        each repeat that stands there: the list can be longer than the texts. spans() reads only the longest ones.
         """
         name = lambda a, b: F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))).alias("repeat")
         first = F.shiftright("pos", 16)
@@ -430,7 +437,7 @@ class Found:
         whole = self._again().select(name("one", "two"), size, "tid", first.alias("begin"), "times")
         members = _union(self.levels).select(*CLASS, "m", "anchor", "w1", "w2", "skip", F.length("part").cast("long").alias("bytes"))
         classes = members.filter("m > 1").select(name("one", "two"), F.col("bytes").alias("size"), "anchor", "w1", "w2", F.col("skip").cast("long").alias("shift"))
-        part = self.repeats.join(members, CLASS).select(name("r1", "r2"), "size", "anchor", "w1", "w2", (F.col("skip") + F.col("place")).alias("shift"))
+        part = _listed(self._examples(), self.length).join(members, CLASS).select(name("r1", "r2"), "size", "anchor", "w1", "w2", (F.col("skip") + F.col("place")).alias("shift"))
         places = self.shared.select("anchor", F.col("one").alias("w1"), F.col("two").alias("w2"), "tid", first.alias("low"), "times")
         rims = classes.union(part).join(places, ["anchor", "w1", "w2"]).select("repeat", "size", "tid", (F.col("low") + F.col("shift")).alias("begin"), "times")
         return whole.union(rims).distinct()
