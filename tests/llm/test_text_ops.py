@@ -67,7 +67,38 @@ def test_long_texts_in_slices():
         assert ids == first
 
 
-def test_token_counts_match_the_library(spark):
+def test_long_pieces_and_vocabulary_entries():
+    """Pieces beyond the widest matrix, and entries that are pre-tokens, against the library; merges that make pairs of lower rank against one merge a round."""
+    import tiktoken
+
+    from tracelode.llm import bpe
+
+    v = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    rng = random.Random(11)
+    pieces = [b"x" * n for n in (257, 1000, 4001)] + [bytes(rng.choice(b"abcdeetaoin") for _ in range(n)) for n in (300, 5000, 20_000)] + [b"ab" * 900 + b"a", "漢é".encode() * 300]
+    pieces += list(v.ranks)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.array([len(p) for p in pieces])
+    flat, count = v.encode_bytes(data, np.cumsum(size) - size, size)
+    at = np.cumsum(count)
+    for p, n, e in zip(pieces, count.tolist(), at.tolist(), strict=True):
+        assert flat[e - n : e].tolist() == ([v.ranks[p]] if p in v.ranks else library._encode_single_piece(p))
+    odd = {bytes([i]): i + 10 for i in range(256)} | {b"ab": 300, b"abc": 2, b"bc": 301, b"ca": 299}
+    w = bpe.Vocabulary(odd)
+    for text in (b"abcabcab" * 60, b"caab" * 100):
+        ids = [odd[bytes([c])] for c in text]
+        while len(ids) > 1:
+            r, i = min(((int(w.pairs.get(np.array([a]), np.array([b]))[0]), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False))))
+            if r == bpe.NONE:
+                break
+            ids[i : i + 2] = [r]
+        flat, _ = w.encode_bytes(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]))
+        assert flat.tolist() == ids
+
+
+@pytest.mark.parametrize("first", [0, 32_768, 65_536, 70_000])
+def test_token_counts_match_the_library(spark, first):
     from tokenizers import Tokenizer
 
     from tracelode.llm import token_counts
@@ -75,7 +106,7 @@ def test_token_counts_match_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     df, rows = frame(spark, ODD)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(df, path, limit=10).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(df, path, limit=10, first_partition=first).collect()), key=str)
     want = []
     for i, t, _ in rows:
         n = len(library.encode(t or "", add_special_tokens=False).ids)

@@ -8,7 +8,6 @@ without a pair left leave the matrix, and columns that no row needs any more are
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
@@ -23,8 +22,8 @@ from . import pretokens
 from .common import small, table
 
 NONE = np.int32(2**31 - 1)
-#: Longer pre-tokens go through a heap, whose time doesn't grow with the square of the length.
-LONGEST_ROW = 256
+#: Longer pre-tokens each have a matrix of their own, of one row.
+WIDEST = 256
 #: Characters handled at once; bounds a worker's memory.
 SLICE = 500_000
 
@@ -103,7 +102,7 @@ class Vocabulary:
         """Ids of the byte strings data[begin:begin+length], one after the other, and how many each has."""
         count = np.zeros(len(begin), np.int64)
         rows: list[tuple[np.ndarray, np.ndarray]] = []  # (numbers of the strings, their ids one after the other)
-        widths = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192, LONGEST_ROW]
+        widths = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192, WIDEST]
         low = 0
         for width in widths:
             who = np.flatnonzero((length > low) & (length <= width))
@@ -111,10 +110,10 @@ class Vocabulary:
             for part in np.array_split(who, max(1, len(who) * width // 4_000_000 + 1)):
                 if len(part):
                     self._matrix(data, begin, length, part, width, count, rows)
-        for i in np.flatnonzero(length > LONGEST_ROW):
-            ids = self._long(data[begin[i] : begin[i] + length[i]].tobytes())
+        for i in np.flatnonzero(length > WIDEST):
+            ids = self._row(self.of_byte[data[begin[i] : begin[i] + length[i]]])
             count[i] = len(ids)
-            rows.append((np.array([i]), np.array(ids, np.int32)))
+            rows.append((np.array([i]), ids))
         flat = np.empty(int(count.sum()), np.int32)
         at = np.cumsum(count) - count
         for who, ids in rows:
@@ -160,35 +159,31 @@ class Vocabulary:
             else:
                 rank = np.full((len(who), 1), NONE, np.int32)
 
-    def _long(self, piece: bytes) -> list[int]:
-        """The same merges with a heap over a linked list."""
-        ids = [int(self.ranks[piece[i : i + 1]]) for i in range(len(piece))]
-        begin, size = list(range(len(piece))), [1] * len(piece)
-        nxt, prev = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if i >= 0 and j < len(piece):
-                r = self.ranks.get(piece[begin[i] : begin[i] + size[i] + size[j]])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, size[i] + size[j]))
-
-        for i in range(len(piece) - 1):
-            offer(i)
-        while heap:
-            r, i, n = heapq.heappop(heap)
-            j = nxt[i] if size[i] else len(piece)
-            if not size[i] or j >= len(piece) or size[i] + size[j] != n:
-                continue
-            ids[i], size[i], size[j] = r, n, 0
-            nxt[i] = nxt[j]
-            if nxt[j] < len(piece):
-                prev[nxt[j]] = i
-            if prev[i] >= 0:
-                offer(prev[i])
-            offer(i)
-        return [x for x, n in zip(ids, size, strict=True) if n]
+    def _row(self, ids: np.ndarray) -> np.ndarray:
+        """A matrix of one row. A round makes the merges that the next rounds would, from the left: those of the same pair, up to the first after which another pair ranks lower."""
+        rank = np.append(self.pairs.get(ids[:-1], ids[1:]), NONE)
+        while (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            # of pairs that overlap, the first, third and so on
+            run = np.cumsum(np.concatenate(([True], at[1:] != at[:-1] + 1))) - 1
+            at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+            if len(at) > 1:
+                merged, end = np.full(len(at), best, np.int32), np.append(ids, np.int32(-1))
+                before = np.where(at > 0, ids[at - 1], np.int32(-1))
+                before[1:][at[1:] == at[:-1] + 2] = best
+                lower = np.minimum(self.pairs.get(before, merged), self.pairs.get(merged, end[at + 2])) < best
+                if lower.any():
+                    at = at[: lower.argmax() + 1]
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            rank[-1] = NONE
+            at = at - np.arange(len(at))
+            for side in (at - 1, at):
+                side = side[(side >= 0) & (side < len(ids) - 1)]
+                rank[side] = self.pairs.get(ids[side], ids[side + 1])
+        return ids
 
 
 @cache
