@@ -28,11 +28,11 @@ from . import pretokens
 from .common import table
 
 #: Characters split at once, and rows of a slice (their numbers take 16 bits).
-SLICE, ROWS = 3_000_000, 50_000
+SLICE, ROWS = 2_000_000, 50_000
 ENTRY = np.dtype([("row", "<u2"), ("times", "u1")])
 SUM = np.dtype([("row", "<u2"), ("tokens", "<u4")])
 #: Sums that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 LIMIT = 512
 
 
@@ -125,7 +125,7 @@ def piece_counts(texts: DataFrame, path: str) -> DataFrame:
     return texts.mapInArrow(gather, "pretoken string").distinct().mapInArrow(count, "pretoken string, pieces int")
 
 
-def _postings(docs: DataFrame, path: str) -> DataFrame:
+def _postings(docs: DataFrame, path: str, first_partition: int = 0) -> DataFrame:
     """Per batch of rows: (pretoken, batch, entries), and one row with the rows' ids, sizes and what is counted already.
 
     That row's pre-token is a NUL and a number, which is no match of the pattern, so it spreads over the join's
@@ -134,7 +134,7 @@ def _postings(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added, (entry_words, entry_pieces) = tokenizer(path)[1], known(path)
-        batch = TaskContext.get().partitionId() << 32
+        batch = (TaskContext.get().partitionId() + first_partition) << 32
         names = ["pretoken", "batch", "entries", "rows"]
         for b, texts in _batches(batches, 1):
             number, parts, counted = _parts(texts, added)
@@ -196,6 +196,7 @@ def _sums(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         sums: list[np.ndarray] = []
+        numbers: dict[int, int] = {}  # of the batches held, so that a batch and a row fit one word whatever the batch is called
         held, kind, names = 0, None, ["batch", "sums", "rows"]
 
         def folded() -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +208,8 @@ def _sums(joined: DataFrame) -> DataFrame:
             out = np.empty(len(key), SUM)
             out["row"], out["tokens"] = key & 0xFFFF, total
             of_batch = [out[a:z].tobytes() for a, z in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(key[first] >> 16), pa.array(of_batch, pa.binary()), pa.nulls(len(first), kind)], names=names)
+            batch = np.array(list(numbers), np.int64)[key[first] >> 16]
+            return pa.RecordBatch.from_arrays([pa.array(batch), pa.array(of_batch, pa.binary()), pa.nulls(len(first), kind)], names=names)
 
         for b in batches:
             kind = b.schema.field("rows").type
@@ -221,7 +223,8 @@ def _sums(joined: DataFrame) -> DataFrame:
             offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + b.num_rows + 1].astype(np.int64)
             data = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(ENTRY)
             n = np.diff(offsets) // ENTRY.itemsize
-            keys.append(np.repeat(b.column("batch").to_numpy() << 16, n) | data["row"])
+            number = np.array([numbers.setdefault(x, len(numbers)) for x in b.column("batch").to_pylist()], np.int64)
+            keys.append(np.repeat(number << 16, n) | data["row"])
             sums.append(np.repeat(b.column("pieces").to_numpy().astype(np.int64), n) * data["times"])
             held += len(data)
             if held > 2 * HELD:
@@ -229,6 +232,7 @@ def _sums(joined: DataFrame) -> DataFrame:
                 if len(key) > HELD:
                     yield blocks(key, total)
                     keys, sums, held = [], [], 0
+                    numbers.clear()
                 else:
                     keys, sums, held = [key], [total], len(key)
         if keys:
@@ -267,15 +271,16 @@ def _totals(blocks: DataFrame) -> DataFrame:
     return blocks.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, schema)
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, first_partition: int = 0) -> DataFrame:
     """A row for each row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null text is empty: no bytes, no tokens. Rows are told apart by their place, so repeated rows and null ids
     each keep a row. Strings of added tokens inside a text count as one token, as the library takes them by
     default. Long texts are cut where a match always ends. Other columns are left out and can't clash.
+    Batches are named by the number of their partition, counted from first_partition.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    joined = _postings(docs, path).join(piece_counts(docs.select("text"), path), "pretoken", "left")
+    joined = _postings(docs, path, first_partition).join(piece_counts(docs.select("text"), path), "pretoken", "left")
     return _totals(_sums(joined)).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
