@@ -114,13 +114,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataF
     halves = [F.struct(F.lit(s).alias("segment"), _half(F.col("fp"), s).alias("value")) for s in (0, 1)]
     index = fps.select("fp", F.inline(F.array(*halves)))
     sizes = index.groupBy("segment", "value").agg(F.count("*").alias("n"))
-    index = index.join(sizes, ["segment", "value"])
+    # a bucket beside a dense one counts as dense: all who look into any other bucket are of sparse ones, so they are few
+    full = sizes.filter(F.col("n") > dense).select("segment", F.explode(F.transform(ball, lambda m: F.col("value").bitwiseXOR(m))).alias("value")).distinct()
     probes = [_probes(ball, s) for s in (0, 1)]
     probed = fps.select(F.col("fp").alias("probe"), F.inline(F.concat(*probes)))
-    sparse = index.filter(F.col("n") <= dense).select("segment", "value", "fp")
+    sparse = index.join(full, ["segment", "value"], "left_anti").select("segment", "value", "fp")
     pairs = probed.join(sparse, ["segment", "value"]).filter((F.bit_count(F.col("probe").bitwiseXOR(F.col("fp"))) <= distance) & (F.col("probe") != F.col("fp")))
     pairs = pairs.select(F.greatest("probe", "fp").alias("a"), F.least("probe", "fp").alias("b"))
-    full = sizes.filter(F.col("n") > dense).select("segment", "value")
     # whoever looks into a dense bucket enumerates points instead
     visitors = probed.join(full, ["segment", "value"], "left_semi").select(F.col("probe").alias("fp")).distinct()
     return pairs.union(_star(visitors, distance)).distinct()
