@@ -94,6 +94,21 @@ def test_similar_texts_meet(spark):
     assert len(kept) <= 42 + 1 and all(r.doc_id % 2 == 0 for r in kept if r.g >= 0 and [k.g for k in kept].count(r.g) == 1)
 
 
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracelode.llm import simhash
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(40)), "k") for i in range(30)] + [(90, None, "k"), (91, "", "k")]
+    rows += [(50 + i, t, "k") for i, t, _ in rows[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, TEXT_ID string")
+    want = sorted(r.doc_id for r in simhash.deduplicated(df).collect())
+    assert want == [*range(30), 90]
+    monkeypatch.setattr(simhash, "text_hash", lambda text: F.xxhash64(text) % 3)
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == want
+
+
 def shingles(text):
     w = text.split()
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
@@ -278,12 +293,15 @@ def test_suffix_arrays_order_all_suffixes():
 
 
 def test_archives(spark):
+    from pyspark.sql import functions as F
+
     from tracelode.llm import warc
     from tracelode.llm.common import shared_path
 
     rows = [(1, "u", "same"), (2, "u", "same"), (3, None, "same"), (4, "u", None), (5, "u", ""), (None, "u", "same"), (9, "u\r\n", "WARC/1.1\r\n\r\n\r\n\r\nx"), (9, "u", "WARC/1.1\r\n\r\n\r\n\r\nx"), (7, "é", "é\0")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = warc.deduplicated(df, shared_path(spark, "warc"), "page_id", "url", "html").collect()
+    path = shared_path(spark, "warc")
+    got = warc.deduplicated(df, path, "page_id", "url", "html").collect()
     assert len(got) == len(rows)
     kinds = {(r.id, r.record_type, r.refers_to) for r in got}
     assert {("1", "revisit", "3"), ("2", "revisit", "3"), ("3", "response", None), ("4", "revisit", "5"), ("5", "response", None), (None, "response", None), ("9", "response", None)} <= kinds
@@ -292,17 +310,45 @@ def test_archives(spark):
         if r.record_type == "response" and r.id:
             assert bytes(r.payload) == payloads[r.id] and r.digest == base64.b32encode(hashlib.sha1(payloads[r.id]).digest()).decode()
     assert warc.deduplicated(df.limit(0), shared_path(spark, "warc"), "page_id", "url", "html").count() == 0
+    back = warc.read_archives(spark, path)
+    for r in warc.restored(back).collect():
+        assert r.id is None or bytes(r.payload) == payloads[r.id]
+    facts = warc.resolved(back).collect()
+    assert len(facts) == len(rows) and all(r.intact for r in facts)
+    lost = {r.id: r for r in warc.resolved(back.filter("id is null or id <> '3'")).collect()}
+    assert not lost["1"].intact and lost["1"].digest is None and lost["4"].intact
+    bent = back.withColumn("payload", F.expr("if(id = '3', cast('other' as binary), payload)"))
+    assert {r.id for r in warc.resolved(bent).collect() if not r.intact} == {"1", "2", "3"}
+
+
+def test_archives_of_pages(spark, sf_dir):
+    """The query against a direct computation."""
+    from tracelode.llm import warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    newest = {}
+    for r in pages:
+        newest[r.html or ""] = max(newest.get(r.html or "", -1), r.page_id)
+    want = []
+    for r in pages:
+        raw, ref = (r.html or "").encode(), newest[r.html or ""]
+        again = ref != r.page_id
+        want.append((r.page_id, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", ref if again else None, True))
+    assert sorted(map(tuple, warc.op6_warc(spark, sf_dir).collect())) == sorted(want)
 
 
 def test_neighbours(spark, sf_dir):
     from tracelode.llm import ann
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    bad = [(10001, None), (10050, [0.0] * 64), (10100, [float("nan")] * 64), (10150, [None] * 64), (10200, [1.0, 2.0]), (None, [1.0] * 64)]
+    bad = [(10001, None), (10050, [0.0] * 64), (10100, [float("nan")] * 64), (10150, [None] * 64), (None, [1.0] * 64)]
+    short = [(10200, [1.0, 2.0]), (10201, [2.0, 4.0]), (10202, [2.0, 1.0])]
     copies = [(20000 + i, [0.5] * 32 + [0.25] * 32) for i in range(51)]
-    df = vectors.union(spark.createDataFrame(bad + copies, "vec_id long, embedding array<float>"))
+    df = vectors.union(spark.createDataFrame(bad + short + copies, "vec_id long, embedding array<float>"))
     got = ann.nearest(df, df.filter("vec_id % 50 = 0")).collect()
-    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.vec_id is not None and r.vec_id not in {b[0] for b in bad}]
+    assert [(r.rank, r.vec_id, round(r.score, 9)) for r in sorted(got) if r.query_id == 10200] == [(1, 10201, 1.0), (2, 10202, 0.8)]
+    got = [r for r in got if r.query_id != 10200]
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.vec_id is not None and r.vec_id not in {b[0] for b in bad + short}]
     ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     hit, by = 0, collections.defaultdict(list)
@@ -323,6 +369,24 @@ def test_neighbours(spark, sf_dir):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+def test_clusters_take_few_lists_and_noise_takes_many():
+    from tracelode.llm import ann
+
+    rng = np.random.default_rng(1)
+    for spread, low, high in ((0.05, 1, 8), (9.0, 20, 60)):
+        middles = rng.standard_normal((40, 32))
+        v = middles[rng.integers(0, 40, 6000)] + spread * rng.standard_normal((6000, 32))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        centres = ann.centres_of(v, 60)
+        n = ann.probes_for(v, centres)
+        assert low <= n <= high
+        of, order = (v @ centres.T).argmax(axis=1), np.argsort(-(v[::40] @ centres.T), axis=1)
+        near = v[::40] @ v.T
+        near[np.arange(150), np.arange(0, 6000, 40)] = -9
+        best = np.argsort(-near, axis=1)[:, :5]
+        assert np.mean([of[j] in order[i, :n] for i in range(150) for j in best[i]]) >= 0.93
+
+
 def test_mixing(spark):
     from tracelode.llm import mixing
 

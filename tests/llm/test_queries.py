@@ -38,9 +38,24 @@ def test_url_rules_and_terms(spark):
     assert got[3] == ("example.com", "example.com/en/", "block") and got[4][1:] == ("www.example.com/en/", "allow")
     assert got[5][1:] == ("net/es/", "block") and got[6][1:] == ("net/fr/", "block") and got[7][1:] == (None, "allow") and got[8][1:] == (None, "allow")
     assert [got[i][2] for i in range(9, 16)] == ["block", "allow", "block", "allow", "block", "allow", "allow"]
+    assert all(0 < w < url_filter.SOFT_LIMIT for w in url_filter.SOFT.values()) and len(set(url_filter.SOFT.values())) > 4
+    # the weights decide: as many terms in each
+    pairs = spark.createDataFrame([(1, "http://a.org/sex-free-win"), (2, "http://a.org/sex-bonus"), (3, "http://a.org/free-deal-win-cash-credit-download"), (4, "http://a.org/poker/slots")], "page_id long, `the.url` string")
+    got = {r.page_id: (r.verdict, r.soft_hits, r.soft_weight) for r in url_filter.judge_urls(pairs, "page_id", "the.url").collect()}
+    assert got == {1: ("block", 3, 2.0), 2: ("block", 2, 2.0), 3: ("allow", 6, 1.75), 4: ("block", 2, 2.0)}
     assert url_filter.judge_urls(df.limit(0), "page_id", "url").count() == 0
 
 
+def test_vocabulary_of_a_file(spark, tmp_path):
+    from tracelode.llm import url_filter
+
+    (tmp_path / "terms.tsv").write_text("# terms\n\nstrict\tbad one\n0.5\tsoft\n1.5\tsofter\n")
+    v = url_filter.Vocabulary.read(spark, str(tmp_path / "terms.tsv"))
+    assert v.strict == ("bad one",) and v.soft == {"soft": 0.5, "softer": 1.5}
+    df = spark.createDataFrame([(1, "http://a.org/soft/softer"), (2, "http://a.org/softer"), (3, "http://a.org/bad one")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge_urls(df, "page_id", "url", vocabulary=v).orderBy("page_id").collect()] == ["block", "allow", "block"]
+
+
 def test_quality_on_labels(spark):
     from tracelode.llm import quality
 

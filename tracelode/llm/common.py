@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words in every operator here: space and the bytes 9 to 13.
@@ -41,6 +41,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with nr, from 0 in this order: rows are dealt by ranges and counted within them, and the ranges follow each other."""
+    part, at = unused("part", df.columns), unused("at", df.columns)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(at)), "numbered")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = dealt.groupBy(part).agg(F.count("*").alias("nr")).withColumn("nr", F.coalesce(F.sum("nr").over(before), F.lit(0)))
+    return dealt.join(offsets, part).withColumn("nr", F.col("nr") + F.col(at)).drop(part, at)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table of written() that nothing reads any more."""
     spark = df.sparkSession
@@ -79,6 +89,11 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
             yield b.slice(low, rows)
 
 
+def text_id(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, other characters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = written(hung.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, now = now, written(hung.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        dropped(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

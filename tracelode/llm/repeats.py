@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, small, table, unused, values, written
+from .common import fresh, small, table, text_id, unused, values, written
 
 #: Bytes of a repeat, and of what an anchor hashes.
 LENGTH, GRAM = 200, 40
@@ -375,11 +375,6 @@ def _listed(parts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "r1 long, r2 long, size long, k1 long, k2 long, low int, high int, one long, two long, place long")
 
 
-def text_id(text: Column) -> Column:
-    """128 bits that stand for a text."""
-    return F.unhex(F.md5(text))
-
-
 class Found:
     """What one search leaves in the shared folder, and what can be asked of it.
 

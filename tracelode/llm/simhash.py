@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, values, written
+from .common import fresh, small, table, text_id, unused, values, written
 from .components import components
 
 SEED = 42
@@ -33,6 +33,8 @@ DENSE = 64
 BLOCK = 1 << 15
 #: For similarity search: 64-bit hashes a shingle, bits of a segment, and the least certain bits that are flipped.
 LANES, SEGMENT, FLIPS = 10, 32, 4
+#: Texts of a task whose copies are told at once.
+SEEN = 500_000
 #: Texts under one lookup value that a task compares with one another; more are dealt in blocks, and all pairs of blocks compared.
 CROWD = 4096
 
@@ -178,13 +180,12 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
     """(tid, signature, doubts) of texts(tid, text): LANES words of bits, and of each segment the FLIPS bits with the smallest margins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # texts of this task; copies add nothing
+        seen: set[int] = set()
         for b in batches:
             tids, bits, doubts = [], [], []
             for tid, text in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
-                if tid in seen:
+                if not fresh(seen, tid, SEEN):
                     continue
-                seen.add(tid)
                 margins = bit_margins(shingle_hashes(text, words), LANES)
                 tids.append(tid)
                 bits.append(np.packbits(margins > 0).tobytes())
@@ -289,8 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         for b in small(batches):
             tids, found = [], []
             for tid, text in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
-                if tid not in seen:
-                    seen.add(tid)
+                if fresh(seen, tid, SEEN):
                     tids.append(tid)
                     found.append(np.unique(shingle_hashes(text, words).view("<u8").ravel()).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(found, pa.binary())], names=["tid", "shingles"])
@@ -343,18 +343,48 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return roots
 
 
+def text_hash(text: Column) -> Column:
+    """64 bits of a text; different texts may share them."""
+    return F.xxhash64(text)
+
+
+def _renamed(slim: DataFrame) -> DataFrame | None:
+    """(t, tid): other numbers for the texts of slim(tid, t), where t is their 128-bit id, that share a number with another text; None if there are none.
+
+    Of n texts some n * n / 2**65 share one. They get numbers made of t, until none of these is taken either.
+    """
+    now, fixed = slim.select("tid", "t").distinct(), None
+    for salt in range(1, 9):
+        clash = now.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").select("tid")
+        wrong = written(now.join(clash, "tid").select("t", F.xxhash64(F.lit(salt), "t").alias("tid")), "clashes")
+        if not wrong.head(1):
+            return fixed
+        fixed = wrong if fixed is None else written(fixed.join(wrong, "t", "left_anti").unionByName(wrong), "renamed")
+        now = written(now.join(wrong.select("t"), "t", "left_anti").unionByName(wrong.select("tid", "t")), "numbers")
+    raise ArithmeticError("texts share their numbers under eight salts")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that with the smallest id, nulls last, then the smallest text hash.
+    """docs with one row of each group of near-duplicates: that with the smallest id, nulls last, then the smallest text id.
 
     Equal texts are near-duplicates, empty and null texts of one another too. Of rows that repeat an id with the
-    same text, one stays. All columns pass through.
+    same text, one stays. All columns pass through. Texts are told apart by 128 bits.
     """
-    tid = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    roots = written(similar_groups(docs.select(tid.alias("tid"), F.col(f"`{text_col}`").alias("text")), words, similarity), "groups")
-    slim = written(docs.select(F.col(f"`{id_col}`").alias("id"), tid.alias("tid")), "ids")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    slim = written(docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("tid"), text_id(text).alias("t")), "ids")
+    texts = docs.select(text.alias("text"), text_hash(text).alias("tid"))
+    fixed = _renamed(slim)
+    if fixed is not None:
+        fixed = fixed.withColumnRenamed("tid", "own")
+        number = F.coalesce("own", "tid").alias("tid")
+        slim = slim.join(fixed, "t", "left").select("id", number, "t")
+        texts = texts.withColumn("t", text_id(F.col("text"))).join(fixed, "t", "left").select("text", number)
+    roots = written(similar_groups(texts.select("tid", "text"), words, similarity), "groups")
     known = slim.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    best = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.tid").alias("__tid"))
-    out = docs.withColumn("__hash", tid).join(best, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tid")), "left_semi")
-    if slim.groupBy("id", "tid").count().filter("count > 1").head(1):
-        out = out.dropDuplicates([id_col, "__hash"])
-    return out.drop("__hash")
+    one, two = unused("kept_id", docs.columns), unused("kept_text", docs.columns)
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x")).select(F.col("x.id").alias(one), F.col("x.t").alias(two))
+    own = unused("text_id", docs.columns)
+    out = docs.withColumn(own, text_id(text)).join(best, F.col(f"`{id_col}`").eqNullSafe(F.col(one)) & (F.col(own) == F.col(two)), "left_semi")
+    if slim.groupBy("id", "t").count().filter("count > 1").head(1):
+        out = out.dropDuplicates([id_col, own])
+    return out.drop(own)
