@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table, written
+from .common import n_words, numbered, table, unused, written
 
 #: The query's weights, repeating over the sources by code point, null last.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -25,28 +25,22 @@ ROUND_BITS, HASH_BITS = 12, 60
 def water_fill(sources: DataFrame, total_share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """Adds target to (source, weight, source_size): the fixed point of clamping and resharing.
 
-    In the order of cap over weight the clamped sources come first, so running sums find the level at which the
-    water stands without iterating. The table has one row a source, as the weights that a user lists do; the one
-    window over it is of that size. Sources of weight zero get no target; if all are clamped, each has its cap.
+    Each round sums up the sources that the level of the round before clamps, and the weight of the others, to which
+    the rest goes; it ends when no more are clamped. The sources stay a table: three numbers a round come to the
+    driver. Sources of weight zero get no target; if all are clamped, each has its cap.
     """
-    cap = max_epochs * F.col("source_size")
-    before = Window.orderBy("ratio", "key").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("ratio", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    # a null source sorts by its own flag
-    key = F.struct(F.col("source").isNull(), F.col("source"))
-    x = (
-        sources.withColumn("cap", cap)
-        .withColumn("key", key)
-        .withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf"))))
-        .withColumn("total", F.lit(total_share) * F.sum("source_size").over(whole))
-        .withColumn("spent", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open_weight", F.sum("weight").over(rest))
-        .withColumn("level", F.when(F.col("open_weight") > 0, (F.col("total") - F.col("spent")) / F.col("open_weight")))
-    )
-    # the first source that isn't clamped sets the level
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "key", "level"))).over(whole)["level"]
-    target = F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(F.coalesce(F.col("weight") * level, F.col("cap")), F.col("cap")))
+    x = sources.withColumn("cap", max_epochs * F.col("source_size"))
+    total = total_share * (x.agg(F.sum("source_size")).first()[0] or 0)
+    open_ = x.filter("weight > 0").select("weight", "cap", (F.col("cap") / F.col("weight")).alias("ratio"))
+    level, clamped = float("-inf"), -1
+    while True:
+        shut = F.col("ratio") <= F.lit(level)
+        spent, weight, n = open_.agg(F.sum(F.when(shut, F.col("cap"))), F.sum(F.when(~shut, F.col("weight"))), F.count_if(shut)).first()
+        if n == clamped or not weight:
+            level = level if weight else float("inf")
+            break
+        level, clamped = (total - (spent or 0.0)) / weight, n
+    target = F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(F.col("weight") * F.lit(level), F.col("cap")))
     return x.withColumn("target", target).select("source", "weight", "source_size", "target")
 
 
@@ -55,13 +49,14 @@ def _cut(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Each round sums the words by source and the hash's next bits, which map-side sums shrink to some thousand
     rows a source, and goes on within the one bin in which the wanted number of words is passed. After the last
-    round a bin is one hash value; the cut falls before or after it, whichever is nearer.
+    round a bin is one hash value; the cut falls before or after it, whichever is nearer. The state is a table of one
+    row a source; Spark broadcasts it where it is small, and joins by source where it isn't.
     """
     state = wanted.withColumn("low", F.lit(0).cast("long"))
     for done in range(0, HASH_BITS, ROUND_BITS):
         width = 1 << (HASH_BITS - done - ROUND_BITS)
         span = width << ROUND_BITS
-        inside = hashed.join(F.broadcast(state), F.expr("source <=> s_source") & (F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + F.lit(span)))
+        inside = hashed.join(state, F.expr("source <=> s_source") & (F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + F.lit(span)))
         bins = inside.groupBy("s_source", "low", "want", F.expr(f"(hash - low) div {width}").alias("bin")).agg(F.sum("size").alias("words"))
         w = Window.partitionBy("s_source").orderBy("bin")
         run = bins.withColumn("upto", F.sum("words").over(w)).withColumn("above", F.col("upto") - F.col("words"))
@@ -71,40 +66,39 @@ def _cut(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
         state = passed.filter("x is not null").select(
             "s_source", (F.col("x.want") - F.col("x.above")).alias("want"), (F.col("x.low") + F.col("x.bin") * F.lit(width)).alias("low"), F.col("x.words").alias("last"),
         )
-        # the state has one row a source; writing it out would cost more than what it saves until the next round
-        rows = state.collect()
-        state = hashed.sparkSession.createDataFrame(rows, "s_source string, want double, low long, last long")
+        state = written(state, "cut")
     return state.select(F.col("s_source"), (F.col("low") + F.when(F.col("want") * 2 >= F.col("last"), 1).otherwise(0)).alias("cut"))
 
 
-def _taken(docs: DataFrame, weights: tuple[float, ...] | dict, total_share: float, max_epochs: float, seed: str) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies beside its own columns."""
+def _taken(docs: DataFrame, weights: tuple[float, ...] | dict, total_share: float, max_epochs: float, seed: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with size, source_size, target and copies beside its own columns, and the names that these have there."""
     spark = docs.sparkSession
+    names = {c: unused(f"mix_{c}", docs.columns) for c in ("size", "source_size", "target", "copies", "hash", "source", "whole", "cut")}
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.md5(text)))
-    base = docs.withColumns({"__size": n_words(F.col("text")), "__hash": F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")})
+    base = docs.withColumns({names["size"]: n_words(F.col("text")), names["hash"]: F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")})
     # what the sums and the cut search need, without texts: they read it several times
-    slim = written(base.select("source", F.col("__hash").alias("hash"), F.col("__size").alias("size")), "mix")
+    slim = written(base.select("source", F.col(names["hash"]).alias("hash"), F.col(names["size"]).alias("size")), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     if isinstance(weights, dict):
-        table_of = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
-        sources = sizes.withColumn("weight", F.coalesce(table_of[F.col("source")], F.lit(0.0)).cast("double"))
+        listed = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "listed string, weight double")
+        sources = sizes.join(listed, F.expr("source <=> listed"), "left").select("source", "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     else:
-        order = Window.orderBy(F.col("source").isNull(), F.col("source"))
         values = F.array(*[F.lit(float(w)) for w in weights])
-        sources = sizes.withColumn("weight", F.element_at(values, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    filled = water_fill(sources, total_share, max_epochs)
+        sources = numbered(sizes, F.col("source").isNull(), F.col("source")).withColumn("weight", F.element_at(values, (F.col("nr") % len(weights) + 1).cast("int"))).drop("nr")
+    filled = water_fill(written(sources, "sources"), total_share, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = filled.withColumn("whole", F.floor(rate + F.lit(1e-12)).cast("long"))
     plan = plan.withColumn("want", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    rows = plan.select("source", "source_size", "target", "whole", "want").collect()
-    plan = spark.createDataFrame(rows, "s_source string, source_size long, target double, whole long, want double")
+    plan = written(plan.select(F.col("source").alias("s_source"), "source_size", "target", "whole", "want"), "targets")
     cuts = _cut(slim.filter("size > 0"), plan.filter("want > 0").select("s_source", "want")).withColumnRenamed("s_source", "c_source")
-    plan = plan.join(F.broadcast(cuts), F.expr("s_source <=> c_source"), "left")
-    plan = plan.select(F.col("s_source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.coalesce("cut", F.lit(0)).alias("__cut"))
-    copies = F.when(F.col("__size") > 0, F.col("__whole") + F.when(F.col("__hash") < F.col("__cut"), 1).otherwise(0)).otherwise(0)
-    out = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", copies.cast("long"))
-    return out.drop("__hash", "__source", "__whole", "__cut")
+    plan = plan.join(cuts, F.expr("s_source <=> c_source"), "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    plan = written(plan.select("s_source", "source_size", "target", "whole", "cut"), "plan")
+    plan = plan.select(*[F.col(c).alias(names[c.removeprefix("s_")]) if c == "s_source" else F.col(c).alias(names[c]) for c in plan.columns])
+    size, whole, cut, h = (F.col(names[c]) for c in ("size", "whole", "cut", "hash"))
+    copies = F.when(size > 0, whole + F.when(h < cut, 1).otherwise(0)).otherwise(0)
+    out = base.join(plan, F.col("source").eqNullSafe(F.col(names["source"])), "left").withColumn(names["copies"], copies.cast("long"))
+    return out, names
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -114,18 +108,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_shar
     words. A null source is a source of its own. The seeded hash is of doc_id and the text, so repeated rows and
     reruns get the same copies; rows with equal hashes are taken or left together. Empty tables give no rows. A
     source without words has target 0 and its documents no copies. Extra columns pass through untouched, and the
-    columns made here replace any of the same name. The sums by source are one row a source and are broadcast:
-    their number is that of the weights a user lists, not of the documents.
+    columns made here replace any of the same name. The sums by source stay a table of one row a source.
     """
     new = ("size", "source_size", "target", "copies")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    return _taken(docs, weights, total_share, max_epochs, seed).select(*keep, *[F.col(f"__{c}").alias(c) for c in new])
+    out, names = _taken(docs, weights, total_share, max_epochs, seed)
+    return out.select(*keep, *[F.col(names[c]).alias(c) for c in new])
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] | dict = WEIGHTS, total_share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """docs with each row as many times as the mix takes it. Documents without words take no part in the shares and stay once."""
-    times = F.when(F.col("__size") > 0, F.col("__copies")).otherwise(1).cast("int")
-    out = _taken(docs, weights, total_share, max_epochs, seed).filter(times > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times)))
+    out, names = _taken(docs, weights, total_share, max_epochs, seed)
+    times = F.when(F.col(names["size"]) > 0, F.col(names["copies"])).otherwise(1).cast("int")
+    out = out.filter(times > 0).withColumn(names["copies"], F.explode(F.array_repeat(F.lit(1), times)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
