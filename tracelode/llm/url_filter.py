@@ -18,9 +18,19 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, table
 
 #: Terms of which one rejects a URL.
-STRICT = ("porn", "xxx", "xvideos", "hentai", "camgirls", "escorts", "warez", "keygen", "phishing", "malware")
-#: Terms with their weights; distinct ones add up to SOFT_LIMIT.
-SOFT = {"adult": 1, "sex": 1, "casino": 1, "poker": 1, "betting": 1, "viagra": 1, "pills": 1, "loan": 1, "torrent": 1, "crack": 1, "dating": 1, "nude": 1}
+STRICT = (
+    "porn", "porno", "xxx", "xvideos", "hentai", "milf", "bdsm", "camgirl", "camgirls", "escort", "escorts", "livesex", "sexcam", "sexchat", "hardcore",
+    "warez", "keygen", "keygens", "cracks", "serialz", "nulled", "phishing", "malware", "ransomware", "botnet", "carding", "skimmer", "darkmarket",
+    "onlinecasino", "freeslots", "buyviagra", "cialis", "steroids", "fakeid", "payday",
+)
+#: Terms with their weights; distinct ones add up to SOFT_LIMIT. None reaches it alone.
+SOFT = {
+    "sex": 1.5, "sexy": 1.5, "nude": 1.5, "naked": 1.5, "erotic": 1.5, "viagra": 1.5, "casino": 1.25, "casinos": 1.25, "adult": 1.0, "adults": 0.75, "fetish": 1.5, "lingerie": 1.0,
+    "webcam": 1.0, "dating": 1.0, "singles": 0.75, "hookup": 1.5, "poker": 1.0, "slots": 1.0, "roulette": 1.0, "jackpot": 1.0, "betting": 1.0, "bets": 0.75, "gambling": 1.0, "lottery": 0.75,
+    "bonus": 0.5, "free": 0.25, "cheap": 0.5, "deal": 0.25, "discount": 0.25, "win": 0.25, "prize": 0.5, "pills": 1.0, "pharmacy": 0.75, "prescription": 0.5, "weightloss": 1.0, "detox": 0.5,
+    "loan": 0.75, "loans": 0.75, "credit": 0.25, "cash": 0.5, "crypto": 0.5, "bitcoin": 0.5, "forex": 0.75, "torrent": 1.0, "torrents": 1.0, "crack": 1.25, "cracked": 1.25, "serial": 0.75,
+    "download": 0.25, "stream": 0.25, "replica": 1.0, "rolex": 1.0, "spyware": 1.25, "hack": 0.75, "hacked": 0.75, "exploit": 0.5, "tracker": 0.25, "popup": 0.75, "clickbait": 1.0,
+}
 SOFT_LIMIT = 2
 #: The rules of the query: verdict and rule.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -32,6 +42,21 @@ class Vocabulary:
     soft: Mapping[str, float] = field(default_factory=lambda: dict(SOFT))
     soft_limit: float = SOFT_LIMIT
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, soft_limit: float = SOFT_LIMIT) -> Vocabulary:
+        """From text files of lines `strict<TAB>term` and `weight<TAB>term`, wherever Spark reads; blank lines and those that begin with # don't count."""
+        strict, soft = [], {}
+        for (line,) in spark.read.text(path).collect():  # a vocabulary is a list for one automaton in each worker
+            if line.strip() and not line.startswith("#"):
+                kind, _, term = line.partition("\t")
+                if not term.strip():
+                    raise ValueError(f"{path}: no term in {line!r}")
+                if kind == "strict":
+                    strict.append(term.strip())
+                else:
+                    soft[term.strip()] = float(kind)
+        return cls(tuple(strict), soft, soft_limit)
+
     def automaton(self):
         import ahocorasick
 
@@ -94,11 +119,13 @@ def judge_urls(df: DataFrame, id_col: str, url_col: str, rules: Iterable[tuple[s
     Returns id, host, path, rule (null if none fits), verdict (allow or block), strict_hits, soft_hits (distinct
     terms) and soft_weight. A null or empty URL, or one without '://', has an empty host and path and fits no
     rule; the vocabulary still sees the whole URL. Repeated rows each get a row; other columns are left out, so
-    their names can't clash. The vocabulary and the rules go to the workers with the task: both are parameters.
+    their names can't clash. The vocabulary and the rules go to the workers with the task: both are parameters
+    (Vocabulary.read() takes files). A term that is listed as strict and soft is strict.
     """
     index, vocabulary = rule_index(rules), vocabulary or Vocabulary()
-    host, path = host_path(F.col(url_col))
-    rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    url = F.col(f"`{url_col}`")
+    host, path = host_path(url)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), host.alias("host"), path.alias("path"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = vocabulary.automaton()
