@@ -40,18 +40,20 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id, digest, size) with record_type and refers_to: the largest id of a digest is the response.
+    """(id, digest, size, uri) with record_type, refers_to and refers_uri: the largest id of a digest is the response.
 
     Only the newest id of each digest is summed up, which combines before the shuffle, so a digest that a third
     of all records share costs no more than any other; the join back has one row a digest on one side. Records
     with a null id are always responses, and so are those smaller than `least`. Of rows that repeat an id with
     the same digest, one can't be told from the other: all of them are responses.
     """
-    newest = headers.filter((F.col("size") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("newest"))
+    newest = headers.filter((F.col("size") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("newest"), F.max_by("uri", "id").alias("newest_uri"))
     joined = headers.join(newest, "digest", "left")
     revisit = (F.col("size") >= least) & F.col("id").isNotNull() & (F.col("newest") != F.col("id"))
     kind = F.when(F.coalesce(revisit, F.lit(False)), F.lit("revisit")).otherwise(F.lit("response"))
-    return joined.withColumn("record_type", kind).withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("newest"))).drop("newest")
+    joined = joined.withColumn("record_type", kind)
+    again = F.col("record_type") == "revisit"
+    return joined.withColumn("refers_to", F.when(again, F.col("newest"))).withColumn("refers_uri", F.when(again, F.col("newest_uri"))).drop("newest", "newest_uri")
 
 
 def _urn(c: Column) -> Column:
@@ -63,17 +65,21 @@ def _urn(c: Column) -> Column:
 def records(rows: DataFrame) -> DataFrame:
     """One column `record` (binary) of rows(id, uri, date, payload, digest, size, record_type, refers_to, refers_uri): header block and body."""
     revisit = F.col("record_type") == "revisit"
+    one_line = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\r\n]", "")
+    date = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")  # one capture has one date
     # the id line is this writer's own header; readers of other archives don't need it
     lines = [
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: "), _urn(F.coalesce(F.col("id").cast("string"), F.lit("null")))),
         F.concat(F.lit("X-Source-ID: "), F.coalesce(F.col("id").cast("string"), F.lit(""))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col("uri"), F.lit("")), r"[\r\n]", "")),
-        F.concat(F.lit("WARC-Date: "), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Target-URI: "), one_line("uri")),
+        F.concat(F.lit("WARC-Date: "), date),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("size").cast("string")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to").cast("string")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), one_line("refers_uri"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Date: "), date)),
         F.when(revisit, F.concat(F.lit("X-Refers-To-Source-ID: "), F.col("refers_to").cast("string"))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         F.lit("Content-Type: application/octet-stream"),
@@ -139,19 +145,55 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "id string, uri string, record_type string, digest string, size long, refers_to string, payload binary")
 
 
+def _inspected(back: DataFrame) -> DataFrame:
+    """(id, record_type, refers_to, declared, digest, size) of read_archives(): what the headers declare, and what the bodies are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _hash(batches):
+            yield b.select(["id", "record_type", "refers_to", "declared", "digest", "size"])
+
+    slim = back.select("id", "record_type", "refers_to", F.col("digest").alias("declared"), "payload")
+    return slim.mapInArrow(run, "id string, record_type string, refers_to string, declared string, digest string, size long")
+
+
+def resolved(back: DataFrame) -> DataFrame:
+    """(id, record_type, refers_to, declared, digest, size, intact) of the records of read_archives().
+
+    digest and size are of the payload as it was read: a response's own, and for a revisit those of the response
+    that it refers to, if that was read; else they are null. intact: the digest is the one that the record's header
+    declares. A response's facts are joined to the revisits without payloads.
+    """
+    seen = written(_inspected(back), "warc-read")
+    whole = seen.filter("record_type = 'response'")
+    facts = whole.filter("id is not null").select(F.col("id").alias("refers_to"), F.col("digest").alias("declared"), F.col("digest").alias("found"), F.col("size").alias("found_size")).distinct()
+    again = seen.filter("record_type = 'revisit'").join(facts, ["refers_to", "declared"], "left")
+    again = again.select("id", "record_type", "refers_to", "declared", F.col("found").alias("digest"), F.col("found_size").alias("size"))
+    both = whole.select("id", "record_type", "refers_to", "declared", "digest", "size").union(again)
+    return both.withColumn("intact", F.coalesce(F.col("digest") == F.col("declared"), F.lit(False)))
+
+
+def restored(back: DataFrame) -> DataFrame:
+    """read_archives() with each revisit's payload taken from the response that it refers to; null where that is missing."""
+    whole = back.filter("record_type = 'response'")
+    known = whole.filter("id is not null").select(F.col("id").alias("refers_to"), "digest", "payload").dropDuplicates(["refers_to", "digest"])
+    again = back.filter("record_type = 'revisit'").drop("payload").join(known, ["refers_to", "digest"], "left")
+    return whole.unionByName(again.select(*back.columns))
+
+
 def deduplicated(pages: DataFrame, path: str, id_col: str, uri_col: str, payload_col: str, date: str = "2024-01-01 00:00:00", least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row of pages to archives below path; returns them as read back from there.
 
     Null payloads are empty; a null id gives a response without an id; repeated rows each give a record. Other
-    columns are left out. The payloads take one shuffle, to their archives; what decides their kind takes its own,
+    columns are left out. All records of a call have one date, that of the capture. A file is one gzip member, as
+    Spark's text writer makes it: a record is found by reading its file, not by an offset. The payloads take one shuffle, to their archives; what decides their kind takes its own,
     of headers.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     base = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{uri_col}`").alias("uri"), payload.alias("payload"))
     hashed = base.mapInArrow(_hash, f"id {dict(base.dtypes)['id']}, uri string, payload binary, digest string, size long")
-    headers = written(hashed.select("id", "digest", "size"), "warc-headers")
-    revisits = resolve(headers, least).filter("record_type = 'revisit'").select("id", "digest", "refers_to").distinct()
+    headers = written(hashed.select("id", "digest", "size", "uri"), "warc-headers")
+    revisits = resolve(headers, least).filter("record_type = 'revisit'").select("id", "digest", "refers_to", "refers_uri").distinct()
     stored = headers.groupBy("digest").agg(F.max("size").alias("size")).agg(F.sum("size")).first()[0] or 0
     # dealt by record, not by digest: equal payloads don't meet in one task
     dealt = hashed.repartition(max(1, -(-int(stored) // archive_bytes)), "id", "digest")
@@ -161,23 +203,10 @@ def deduplicated(pages: DataFrame, path: str, id_col: str, uri_col: str, payload
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as archives and read back; sizes and digests of responses are of the payloads that were read, a revisit's are those that its header declares."""
+    """All pages written as archives and read back; sizes and digests are of the payloads that were read, a revisit's of the response that it refers to."""
     pages = table(spark, sf_dir, "pages")
-    back = deduplicated(pages, shared_path(spark, "warc"), "page_id", "url", "html")
     kind = dict(pages.dtypes)["page_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _hash(batches):
-            yield b.select(["id", "record_type", "refers_to", "declared", "declared_size", "digest", "size"])
-
-    read = back.select("id", "record_type", "refers_to", F.col("digest").alias("declared"), F.col("size").alias("declared_size"), "payload").mapInArrow(
-        run, "id string, record_type string, refers_to string, declared string, declared_size long, digest string, size long"
-    )
-    whole = F.col("record_type") == "response"
-    return read.select(
-        F.col("id").cast(kind).alias("page_id"),
-        F.when(whole, F.col("size")).otherwise(F.col("declared_size")).alias("payload_bytes"),
-        F.when(whole, F.col("digest")).otherwise(F.col("declared")).alias("payload_digest"),
-        "record_type",
-        F.col("refers_to").cast(kind).alias("refers_to"),
+    found = resolved(deduplicated(pages, shared_path(spark, "warc"), "page_id", "url", "html"))
+    return found.select(
+        F.col("id").cast(kind).alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "intact"
     )
