@@ -21,14 +21,17 @@ from .common import table
 
 #: Vectors that the centres are fitted on, at most, and the most centres.
 SAMPLE, MAX_LISTS = 20_000, 4_096
-#: Lists to the square root of the vectors, and the share of lists that a query looks into (at least LEAST_PROBES).
-#: The test data have hardly any clusters: a share of 0.6 is what a recall over 0.9 takes there.
-LISTS_BY_ROOT, PROBE_SHARE, LEAST_PROBES = 0.5, 0.65, 10
+#: Lists to the square root of the vectors; the fewest lists that a query looks into; and the share of near vectors of the sample that must lie in them.
+LISTS_BY_ROOT, LEAST_PROBES, REACH = 0.5, 10, 0.96
+#: Vectors of the sample whose neighbours in it tell how many lists that takes.
+TRIED = 400
 #: Columns of a block; the test's width: a partial distance this many deviations above the best is given up.
 COLUMNS, WIDTH = 16, 2.1
 #: Vectors and queries of a group, about: what a task holds at once; and queries scanned together.
-GROUP, TILE = 4_096, 256
+GROUP, CALLS, TILE = 16_384, 65_536, 256
 SEED = 7
+#: Different lengths of vectors in one table, each a search of its own.
+MAX_LENGTHS = 64
 NEAREST, QUERY_EVERY = 5, 50
 
 
@@ -60,6 +63,27 @@ def centres_of(sample: np.ndarray, n: int, seed: int = SEED, rounds: int = 12) -
     return c
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, k: int = NEAREST, reach: float = REACH) -> int:
+    """How many lists hold this share of the k nearest of some of the sample's unit vectors within the sample.
+
+    Few where the vectors have clusters, nearly all where they have none. In the whole table neighbours are nearer
+    than in the sample, so the share found there is no smaller.
+    """
+    tried = np.random.default_rng(SEED).permutation(len(sample))[:TRIED]
+    if len(sample) < 2:
+        return len(centres)
+    near = sample[tried] @ sample.T
+    near[np.arange(len(tried)), tried] = -np.inf
+    k = min(k, len(sample) - 1)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    of = (sample @ centres.T).argmax(axis=1)
+    order = np.argsort(-(sample[tried] @ centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centres))[None, :].repeat(len(tried), 0), axis=1)
+    needed = np.sort(np.take_along_axis(place, of[best], axis=1).ravel()) + 1
+    return int(needed[min(len(needed) - 1, math.ceil(reach * len(needed)) - 1)])
+
+
 def _unit(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors in double precision, and scaled to length one; scaled by their largest component first, so that no square overflows."""
     v = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
@@ -104,31 +128,38 @@ def scan(queries: np.ndarray, rows: np.ndarray, barred: np.ndarray, k: int, colu
     return i, j
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, probe_share: float = PROBE_SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, reach: float = REACH) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest by cosine, ties to the smaller id.
 
-    queries has the same two columns. A candidate with the query's own id takes no part; nor do null ids, vectors
-    that usable() refuses, and those of another length than most. Repeated rows are candidates each, repeated
-    queries are asked once. Every vector is indexed; only the centres come from a sample of at most SAMPLE
-    vectors, chosen by a hash of the id. A query looks into a share of the lists, and into more until these hold
-    a multiple of k vectors. Long lists, and lists that many queries ask, are dealt over groups of about GROUP
-    vectors by GROUP queries, so that a hot list is no task of its own. To the driver go the sample and a count
-    for each list. Empty tables give no rows.
+    queries has the same two columns. A candidate with the query's own id takes no part; nor do null ids and vectors
+    that usable() refuses. Vectors of different lengths have no cosine: each length is searched by itself. Repeated
+    rows are candidates each; of queries that repeat an id, the smallest vector is asked. Every vector is indexed;
+    only the centres, and how many lists a query looks into, come from a sample of at most SAMPLE vectors, chosen by
+    a hash of the id. A query looks into more lists until these hold a multiple of k vectors. Long lists, and lists
+    that many queries ask, are dealt over groups of about GROUP vectors by CALLS queries, so that a hot list is no
+    task of its own. To the driver go the sample and a count for each list. Empty tables give no rows.
     """
-    spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    kind = dict(pick(vectors).dtypes)["id"]
-    base, asked = pick(vectors), pick(queries).dropDuplicates(["id"])
-    lengths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    d, total = lengths
-    base, asked = base.filter(F.size("v") == d), asked.filter(F.size("v") == d)
+    base, asked = pick(vectors), pick(queries).groupBy("id").agg(F.min("v").alias("v"))
+    kind = dict(base.dtypes)["id"]
+    lengths = base.groupBy(F.size("v").alias("d")).count().orderBy("d").limit(MAX_LENGTHS + 1).collect()
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} different lengths")
+    out = vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    for n, (d, total) in enumerate(lengths):
+        found = _nearest(base.filter(F.size("v") == d), asked.filter(F.size("v") == d), kind, d, total, k, reach)
+        out = found if n == 0 else out.union(found)
+    return out
+
+
+def _nearest(base: DataFrame, asked: DataFrame, kind: str, d: int, total: int, k: int, reach: float) -> DataFrame:
+    """nearest() of vectors(id, v) of one length."""
     sample = base.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()["v"].combine_chunks()
     turn = rotation(d)
-    centres = centres_of(_unit(sample, d)[1] @ turn, min(MAX_LISTS, round(LISTS_BY_ROOT * math.sqrt(total))))
+    sample = _unit(sample, d)[1] @ turn
+    centres = centres_of(sample, min(MAX_LISTS, round(LISTS_BY_ROOT * math.sqrt(total))))
     n_lists = len(centres)
+    probes = max(LEAST_PROBES, probes_for(sample, centres, k, reach))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,18 +183,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     sizes = np.zeros(n_lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # a row for each list, at most MAX_LISTS
         sizes[r[0]] = r[1]
-    probes = max(LEAST_PROBES, math.ceil(probe_share * n_lists))
     probed = asked.mapInArrow(probe, f"id {kind}, v {dict(base.dtypes)['v']}, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
     demand = np.zeros(n_lists, np.int64)
     for r in probed.groupBy("list").count().collect():
         demand[r[0]] = r[1]
 
-    def dealt(count: np.ndarray) -> Column:
+    def dealt(count: np.ndarray, most: int) -> Column:
         """How many groups a list's rows go to."""
-        return F.element_at(F.array(*[F.lit(int(max(1, -(-x // GROUP)))) for x in count]), F.col("list") + 1)
+        return F.element_at(F.array(*[F.lit(int(max(1, -(-x // most)))) for x in count]), F.col("list") + 1)
 
-    parts = placed.withColumn("a", F.pmod(F.xxhash64("id"), dealt(sizes)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), dealt(demand) - 1)))
-    calls = probed.withColumn("b", F.pmod(F.xxhash64("id"), dealt(demand)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), dealt(sizes) - 1)))
+    row, call = dealt(sizes, GROUP), dealt(demand, CALLS)
+    parts = placed.withColumn("a", F.pmod(F.xxhash64("id"), row).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), call - 1)))
+    calls = probed.withColumn("b", F.pmod(F.xxhash64("id"), call).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), row - 1)))
 
     def search(rows: pa.Table, calls: pa.Table) -> pa.Table:
         kind = rows.schema.field("id").type
