@@ -1,7 +1,7 @@
 """Document quality by co-training.
 
-Two views of a document each train a classifier: the words of its text, and its metadata (language, source, size
-and the make-up of the page: lines, letter case, symbols, repetitions). Over some rounds each classifier labels
+Two views of a document each train a classifier: the content of its text (words, and what it is made of: letter case,
+symbols, repetitions), and its metadata (language, source, size and number of lines). They share no evidence. Over some rounds each classifier labels
 the documents of an unlabelled pool that it is sure of, for the other to learn from. The views are then calibrated
 on labels held out, and combined: their log odds add up, less the prior that both contain, so a view that knows
 nothing of a document leaves the other's word standing. There is one such pair for quality and one for toxicity.
@@ -29,12 +29,14 @@ PREFIXES = (4, 5)
 ROUNDS, SURE, HANDED = 3, 0.98, 0.1
 HELD_OUT = 5  # every fifth labelled row calibrates
 TARGETS = ("low", "toxic")
-SOURCES, LANGS = 16, 12
-SHAPES = 12
+#: Sources and languages that have a column of their own, the most frequent ones of the sample; all others share one.
+SOURCES, LANGS = 48, 24
+#: Numbers that tell a text's make-up, and its size.
+FORMS, SIZES = 9, 3
 
 
 def shape(text: str) -> list[float]:
-    """What the page is made of, without its words."""
+    """What the text is made of, without its words, then its size."""
     raw = text.encode()
     n = max(1, len(raw))
     h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -45,37 +47,35 @@ def shape(text: str) -> list[float]:
     symbols = int(h[[35, 36, 37, 38, 42]].sum())
     lines = int(h[10]) + 1
     return [
-        np.log1p(len(raw)), np.log1p(lines), np.log1p(n / lines), upper / max(1, upper + lower), int(h[48:58].sum()) / n, symbols / n,
-        int(h[33]) / n, int(h[124]) / n, (punctuation - symbols) / n, again / max(1, len(words)), np.log1p(n / max(1, len(words))), int(h[128:].sum()) / n,
+        upper / max(1, upper + lower), int(h[48:58].sum()) / n, symbols / n, int(h[33]) / n, int(h[124]) / n, (punctuation - symbols) / n,
+        again / max(1, len(words)), np.log1p(n / max(1, len(words))), int(h[128:].sum()) / n, np.log1p(len(raw)), np.log1p(lines), np.log1p(n / lines),
     ]
 
 
-def _hash(name: str, n: int) -> int:
-    return sum((i + 1) * x for i, x in enumerate(name.encode())) % n
-
-
 class Features:
-    """Both views of documents: numbers of known words, one array after the other, and rows of metadata."""
+    """Both views of documents: numbers of known words, one array after the other, and rows of make-up and metadata."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], langs: list, sources: list):
         import re
 
+        self.langs, self.sources = ({x: i for i, x in enumerate(known)} for known in (langs, sources))
+        self.width = FORMS + SIZES + len(langs) + len(sources) + 2
         self.number = {w: i for i, w in enumerate(words)}
         self.known = frozenset(words)
         self.find = re.compile(r"[^\W\d_]+").findall
 
     def of(self, texts: Iterator, langs: Iterator, sources: Iterator, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         numbers, count = [], []
-        meta = np.zeros((n, SHAPES + LANGS + SOURCES), np.float32)
+        meta = np.zeros((n, self.width), np.float32)
         for i, (text, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
             text = text or ""
             found = set(self.find(text.lower()))
             found = self.known.intersection(found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in PREFIXES)))
             numbers += sorted(self.number[w] for w in found)
             count.append(len(found))
-            meta[i, :SHAPES] = shape(text)
-            meta[i, SHAPES + _hash(lang or "", LANGS)] = 1
-            meta[i, SHAPES + LANGS + _hash(source or "", SOURCES)] = 1
+            meta[i, : FORMS + SIZES] = shape(text)
+            meta[i, FORMS + SIZES + self.langs.get(lang, len(self.langs))] = 1
+            meta[i, FORMS + SIZES + len(self.langs) + 1 + self.sources.get(source, len(self.sources))] = 1
         return np.array(numbers, np.int32), np.array(count, np.int64), meta
 
 
@@ -130,6 +130,27 @@ class Dense:
         return Dense(self.x[rows])
 
 
+@dataclass
+class Content:
+    """The text's view: words, and numbers beside them."""
+
+    bag: Words
+    form: Dense
+
+    @property
+    def width(self) -> int:
+        return self.bag.width + self.form.width
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return self.bag @ w[: self.bag.width] + self.form @ w[self.bag.width :]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate((self.bag.back(r), self.form.back(r)))
+
+    def take(self, rows: np.ndarray) -> Content:
+        return Content(self.bag.take(rows), self.form.take(rows))
+
+
 def logistic(x, y: np.ndarray, penalty: float = 0.3, steps: int = 30) -> np.ndarray:
     """Weights of a logistic regression, the last one the intercept, by Newton steps that conjugate gradients solve.
 
@@ -196,14 +217,14 @@ class Pair:
     meta_scale: tuple[float, float]
     prior: float
 
-    def odds(self, words: Words, meta: Dense) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def odds(self, words: Content, meta: Dense) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log odds of the text view, of the metadata view, and of both."""
         a = self.text_scale[0] * _score(words, self.text) + self.text_scale[1]
         b = self.meta_scale[0] * _score(meta, self.meta) + self.meta_scale[1]
         return a, b, a + b - self.prior
 
 
-def co_train(words: Words, meta: Dense, y: np.ndarray, pool_words: Words, pool_meta: Dense, rounds: int = ROUNDS) -> Pair:
+def co_train(words: Content, meta: Dense, y: np.ndarray, pool_words: Content, pool_meta: Dense, rounds: int = ROUNDS) -> Pair:
     """Trains both views on the labelled rows and on each other's sure labels of the pool."""
     held = np.arange(len(y)) % HELD_OUT == HELD_OUT - 1
     fit, test = np.flatnonzero(~held), np.flatnonzero(held)
@@ -232,6 +253,8 @@ def co_train(words: Words, meta: Dense, y: np.ndarray, pool_words: Words, pool_m
 
 
 def _stack(a, b):
+    if isinstance(a, Content):
+        return Content(_stack(a.bag, b.bag), _stack(a.form, b.form))
     if isinstance(a, Words):
         return Words(np.concatenate((a.number, b.number)), np.concatenate((a.count, b.count)), a.width)
     return Dense(np.concatenate((a.x, b.x)))
@@ -240,6 +263,8 @@ def _stack(a, b):
 @dataclass
 class Model:
     words: list[str]
+    langs: list
+    sources: list
     mean: np.ndarray
     spread: np.ndarray
     pairs: dict[str, Pair]
@@ -257,7 +282,15 @@ def _sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> Dat
     others = docs.select("doc_id").filter("doc_id is not null").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").distinct()
     others = others.orderBy(order, "doc_id").limit(pool).select("doc_id", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("toxic"))
     ids = written(chosen.unionByName(others), "sample-ids")
-    return written(docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id"), "sample")
+    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id")
+    # of rows that repeat an id one is taken, the smallest, so that the sample keeps its bound
+    one = rows.groupBy("doc_id", "low", "toxic").agg(F.min(F.struct("text", "lang", "source")).alias("x"))
+    return written(one.select("doc_id", "x.text", "x.lang", "x.source", "low", "toxic"), "sample")
+
+
+def _frequent(sample: DataFrame, column: str, most: int) -> list:
+    """The column's most frequent values, null among them."""
+    return [r[0] for r in sample.groupBy(column).count().orderBy(F.desc("count"), column).limit(most).collect()]
 
 
 def _vocabulary(sample: DataFrame, most: int) -> dict[str, list[str]]:
@@ -284,36 +317,39 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     sample = _sample(docs, labels, labelled, pool)
     of_target = _vocabulary(sample, WORDS)
     words = sorted(set().union(*of_target.values()))
-    found = sample.mapInArrow(_extract(words), "number array<int>, meta array<float>, low double, toxic double, h long").toArrow()
+    langs, sources = _frequent(sample, "lang", LANGS), _frequent(sample, "source", SOURCES)
+    found = sample.mapInArrow(_extract(words, langs, sources), "number array<int>, meta array<float>, low double, toxic double, h long").toArrow()
     found = found.sort_by("h")  # the rows' order is that of the hashes, however they were scanned
     number = found["number"].combine_chunks()
     count = np.asarray(number.value_lengths().fill_null(0), np.int64) if len(number) else np.empty(0, np.int64)
     flat = np.asarray(number.flatten(), np.int64) if len(number) else np.empty(0, np.int64)
-    width = SHAPES + LANGS + SOURCES
+    width = Features(words, langs, sources).width
     meta = np.asarray(found["meta"].combine_chunks().flatten(), np.float64).reshape(-1, width) if len(number) else np.empty((0, width))
     known = np.asarray(found["low"].is_valid().combine_chunks()) if len(number) else np.empty(0, bool)
     rows, rest = np.flatnonzero(known), np.flatnonzero(~known)
     mean, spread = (meta.mean(axis=0), meta.std(axis=0)) if len(meta) else (np.zeros(width), np.ones(width))
     spread = np.where(spread > 1e-9, spread, 1.0)
-    bags, dense = Words(flat, count, len(words)), Dense((meta - mean) / spread)
+    bags, dense = Words(flat, count, len(words)), (meta - mean) / spread
+    form, facts = Dense(dense[:, :FORMS]), Dense(dense[:, FORMS:])
     pairs = {}
     for target in TARGETS:
         y = np.asarray(found[target].combine_chunks().fill_null(0.0))[rows] if len(number) else np.empty(0)
         if len(y) < 2 * HELD_OUT or not y.any() or y.all():
             share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 1e-6
             prior = float(np.log(share / (1 - share)))
-            pairs[target] = Pair(np.zeros(len(words) + 1), np.zeros(width + 1), (1.0, prior), (1.0, prior), prior)
+            pairs[target] = Pair(np.zeros(len(words) + FORMS + 1), np.zeros(width - FORMS + 1), (1.0, prior), (1.0, prior), prior)
         else:
             bag = bags.only(np.isin(np.array(words, object), of_target[target]) if words else np.empty(0, bool))
-            pairs[target] = co_train(bag.take(rows), dense.take(rows), y, bag.take(rest), dense.take(rest))
-    return Model(words, mean, spread, pairs)
+            content = Content(bag, form)
+            pairs[target] = co_train(content.take(rows), facts.take(rows), y, content.take(rest), facts.take(rest))
+    return Model(words, langs, sources, mean, spread, pairs)
 
 
-def _extract(words: list[str]):
+def _extract(words: list[str], langs: list, sources: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        features = Features(words)
+        features = Features(words, langs, sources)
         for b in small(batches):
             number, count, meta = features.of(*(values(b.column(k)) for k in ("text", "lang", "source")), b.num_rows)
             at = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
@@ -340,13 +376,14 @@ def scored(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(model.words)
+        features = Features(model.words, model.langs, model.sources)
         for b in small(batches):
             number, count, meta = features.of(*(values(b.column(keep.index(k))) for k in ("text", "lang", "source")), b.num_rows)
-            words, dense = Words(number, count, len(model.words)), Dense((meta - model.mean) / model.spread)
+            dense = (meta - model.mean) / model.spread
+            words, facts = Content(Words(number, count, len(model.words)), Dense(dense[:, :FORMS])), Dense(dense[:, FORMS:])
             arrays, good = [], np.ones(b.num_rows, bool)
             for target in TARGETS:
-                odds = [_sigmoid(x) for x in model.pairs[target].odds(words, dense)]
+                odds = [_sigmoid(x) for x in model.pairs[target].odds(words, facts)]
                 arrays += [pa.array(x) for x in odds]
                 good &= odds[2] < limit
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays, pa.array(good)], names=[*keep, *new])
