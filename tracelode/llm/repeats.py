@@ -322,9 +322,7 @@ def _levels(parts: DataFrame, length: int, group: int) -> list[DataFrame]:
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The sorted rows of batches in tables of about GATHERED bytes that hold whole keys."""
     held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in small(batches, 1_000):
         held.append(b)
         if sum(x.nbytes for x in held) > GATHERED:
             t = pa.Table.from_batches(held).combine_chunks()
