@@ -66,7 +66,11 @@ def test_fuzzy(spark):
     df = spark.createDataFrame([("foo bar",), ("fxxxb",), ("nothing",), (None,)], "t string")
     got = {r.t: r.score for r in replay.fuzzy_matches(df, "t", "fb", 0).collect()}
     assert set(got) == {"foo bar", "fxxxb"} and got["foo bar"] > got["fxxxb"]
-    assert replay.fuzzy_score("abc", "abc") == 100 - 15 + 5
+    assert replay.fuzzy_score("abc", "abc") == 85
+    score = lambda p, t: replay.fuzzy_score(p, t, False)
+    assert score("hello", "hello world") >= 80 and score("hlo", "hello") >= 50 and score("hw", "hello world") >= 60 and score("abc", "a___b___c") < 90
+    assert replay.fuzzy_score("HELLO", "hello world") >= 60 and score("HELLO", "hello world") is None and score("xyz", "hello world") is None and score("abc", "ab") is None
+    assert score("ab", "ab") > score("ab", "a_b")
 
 
 def test_fuzzy_covers_all_lines(spark, tmp_path):

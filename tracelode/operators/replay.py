@@ -81,7 +81,7 @@ def fuzzy_score(pattern: str, text: str | None, ignore_case: bool = True) -> int
     """0 to 100 where the pattern's characters follow each other in the text, else null.
 
     Greedy from the left. Half of the score is for the match itself; the rest for consecutive characters, word
-    starts, equal case, and how dense the match is.
+    starts, equal case where case counts, and how dense the match is.
     """
     if not pattern or text is None:
         return None
@@ -96,9 +96,9 @@ def fuzzy_score(pattern: str, text: str | None, ignore_case: bool = True) -> int
     n = len(found)
     near = sum(b == a + 1 for a, b in zip(found, found[1:], strict=False)) / max(1, n - 1)
     starts = sum(i == 0 or not t[i - 1].isalnum() for i in found) / n
-    exact = sum(text[i] == c for i, c in zip(found, pattern, strict=True) if i < len(text)) / n
-    dense = n / (found[-1] - found[0] + 1)
-    return int(min(100, 50 + 25 * near + 15 * starts + 5 * exact + 5 * dense))
+    exact = 0 if ignore_case else sum(text[i] == c for i, c in zip(found, pattern, strict=True) if i < len(text)) / n
+    dense = (n / (found[-1] - found[0] + 1) - 0.5) * 10 if n > 1 else 0
+    return int(max(0, min(100, 50 + 25 * near + 15 * starts + 5 * exact + dense)))
 
 
 def fuzzy_matches(texts: DataFrame, text_col: str, pattern: str, threshold: int = 60) -> DataFrame:

@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import usage
-
-#: A correction's phrases and what they weigh, first hit counts.
-CORRECTIONS = ((r"(?i)^(no|nope|wrong|that's (wrong|not))\b", 400), (r"(?i)\b(don't|do not|stop|never) \w+", 350), (r"(?i)\binstead\b|\bactually\b", 300), (r"(?i)\b(should|needs to) (be|have)\b", 250))
-
+from . import lessons, usage
 
 @dataclass
 class Logs:
@@ -51,15 +47,12 @@ class Logs:
 
     def lessons(self) -> DataFrame:
         """Failed calls with the answer after each."""
-        return usage.next_success(self.entries, self.blocks)
+        return lessons.error_fixes(self.entries, self.blocks)
 
     def corrections(self) -> DataFrame:
         """User texts that correct, the strongest first."""
-        rank: Column = F.lit(None).cast("int")
-        for pattern, weight in reversed(CORRECTIONS):
-            rank = F.when(F.col("text").rlike(pattern), F.lit(weight)).otherwise(rank)
-        t = self.blocks.filter("block_type = 'text' and entry_type = 'user'").withColumn("strength", rank)
-        return t.filter("strength is not null").select("session_key", "line_no", "text", "strength").orderBy(F.desc("strength"), "session_key", "line_no")
+        t = self.blocks.filter("block_type = 'text' and entry_type = 'user'").withColumn("c", lessons.correction(F.col("text"))).filter("c is not null")
+        return t.select("session_key", "line_no", "text", "c.strength", "c.basis").orderBy(F.desc("strength"), "session_key", "line_no")
 
     def file_history(self, path: str | None = None) -> DataFrame:
         """Files that calls wrote, with their sessions and whether the call held."""

@@ -7,21 +7,22 @@ choice of the main thread compares whole subtrees. A group is one session's ids
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "session_key string, uuid string, parent_uuid string, line_no long, depth int, subtree_size int, n_children int, is_root boolean, is_main boolean, main_pos int, is_leaf boolean"
+NODES = "session_key string, uuid string, parent_uuid string, line_no long, depth int, subtree_size int, n_children int, is_root boolean, is_main boolean, main_pos int, is_leaf boolean, dfs_pos int, bfs_pos int"
 
 
 def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("line_no").drop_duplicates("uuid")
     ids = rows["uuid"].tolist()
     at = {u: i for i, u in enumerate(ids)}
-    parent = []
+    parent, bridged = [], []
     for u, p, q in zip(ids, rows["parent_uuid"], rows["logical_parent_uuid"], strict=True):
-        found = next((at[x] for x in (p, q) if isinstance(x, str) and x in at), None)
-        parent.append(None if found is None or ids[found] == u else found)
-    # cut cycles: a node met again on its own way up becomes a root
+        found = next(((at[x], x is q) for x in (p, q) if isinstance(x, str) and x in at), (None, False))
+        parent.append(None if found[0] is None or ids[found[0]] == u else found[0])
+        bridged.append(found[1])
+    # cut cycles: a node that hangs by its logical parent becomes a root, else the one met again on its own way up
     state = [0] * len(ids)
     for i in range(len(ids)):
         way, now = [], i
@@ -30,7 +31,8 @@ def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
             way.append(now)
             now = parent[now]
         if now is not None and state[now] == 1:
-            parent[now] = None
+            circle = way[way.index(now) :]
+            parent[next((x for x in circle if bridged[x]), now)] = None
         for x in way:
             state[x] = 2
     children: list[list[int]] = [[] for _ in ids]
@@ -66,6 +68,7 @@ def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
         {
             "session_key": key[0], "uuid": ids, "parent_uuid": [None if p is None else ids[p] for p in parent], "line_no": rows["line_no"].tolist(), "depth": depth, "subtree_size": size,
             "n_children": [len(c) for c in children], "is_root": [p is None for p in parent], "is_main": main, "main_pos": pos, "is_leaf": [not c for c in children],
+            "dfs_pos": pd.Series(range(len(order)), index=order).sort_index().tolist(), "bfs_pos": pd.Series(range(len(order)), index=sorted(order, key=depth.__getitem__)).sort_index().tolist(),
         }
     )
 
@@ -75,7 +78,9 @@ def nodes(entries: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Parent is parentUuid, else logicalParentUuid; a missing parent makes a root. The main thread follows, from each
     root that holds conversation, the child whose subtree spoke last, then the larger one, then the later one.
-    Progress entries and tool results don't count as conversation.
+    Progress entries and tool results don't count as conversation. dfs_pos and bfs_pos number the session's nodes
+    depth first and level by level. A cycle is cut at an edge to a logical parent, if it has one. Entries without a
+    uuid are no nodes: orphans() has them.
     """
     results = blocks.filter("block_type = 'tool_result' and entry_type = 'user'").select("session_key", "line_no").distinct().withColumn("has_result", F.lit(True))
     e = entries.filter("uuid is not null").join(results, ["session_key", "line_no"], "left")
@@ -84,6 +89,34 @@ def nodes(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     return slim.groupBy("session_key").applyInPandas(_rebuild, NODES)
 
 
+def orphans(entries: DataFrame) -> DataFrame:
+    """Entries without a uuid, in their files' order."""
+    return entries.filter("uuid is null").orderBy("session_key", "line_no")
+
+
+def paths(forest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(session_key, uuid, path): the uuids from the root down to each wanted(session_key, uuid) of nodes(). A group is one session's ids; the paths are as long as the nodes are deep."""
+
+    def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        up = dict(zip(rows["uuid"], rows["parent_uuid"], strict=True))
+        out = []
+        for u in asked["asked"].drop_duplicates():
+            if u in up:
+                way, now = [], u
+                while isinstance(now, str):
+                    way.append(now)
+                    now = up.get(now)
+                out.append((key[0], u, way[::-1]))
+        return pd.DataFrame(out, columns=["session_key", "uuid", "path"])
+
+    return forest.select("session_key", "uuid", "parent_uuid").groupBy("session_key").cogroup(wanted.select(F.col("session_key").alias("asked_key"), F.col("uuid").alias("asked")).groupBy("asked_key")).applyInPandas(run, "session_key string, uuid string, path array<string>")
+
+
+def common_ancestor(a: Column, b: Column) -> Column:
+    """The deepest node that two paths share, null if they have no node in common."""
+    return F.try_element_at(F.filter(F.zip_with(a, b, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(-1))
+
+
 def duplicates(entries: DataFrame) -> DataFrame:
     """Entries whose uuid came before in the same session, and whether the first is the same text."""
     first = entries.filter("uuid is not null").groupBy("session_key", "uuid").agg(F.min_by("raw", "line_no").alias("first_raw"), F.min("line_no").alias("first_line"), F.count("*").alias("n"))

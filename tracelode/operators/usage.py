@@ -31,12 +31,14 @@ def costs(t: DataFrame, rates: DataFrame, *by: str) -> DataFrame:
     """Cost of turns under rates(model_pattern, since, until, input, output, cache_write, cache_read), USD a million tokens.
 
     Patterns are regular expressions on the model's name without its date. What no rate covers is listed, and
-    never counts as free: the cost is null where nothing has a price.
+    never counts as free: the cost is null where nothing has a price. A turn without a time has the rate that is
+    still in force.
     """
     m = t.withColumn("model_name", F.regexp_replace("model", r"-\d{8}$", ""))
-    at = F.coalesce(F.to_date("ts"), F.current_date())
-    on = F.expr("model_name rlike model_pattern") & ((F.col("since").isNull()) | (at >= F.col("since"))) & ((F.col("until").isNull()) | (at < F.col("until")))
-    j = m.join(F.broadcast(rates), on, "left")  # a rate card has some tens of rows
+    at = F.to_date("ts")
+    dated = ((F.col("since").isNull()) | (at >= F.col("since"))) & ((F.col("until").isNull()) | (at < F.col("until")))
+    on = F.expr("model_name rlike model_pattern") & F.when(at.isNull(), F.col("until").isNull()).otherwise(dated)
+    j = m.join(rates, on, "left")  # Spark broadcasts a rate card, as the smaller side of a join without equal keys
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     cost = (zero("input_tokens") * F.col("input") + zero("output_tokens") * F.col("output") + zero("cache_creation_tokens") * F.col("cache_write") + zero("cache_read_tokens") * F.col("cache_read")) / 1e6
     return j.withColumn("cost", cost).groupBy(*by).agg(F.sum("cost").alias("cost"), F.sort_array(F.collect_set(F.when(F.col("input").isNull(), F.col("model")))).alias("unpriced"))
@@ -66,3 +68,22 @@ def sessions(entries: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("entry_type") == "assistant", F.coalesce("message_id", "uuid"))).alias("assistants"), F.min_by("cwd", "line_no").alias("cwd"),
         F.max_by("version", "line_no").alias("version"), F.bool_or(F.col("subtype") == "compact_boundary").alias("compacted"), F.min_by("session_id", "line_no").alias("session_id"),
     )
+
+
+def phases(entries: DataFrame, short: int = 120, edge: int = 30) -> DataFrame:
+    """(session_key, line_no, phase, minutes_in, after_compaction): sessions of up to `short` minutes fall into thirds, longer ones have `edge` minutes at either end."""
+    all_, so_far = Window.partitionBy("session_key"), Window.partitionBy("session_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 6e7
+    e = entries.withColumn("into", t - F.min(t).over(all_)).withColumn("left", F.max(t).over(all_) - t)
+    whole = F.col("into") + F.col("left")
+    ratio = F.when(whole == 0, F.lit(0.0)).otherwise(F.col("into") / whole)
+    third = F.when(ratio < 0.33, "early").when(ratio < 0.67, "middle").otherwise("late")
+    ends = F.when(F.col("into") < edge, "early").when(F.col("left") < edge, "late").otherwise("middle")
+    compacted = F.coalesce(F.bool_or(F.col("subtype") == "compact_boundary").over(so_far), F.lit(False))
+    return e.select("session_key", "line_no", F.when(whole <= short, third).otherwise(ends).alias("phase"), F.floor("into").cast("long").alias("minutes_in"), compacted.alias("after_compaction"))
+
+
+def commits_of(sessions: DataFrame, commits: DataFrame) -> DataFrame:
+    """(session_key, sha, at): commits(repo, sha, at) in a session's own folder between its start and its end."""
+    s = sessions.select("session_key", F.col("cwd").alias("repo"), "start_ts", "end_ts").filter("repo is not null")
+    return s.join(commits, "repo").filter("at between start_ts and end_ts").select("session_key", "sha", "at")

@@ -127,7 +127,7 @@ both(
 )
 both(
     "A21_efficiency",
-    """select user_id, round(sum(value) / count(*), 4) as tokens_per_message, round(count(*) filter (where event_type = 'click') * 1e0 / count(distinct @day(ts)), 4) as tools_per_day,
+    """select user_id, round(cast(sum(cast(value as decimal(18,6))) as double) / count(*), 4) as tokens_per_message, round(count(*) filter (where event_type = 'click') * 1e0 / count(distinct @day(ts)), 4) as tools_per_day,
     case when count(*) = 0 then 100e0 else round(100e0 * (count(*) - count(*) filter (where event_type = 'error')) / count(*), 4) end as success_rate from {events} group by user_id""",
 )
 both(

@@ -6,7 +6,12 @@ never fails a scan: the line becomes a parse error, the field null, and the raw
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A file whose name begins with it is a subagent's log.
@@ -31,15 +36,24 @@ def _get(column: str, path: str, kind: str) -> Column:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, line_no, line) of the files at path, compressed ones included; line numbers count from 1 within a file. A file is read whole, up to 2 GB."""
-    text = spark.read.text(path, wholetext=True).withColumn("file_path", F.input_file_name())
-    return text.select("file_path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "line")).select("file_path", (F.col("pos") + 1).alias("line_no"), "line")
+    """(file_path, line_no, line) of the files at path, compressed ones included; line numbers count from 1 within a file.
+
+    Large files are read in splits. A line's number within its split comes from the order of reading, and the splits
+    before it in the file add theirs; only a row for each split is shuffled for that.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = text.groupBy("file_path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return text.join(splits, ["file_path", "split"]).select("file_path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """raw lines with v, the parsed value (null for blank lines and those that are no JSON objects), and status."""
-    v = F.try_parse_json("line")
-    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """raw lines with v, the parsed value (null for blank lines and those that aren't one JSON object and nothing else), and status."""
+    # within brackets, text after the object is an error and a second object is a second element
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))), "$", "array<variant>")
+    v = F.get(items, 0)
+    ok = F.coalesce((F.size(items) == 1) & F.ltrim("line").startswith("{"), F.lit(False))
     blank = F.trim("line") == ""
     status = F.when(blank, "empty").when(ok, "parsed").otherwise("skipped")
     return raw.withColumn("v", F.when(ok, v)).withColumn("status", status)
@@ -63,10 +77,34 @@ def strict(p: DataFrame) -> DataFrame:
 
 
 def salvaged(p: DataFrame) -> DataFrame:
-    """Whole entries at the end of torn lines: the first start of an entry after the line's beginning whose rest parses as one."""
-    tail = F.regexp_extract("line", rf"(?s)^.+?({ENTRY_STARTS}.*)$", 1)
-    found = p.filter("status = 'skipped'").withColumn("line", tail).filter("line <> ''").select("file_path", "line_no", "line")
-    return parsed(found).filter("status = 'parsed'")
+    """Whole entries at the end of torn lines: from the first place where an entry may begin and from which on the line is nothing but entries, all of these."""
+    torn = p.filter("status = 'skipped'").filter(F.col("line").rlike(rf"(?s).{ENTRY_STARTS}")).select("file_path", "line_no", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, n, x) for f, n, line in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in whole_entries(line)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], b.schema.field(i).type) for i in range(3)], names=b.schema.names)
+
+    return parsed(torn.mapInArrow(run, torn.schema)).filter("status = 'parsed'")
+
+
+def whole_entries(line: str) -> list[str]:
+    """The entries that a torn line ends with, as texts."""
+    decoder = json.JSONDecoder()
+    for start in (m.start() for m in re.finditer(ENTRY_STARTS, line)):
+        found, at = [], start
+        while start and at < len(line):
+            try:
+                value, end = decoder.raw_decode(line, at)
+            except ValueError:
+                break
+            if not isinstance(value, dict):
+                break
+            found.append(line[at:end])
+            at = end + len(line[end:]) - len(line[end:].lstrip())
+        if found and at == len(line):
+            return found
+    return []
 
 
 def entries(p: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import redact, text
@@ -41,3 +41,86 @@ def code_blocks(blocks: DataFrame) -> DataFrame:
     """Fenced code of text blocks with its language."""
     found = blocks.filter("block_type = 'text'").select("session_key", "line_no", "block_no", "entry_type", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)```(.*?)```"), F.lit(1))).alias("nr", "code"))
     return found.select("session_key", "line_no", "block_no", "entry_type", "nr", F.regexp_extract("code", r"^([^\n]*)\n", 1).alias("language"), F.regexp_replace("code", r"^[^\n]*\n", "").alias("code"))
+
+
+def transformed(entries: DataFrame, blocks: DataFrame, hide: str | None = None, only: tuple[str, ...] | None = None, thinking: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both tables as an export shows them: of some entry types, with or without thinking, and redacted at a level."""
+    if only:
+        entries, blocks = entries.filter(F.col("entry_type").isin(*only)), blocks.filter(F.col("entry_type").isin(*only))
+    if not thinking:
+        blocks = blocks.filter("block_type <> 'thinking'")
+    if hide is not None:
+        entries = entries.withColumn("raw", redact.redacted(F.col("raw"), hide))
+        blocks = blocks.withColumns({c: redact.redacted(F.col(c), hide) for c in ("text", "thinking", "result_text") if c in blocks.columns})
+    return entries, blocks
+
+
+def to_json(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(session_key, document): a session as one JSON object with its facts and its entries in order. A group is one session."""
+    own = blocks.groupBy("session_key", "line_no").agg(F.sort_array(F.collect_list(F.struct("block_no", "block_type", "text", "thinking", "tool_name", "result_text"))).alias("shown"))
+    e = entries.join(own, ["session_key", "line_no"], "left").select("session_key", F.struct("line_no", "uuid", "parent_uuid", F.col("entry_type").alias("type"), F.col("ts").alias("timestamp"), "model", F.col("shown").alias("content")).alias("e"))
+    s = e.groupBy("session_key").agg(F.sort_array(F.collect_list("e")).alias("entries"))
+    facts = F.struct("session_key", F.size("entries").alias("entry_count"), F.array_min(F.transform("entries", lambda x: x["timestamp"])).alias("start"), F.array_max(F.transform("entries", lambda x: x["timestamp"])).alias("end"))
+    return s.select("session_key", F.to_json(F.struct(facts.alias("metadata"), "entries")).alias("document"))
+
+
+def tool_line(name: Column, args: Column) -> Column:
+    """A call in one line: the tool and what it works on."""
+    what = F.coalesce(*[F.get_json_object(args, f"$.{k}") for k in ("command", "file_path", "notebook_path", "pattern", "path", "url", "query", "description", "prompt")], F.lit(""))
+    return F.concat(name, F.when(what == "", F.lit("")).otherwise(F.concat(F.lit(": "), text.truncated(F.regexp_replace(what, r"\s+", " "), 100))))
+
+
+def escaped(t: Column) -> Column:
+    out = t
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def _shown(blocks: DataFrame) -> DataFrame:
+    """(session_key, x) with x(line_no, block_no, who, kind, body) of what a reader sees."""
+    body = F.when(F.col("block_type") == "tool_use", tool_line(F.col("tool_name"), F.to_json("tool_input"))).otherwise(F.coalesce("text", "thinking", "result_text", F.lit("")))
+    return blocks.filter(F.col("block_type").isin("text", "thinking", "tool_use", "tool_result")).select("session_key", F.struct("line_no", "block_no", F.col("entry_type").alias("who"), F.col("block_type").alias("kind"), body.alias("body")).alias("x"))
+
+
+def to_text(blocks: DataFrame) -> DataFrame:
+    """(session_key, document): plain text, a paragraph a block after who says it."""
+    s = _shown(blocks).groupBy("session_key").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    mark = lambda x: F.when(x["kind"] == "text", F.upper(x["who"])).otherwise(F.upper(F.replace(x["kind"], F.lit("_"), F.lit(" "))))
+    return s.select("session_key", F.array_join(F.transform("xs", lambda x: F.concat(F.lit("["), mark(x), F.lit("]\n"), x["body"])), "\n\n").alias("document"))
+
+
+def to_html(blocks: DataFrame, dark: bool = False) -> DataFrame:
+    """(session_key, document): a page for each session; thinking and results are folded."""
+    s = _shown(blocks).groupBy("session_key").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    plain = lambda x: F.concat(F.lit('<section class="'), x["who"], F.lit('"><h2>'), F.initcap(x["who"]), F.lit("</h2><pre>"), escaped(x["body"]), F.lit("</pre></section>"))
+    folded = lambda x: F.concat(F.lit("<details><summary>"), F.replace(x["kind"], F.lit("_"), F.lit(" ")), F.lit("</summary><pre>"), escaped(x["body"]), F.lit("</pre></details>"))
+    body = F.array_join(F.transform("xs", lambda x: F.when(x["kind"] == "text", plain(x)).otherwise(folded(x))), "\n")
+    style = "body{background:#111;color:#eee}" if dark else "body{background:#fff;color:#111}"
+    head = F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), escaped(F.col("session_key")), F.lit(f"</title><style>{style}</style></head><body>"))
+    return s.select("session_key", F.concat(head, body, F.lit("</body></html>")).alias("document"))
+
+
+def from_template(rows: DataFrame, template: str) -> DataFrame:
+    """rows with `document`: the template with each {{column}} replaced by the row's value; unknown names are an error."""
+    parts, rest = [], template
+    while "{{" in rest:
+        before, _, rest = rest.partition("{{")
+        name, closed, rest = rest.partition("}}")
+        if not closed or name.strip() not in rows.columns:
+            raise ValueError(f"{name.strip()}: no such column")
+        parts += [F.lit(before), F.coalesce(F.col(f"`{name.strip()}`").cast("string"), F.lit(""))]
+    return rows.withColumn("document", F.concat(*parts, F.lit(rest)))
+
+
+def relational(entries: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a relational export, by name; each can be written as Parquet or through JDBC."""
+    key = ["session_key", "line_no", "block_no"]
+    return {
+        "entries": entries.select("session_key", "line_no", "uuid", "parent_uuid", "entry_type", "ts", "model", "is_sidechain"),
+        "content_blocks": blocks.select(*key, "block_type", "text"),
+        "thinking_blocks": blocks.filter("block_type = 'thinking'").select(*key, "thinking"),
+        "tool_uses": blocks.filter("block_type = 'tool_use'").select(*key, "call_id", "tool_name", F.to_json("tool_input").alias("input")),
+        "tool_results": blocks.filter("block_type = 'tool_result'").select(*key, "tool_use_id", "result_text", "is_error"),
+        "usage_stats": entries.filter("entry_type = 'assistant'").select("session_key", "line_no", "message_id", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"),
+    }
