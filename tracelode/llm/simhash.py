@@ -35,7 +35,7 @@ BLOCK = 1 << 15
 LANES, SEGMENT, FLIPS = 10, 32, 4
 #: Texts of a task whose copies are told at once.
 SEEN = 500_000
-#: Texts under one lookup value of which all pairs are listed.
+#: Texts under one lookup value whose pairs of different components are listed.
 FEW = 6
 #: Texts under one lookup value that a task compares with one another; more are dealt in blocks, and all pairs of blocks compared.
 CROWD = 4096
@@ -320,8 +320,8 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     A fingerprint of LANES * 64 bits falls into segments of SEGMENT bits. Every text looks up, in each segment's
     table, the values reached by flipping its least certain bits, and is in the table under them too, so two texts
     meet where their differences in a segment lie among the doubtful bits of either. Of those that meet under a value
-    all pairs are compared: at once where they are few; else first each with one of them, then, where that leaves more
-    than one component, all pairs of different components. Pairs with near enough fingerprints are verified by their sets of shingles before they link.
+    all pairs are compared: first each with one of them, then, where that leaves more than one component, all pairs of
+    different components; these are listed where the texts are few, and else compared by a task. Pairs with near enough fingerprints are verified by their sets of shingles before they link.
     What is lost are pairs that never meet: at a similarity of 0.8 four in a hundred, at 0.85 less than one (simulated).
     """
     limit = bit_limit(similarity, LANES * 64)
@@ -330,17 +330,18 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     met = written(_meetings(_lookups(sketched.repartition("tid"))), "met")
     lanes = [F.conv(F.hex(F.substring("signature", 1 + 8 * i, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(LANES)]
     bits = sketched.select("tid", *lanes)
-    few = met.filter(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("tid")).alias("l"))
-    few = few.select(F.inline(F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(y as a, x as b))))")))
-    pairs = met.filter((F.col("n") > FEW) & (F.col("tid") != F.col("leader"))).select(F.greatest("tid", "leader").alias("a"), F.least("tid", "leader").alias("b")).union(few).distinct()
+    pairs = met.filter("tid <> leader").select(F.col("tid").alias("a"), F.col("leader").alias("b")).distinct()
     links = written(verified(written(_within(pairs, bits, limit), "near"), texts, words, similarity), "links")
     roots = written(components(links).withColumnRenamed("node", "tid"), "roots")
     # all under a value have met their leader; any other two need to be compared unless they are joined already
-    rest = met.filter(F.col("n") > FEW).join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    rest = rest.filter("tid <> leader")
+    rest = met.filter("n > 2").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid")).filter("tid <> leader")
+    few = rest.filter(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("root", "tid")).alias("l"))
+    other = "transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(greatest(x.tid, y.tid) as a, least(x.tid, y.tid) as b))"
+    few = few.select(F.inline(F.expr(f"flatten(transform(l, (x, i) -> {other}))"))).distinct()
+    rest = rest.filter(F.col("n") > FEW)
     apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     crowd = rest.join(apart, "key").join(bits, "tid").select("key", "tid", "root", "n", *[f"s{i}" for i in range(LANES)])
-    close = written(_crowded_pairs(crowd, limit), "close")
+    close = written(_crowded_pairs(crowd, limit).union(_within(few, bits, limit)).distinct(), "close")
     more = written(verified(close, texts, words, similarity), "more-links")
     if more.head(1):
         roots = components(links.union(more)).withColumnRenamed("node", "tid")
