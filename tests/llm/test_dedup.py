@@ -171,6 +171,17 @@ def test_a_bucket_compares_all_its_pairs(spark):
         simhash.CROWD = keep
 
 
+def test_later_links_join_components(spark):
+    """Links between components, to texts in none, and among such, beside components that stay."""
+    from tracelode.llm import simhash
+
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "tid long, root long")
+    more = spark.createDataFrame([(6, 3), (12, 6), (21, 20), (2, 1)], "a long, b long")
+    got = sorted(map(tuple, simhash._joined(roots, more).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (8, 8), (9, 8), (12, 1), (20, 20), (21, 20)]
+    assert sorted(map(tuple, simhash._joined(roots, more.limit(0)).collect())) == sorted(map(tuple, roots.collect()))
+
+
 def without(texts, size):
     raws = [(t or "").encode() for t in texts]
     count = collections.Counter(r[i : i + size] for r in raws for i in range(len(r) - size + 1))

@@ -225,11 +225,16 @@ def _meetings(found: DataFrame) -> DataFrame:
 
 
 def _within(pairs: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
-    """The pairs(a, b) whose complete fingerprints bits(tid, s0, ...) differ in at most `limit` bits."""
+    """(a, b, apart) of the distinct pairs(a, b) whose complete fingerprints bits(tid, s0, ...) differ in at most `limit` bits.
+
+    The partners of an a are gathered, so that each a meets its fingerprint once: they are as many as a text's lookups
+    have leaders or few others, which the number of lookups bounds.
+    """
     one = bits.select(F.col("tid").alias("a"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(LANES)])
     two = bits.select(F.col("tid").alias("b"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(LANES)])
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, LANES)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    return pairs.join(one, "a").join(two, "b").filter(apart <= limit).select("a", "b")
+    met = pairs.groupBy("a").agg(F.collect_set("b").alias("l")).join(one, "a").select("*", F.explode("l").alias("b")).drop("l")
+    return met.join(two, "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= limit)
 
 
 def _close_pairs(group: np.ndarray, tid: np.ndarray, root: np.ndarray, block: np.ndarray, bits: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -283,8 +288,8 @@ def _crowded_pairs(rows: DataFrame, limit: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose sets of shingles have at least this Jaccard similarity; two texts without words are alike."""
+def shingle_sets(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(tid, shingles) of the texts(tid, text) that pairs(a, b) name: the hashes of their distinct shingles, as a written table."""
     needed = pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +303,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
             yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(found, pa.binary())], names=["tid", "shingles"])
 
     of_text = texts.join(needed, "tid", "left_semi").select("tid", "text").mapInArrow(sets, "tid long, shingles binary")
-    of_text = written(of_text.dropDuplicates(["tid"]), "shingles")
+    return written(of_text.dropDuplicates(["tid"]), "shingles")
+
+
+def verified(pairs: DataFrame, of_text: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose sets of shingles, of_text(tid, shingles), have at least this Jaccard similarity; two texts without words are alike."""
     both = pairs.join(of_text.select(F.col("tid").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(of_text.select(F.col("tid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -320,8 +329,10 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     A fingerprint of LANES * 64 bits falls into segments of SEGMENT bits. Every text looks up, in each segment's
     table, the values reached by flipping its least certain bits, and is in the table under them too, so two texts
     meet where their differences in a segment lie among the doubtful bits of either. Of those that meet under a value
-    all pairs are compared: first each with one of them, then, where that leaves more than one component, all pairs of
-    different components; these are listed where the texts are few, and else compared by a task. Pairs with near enough fingerprints are verified by their sets of shingles before they link.
+    all pairs are compared: first each with one of them, the nearest of a text's before the others, then, where that
+    leaves more than one component, all pairs of different components; these are listed where the texts are few, and
+    else compared by a task. Pairs with near enough fingerprints are verified by their sets of shingles before they
+    link; those that are joined already aren't.
     What is lost are pairs that never meet: at a similarity of 0.8 four in a hundred, at 0.85 less than one (simulated).
     """
     limit = bit_limit(similarity, LANES * 64)
@@ -330,22 +341,42 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     met = written(_meetings(_lookups(sketched.repartition("tid"))), "met")
     lanes = [F.conv(F.hex(F.substring("signature", 1 + 8 * i, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(LANES)]
     bits = sketched.select("tid", *lanes)
-    pairs = met.filter("tid <> leader").select(F.col("tid").alias("a"), F.col("leader").alias("b")).distinct()
-    links = written(verified(written(_within(pairs, bits, limit), "near"), texts, words, similarity), "links")
-    roots = written(components(links).withColumnRenamed("node", "tid"), "roots")
+    pairs = met.filter("tid <> leader").select(F.col("tid").alias("a"), F.col("leader").alias("b"))
+    near = written(_within(pairs, bits, limit), "near")
+    sets = shingle_sets(near, texts, words)
+    # each text and its nearest leader first: of the other pairs, those whose texts that joins need no look at their sets
+    first = written(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "first")
+    roots = written(components(verified(first, sets, similarity)).withColumnRenamed("node", "tid"), "roots")
+    second = _unjoined(near.select("a", "b").join(first, ["a", "b"], "left_anti"), roots).select("a", "b")
+    second = written(verified(second, sets, similarity), "links")
+    if second.head(1):
+        roots = written(_joined(roots, second), "roots")
     # all under a value have met their leader; any other two need to be compared unless they are joined already
-    rest = met.filter("n > 2").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid")).filter("tid <> leader")
+    looked = met.filter("n > 2 and tid <> leader").groupBy("tid").agg(F.collect_list(F.struct("key", "n")).alias("l"))  # as many as a text's lookups at most
+    rest = written(looked.join(roots, "tid", "left").select("tid", F.coalesce("root", "tid").alias("root"), F.inline("l")), "rest")
     few = rest.filter(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("root", "tid")).alias("l"))
     other = "transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(greatest(x.tid, y.tid) as a, least(x.tid, y.tid) as b))"
-    few = few.select(F.inline(F.expr(f"flatten(transform(l, (x, i) -> {other}))"))).distinct()
+    few = few.select(F.inline(F.expr(f"flatten(transform(l, (x, i) -> {other}))")))
     rest = rest.filter(F.col("n") > FEW)
     apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     crowd = rest.join(apart, "key").join(bits, "tid").select("key", "tid", "root", "n", *[f"s{i}" for i in range(LANES)])
-    close = written(_crowded_pairs(crowd, limit).union(_within(few, bits, limit)).distinct(), "close")
-    more = written(verified(close, texts, words, similarity), "more-links")
-    if more.head(1):
-        roots = components(links.union(more)).withColumnRenamed("node", "tid")
-    return roots
+    close = written(_crowded_pairs(crowd, limit).union(_within(few, bits, limit).select("a", "b")).distinct(), "close")
+    more = written(verified(close, shingle_sets(close, texts, words), similarity), "more-links")
+    return _joined(roots, more) if more.head(1) else roots
+
+
+def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, x, y) of the pairs(a, b) whose components under roots(tid, root), x and y, are different."""
+    one, two = (roots.select(F.col("tid").alias(t), F.col("root").alias(r)) for t, r in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots(tid, root) after the links more(a, b): the components so far are the nodes that the links join."""
+    edges = _unjoined(more, roots).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    above = written(components(edges).select(F.col("node").alias("root"), F.col("root").alias("above")), "above")
+    alone = above.join(roots.select(F.col("tid").alias("root")), "root", "left_anti").select(F.col("root").alias("tid"), "root")
+    return roots.select("tid", "root").union(alone).join(above, "root", "left").select("tid", F.coalesce("above", "root").alias("root"))
 
 
 def text_hash(text: Column) -> Column:
