@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, mixing, quality, repeats, simhash, token_counts, transport, url_filter, warc
+from . import ann, bpe, importance, mixing, quality, repeats, runs, simhash, token_counts, token_files, transport, url_filter, warc
 
 _MODULES = {
     "op1_simhash": simhash,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_bpe": bpe,
     "op10_repeats": repeats,
     "op9_token_counts": token_counts,
+    "op11_periodic_runs": runs,
+    "op12_token_files": token_files,
+    "op13_importance": importance,
 }
 
 
