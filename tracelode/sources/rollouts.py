@@ -1,7 +1,6 @@
-"""The second log dialect: lines of {timestamp, type, payload}, brought to the canonical entries and blocks.
+"""The second log dialect: lines of {timestamp, type, payload}, their counters and the patches of their calls.
 
-Older files of bare items are recognised and refused. Messages come twice, as an item and as an event; the event is
-left out where an item of the same turn says the same.
+Older files of bare items are recognised and refused. envelope.py brings the records to canonical entries and blocks.
 """
 
 from __future__ import annotations
@@ -39,33 +38,6 @@ def inventory(r: DataFrame) -> DataFrame:
     )
 
 
-def blocks(r: DataFrame) -> DataFrame:
-    """Canonical blocks of the envelope's records: texts, reasoning, calls and their results; twins of items among the events are left out."""
-    e = r.filter("dialect = 'envelope'").withColumn("turn", F.sum(F.when(F.col("type") == "turn_context", 1).otherwise(0)).over(Window.partitionBy("session_key").orderBy("line_no")))
-    key = ["session_key", "line_no", "ts", "turn"]
-    none = lambda kind: F.lit(None).cast(kind)
-    row = lambda kind, who, text=None, call=None, tool=None, args=None, result=None: [
-        *key, F.lit(who).alias("entry_type") if isinstance(who, str) else who.alias("entry_type"), F.lit(kind).alias("block_type"), (text if text is not None else none("string")).alias("text"),
-        (call if call is not None else none("string")).alias("call_id"), (tool if tool is not None else none("string")).alias("tool_name"), (args if args is not None else none("string")).alias("tool_input"),
-        (result if result is not None else none("string")).alias("result_text"),
-    ]
-    item = e.filter("type = 'response_item'")
-    parts = F.try_variant_get(F.col("v"), "$.payload.content", "array<variant>")
-    said = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), "\n")
-    texts = item.filter("kind = 'message'").select(*row("text", _get("$.payload.role"), said))
-    thought = item.filter("kind = 'reasoning'").select(*row("thinking", "assistant", F.array_join(F.transform(F.try_variant_get(F.col("v"), "$.payload.summary", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), "\n")))
-    call = item.filter(F.col("kind").isin("function_call", "custom_tool_call", "local_shell_call")).select(*row("tool_use", "assistant", None, _get("$.payload.call_id"), F.coalesce(_get("$.payload.name"), F.lit("shell")), F.coalesce(_get("$.payload.arguments"), _get("$.payload.input"), F.to_json(F.try_variant_get(F.col("v"), "$.payload.action", "variant")))))
-    output = F.coalesce(_get("$.payload.output"), F.to_json(F.try_variant_get(F.col("v"), "$.payload.output", "variant")))
-    result = item.filter(F.col("kind").isin("function_call_output", "custom_tool_call_output")).select(*row("tool_result", "user", None, _get("$.payload.call_id"), None, None, output))
-    event = e.filter("type = 'event_msg'").filter(F.col("kind").isin("user_message", "agent_message"))
-    event = event.select(*row("text", F.when(F.col("kind") == "user_message", "user").otherwise("assistant"), _get("$.payload.message")))
-    # an event and an item of one turn that say the same are one; the n-th event goes with the n-th item
-    same = Window.partitionBy("session_key", "turn", "entry_type", "text").orderBy("line_no")
-    known = texts.withColumn("nr", F.row_number().over(same)).select("session_key", "turn", "entry_type", "text", "nr")
-    alone = event.withColumn("nr", F.row_number().over(same)).join(known, ["session_key", "turn", "entry_type", "text", "nr"], "left_anti").drop("nr").select(texts.columns)
-    return texts.union(thought).union(call).union(result).union(alone)
-
-
 def token_counts(r: DataFrame) -> DataFrame:
     """(session_key, line_no, ts, input, output, cached): the cumulative counters of the token events."""
     t = r.filter("dialect = 'envelope' and type = 'event_msg' and kind = 'token_count'")
