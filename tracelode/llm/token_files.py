@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,11 +32,21 @@ ROW_GROUP, PAGE, PAGE_ROWS = 64 << 20, 256 << 10, 1000
 OWN = ("part", "at", "n_tokens", "ids")
 
 
+@cache
+def letters() -> np.ndarray:
+    """The character by which the library's byte-level vocabularies write each byte: visible ones of Latin-1 stand for themselves, the others follow from 256 on."""
+    seen = np.zeros(256, bool)
+    for a, b in ((33, 126), (161, 172), (174, 255)):
+        seen[a : b + 1] = True
+    return np.where(seen, np.arange(256), 255 + np.cumsum(~seen)).astype(np.uint32)
+
+
 class Encoder:
-    """The library's ids of texts. Each pre-token goes through the library once while the worker keeps it."""
+    """The library's ids of texts. Each pre-token goes through the library's model once while the worker keeps it."""
 
     def __init__(self, path: str):
         self.library, self.added = token_counts.tokenizer(path)
+        self.model = self.library.model
         self._forget()
 
     def _forget(self) -> None:
@@ -48,9 +59,10 @@ class Encoder:
             self._forget()
         new = [w for w in words if w not in self.number]
         if new:
-            found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            tokenize = self.model.tokenize
+            found = [[t.id for t in tokenize(w)] for w in new]
             length = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.int32, int(length.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
             self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
             self.length, self.ids = np.concatenate((self.length, length)), np.concatenate((self.ids, flat))
@@ -66,7 +78,7 @@ class Encoder:
         for number, group in pretokens.slices(["" if w else t for t, w in zip(texts, whole, strict=True)], SLICE):
             s = pretokens.split(group)
             first, which = distinct(s)
-            known = self._known(token_counts._strings(s, first).to_pylist())[which]
+            known = self._known(written_words(s, first))[which]
             n = self.length[known]
             ids = pretokens.gather(self.ids, self.begin[known], n)
             count = np.bincount(s.text, weights=n, minlength=len(group)).astype(np.int64)
@@ -75,20 +87,32 @@ class Encoder:
         return [np.concatenate(x) if x else np.empty(0, np.int32) for x in out]
 
 
+def written_words(s: pretokens.Split, which: np.ndarray) -> list[str]:
+    """The pre-tokens of these numbers, a letter a byte."""
+    wide = 1 + (s.codes >= 0x80) + (s.codes >= 0x800) + (s.codes >= 0x10000).astype(np.int32)
+    at = np.concatenate(([0], np.cumsum(wide)))
+    begin, length = at[s.start[which]], at[s.end[which]] - at[s.start[which]]
+    data = letters()[pretokens.gather(np.frombuffer(s.joined.encode(), np.uint8), begin, length)]
+    text, end = data.astype("<u4").tobytes().decode("utf-32-le"), np.cumsum(length)
+    return [text[a:b] for a, b in zip((end - length).tolist(), end.tolist(), strict=True)]
+
+
 def distinct(s: pretokens.Split) -> tuple[np.ndarray, np.ndarray]:
-    """pretokens.distinct by a hash table in place of sorting; hashes that can't tell two pre-tokens apart leave it to that one."""
+    """pretokens.distinct by a hash table in place of sorting; where the hashes don't tell all pre-tokens apart, by that one."""
     n = len(s.codes)
     pw = pretokens.powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((s.codes.astype(np.uint64) + np.uint64(0x51ED270B)) * pw[:n], out=total[1:])
-    length = s.end - s.start
+    length = (s.end - s.start).astype(np.int32)
     h = (total[s.end] - total[s.start]) * pw[n - s.start]
     which, kinds = pd.factorize((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + length.astype(np.uint64))
     first = np.empty(len(kinds), np.int64)
     first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-    shift = s.start[first][which] - s.start
-    at = np.repeat(s.start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-    if np.array_equal(length, length[first][which]) and np.array_equal(s.codes[at], s.codes[at + np.repeat(shift, length)]):
+    # pre-tokens follow each other without gaps but for the line ends between texts, so the characters are compared in place
+    own = np.repeat((s.start[first][which] - s.start).astype(np.int32), length)
+    at = np.repeat((s.start - (np.cumsum(length, dtype=np.int64) - length)).astype(np.int32), length)
+    at += np.arange(len(at), dtype=np.int32)
+    if np.array_equal(length, length[first][which]) and np.array_equal(s.codes[at], s.codes[at + own]):
         return first, which
     return pretokens.distinct(s)
 
