@@ -89,19 +89,61 @@ def test_subagents_in_three_passes(spark):
 
 
 def test_failures(spark):
+    """Cases of each rule, written down by hand."""
     from tracelode.operators import lessons
 
     rows = [
-        ("Bash", "make", "Process exited with code 2\nbad", None, "exit_code"), ("Bash", "rg x", "Exit code: 1", True, None), ("Bash", "make", "Exit code: 0\nerror: nothing", True, None),
-        ("Read", None, "  12→text", True, None), ("Read", None, "gone", True, "native_error_flag"), ("Read", None, "Error: in the text", False, None), ("mcp__a__b", None, '{"ok":1}', True, None),
-        ("Bash", "git log", "Error: a commit message", False, None), ("Bash", "cat f", "Error: in the file", False, None), ("Bash", "make", "Error: none", False, "text_signature"),
-        ("Odd", None, '{"error":"x"}', False, "structured_error"), ("Odd", None, '{"error":false}', False, None), ("Odd", None, None, None, None), (None, None, None, True, "native_error_flag"),
+        ("Read", None, "  12→text", True, None), ("Read", None, "787\ttext", True, None), ("Read", None, "gone", True, "native_error_flag"), ("Read", None, "12: text", True, "native_error_flag"),
+        ("Grep", None, "21:x", True, None), ("Grep", None, "21-x", True, None), ("Grep", None, "a1-b is no directory", True, "native_error_flag"), ("mcp__a__b", None, ' {"ok":1}', True, None), ("mcp__a__b", None, "refused", True, "native_error_flag"),
+        ("Agent", None, "y" * 201, True, None), ("Agent", None, "Error " + "y" * 201, True, "native_error_flag"), ("Agent", None, "short", True, "native_error_flag"), (None, None, None, True, "native_error_flag"),
+        ("Bash", {"command": " git log -1"}, "fix stack overflow", False, None), ("Bash", {"command": "make"}, "x.c: undefined reference to f", None, "text_signature"), ("Bash", {"command": "run"}, "thread 'main' panicked at", None, "text_signature"),
+        ("Bash", {"command": "run"}, "Segmentation fault (core dumped)", None, "text_signature"), ("Bash", {"command": "run"}, "Exit code 1", None, "text_signature"), ("Bash", {"command": "run"}, "Exit code 0", None, None),
+        ("Bash", {"command": "cargo"}, "error[E0308]: mismatched", None, "text_signature"), ("Bash", {"command": "python x"}, "Traceback (most recent call last)", None, None), ("Bash", {"command": "x"}, "Error: none", None, None),
+        ("Odd", None, '{"error":"x"}', False, "structured_error"), ("Odd", None, '{"error":false}', False, None), ("Odd", None, '{"error":null}', False, None), ("Odd", None, '{"error":0}', False, "structured_error"), ("Odd", None, "[1]", None, None), ("Odd", None, None, None, None),
     ]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, tool string, command string, content string, flag boolean, want string")
-    got = df.select("i", "want", lessons.failure(F.col("tool"), F.col("command"), F.col("content"), F.col("flag"))["basis"].alias("got")).collect()
+    df = spark.createDataFrame([(i, t, json.dumps(g), *r) for i, (t, g, *r) in enumerate(rows)], "i int, tool string, given string, content string, flag boolean, want string")
+    got = df.select("i", "want", lessons.failure(F.col("tool"), F.col("given"), F.col("content"), F.col("flag"))["basis"].alias("got")).collect()
     assert [(r.i, r.got) for r in got if r.got != r.want] == []
 
 
+def test_typed_failures(spark):
+    from tracelode.operators import lessons
+
+    shell = lambda command, content, want, flag=None, seen=(None, None, None): ("exec_command", {"cmd": command}, content, flag, *seen, want)
+    rows = [
+        shell("make", "error: x\nProcess exited with code 0", None), shell("make", "Process exited with code 2", "process_exit"), shell("rg x", "Process exited with code 1", None), shell("rg x", "Process exited with code 2", "process_exit"),
+        shell(["grep", "x"], "Exit code: 1", None), shell("make", '{"output":"","metadata":{"exit_code":3}}', "process_exit"), shell("make", '{"exit_code":0,"error":"x"}', None), shell("make", "panic\nProcess running with session ID 5", None),
+        shell("cat r.json", '{"error":{"a":1}}', None), shell("cat log", "Error: in the file", None), shell("make", '{"error":"x"}', "structured_error"), shell("make", " Error: x", "text_signature"), shell("make", "panicked", "text_signature"), shell("make", "fine", None),
+        shell("make", "Process exited with code 0", "native_error_flag", True), shell("make", "panic", "process_exit", None, (2, None, None)), shell("rg x", "panic", None, None, (1, None, "failed")), shell("make", "panic", None, None, (0, None, None)),
+        shell("make", "fine", "native_lifecycle_status", None, (None, False, None)), shell("make", "fine", "native_lifecycle_status", None, (None, None, "declined")), shell("make", "panic", None, None, (None, None, "completed")), shell("make", "panic", "text_signature", None, (None, None, None)),
+        ("apply_patch", "*** Begin", "apply_patch verification failed: no file", None, None, None, None, "text_signature"), ("apply_patch", None, '{"error":"x"}', None, None, None, None, "structured_error"), ("apply_patch", None, "panic in a comment", None, None, None, None, None),
+        ("read_file", None, '{"error":"in a file"}', None, None, None, None, None), ("grep", None, "panic", None, None, None, None, None), ("web_search", None, "Error: said a page", None, None, None, None, None), ("web_search", None, '{"error":"x"}', None, None, None, None, "structured_error"),
+        ("mcp__a__b", None, "Error: x", None, None, None, None, None), ("update_plan", None, "Error: x", None, None, None, None, None), ("odd", None, '{"error":1}', None, None, None, None, "structured_error"), ("odd", None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, t, json.dumps(g), *r) for i, (t, g, *r) in enumerate(rows)], "i int, tool string, given string, content string, flag boolean, code int, success boolean, status string, want string")
+    got = df.select("i", "want", lessons.typed_failure(*[F.col(c) for c in ("tool", "given", "content", "flag", "code", "success", "status")])["basis"].alias("got")).collect()
+    assert [(r.i, r.got) for r in got if r.got != r.want] == []
+
+
+def test_error_fixes_and_corrections(spark):
+    from tracelode.operators import lessons
+
+    call = lambda i, name, given: {"type": "tool_use", "id": i, "name": name, "input": given}
+    result = lambda i, content, bad=None: {"type": "tool_result", "tool_use_id": i, "content": content} | ({"is_error": bad} if bad is not None else {})
+    rows = [
+        ("a", 1, "user", "What do I mean? No, that's wrong."), ("a", 2, "assistant", [{"type": "text", "text": "trying"}, call("t1", "MultiEdit", {"file_path": "/f", "edits": [{"old_string": "a", "new_string": "b"}, {}]})]),
+        ("a", 3, "user", [result("t1", [{"type": "text", "text": "not"}, {"type": "text", "text": "there"}], True)]), ("a", 4, "user", "No, that's wrong, twice."),
+        ("a", 5, "assistant", [{"type": "text", "text": " another way "}, call("t2", "Bash", {"command": "make"}), call("t3", "Read", {})]), ("a", 6, "user", [result("t2", "panic"), result("t3", "1→ok", True)]), ("a", 7, "user", "no, wait"),
+    ]
+    e, b = entries_of(spark, rows)
+    got = {r.id: r for r in lessons.error_fixes(e, b).collect()}
+    assert set(got) == {"t1", "t2"} and got["t1"].preview == "not\nthere" and got["t1"].given == {"file_path": "/f", "edit_count": "2", "old_string": "a", "new_string": "b"}
+    assert (got["t1"].fix_line, got["t1"].resolution, got["t1"].resolution_tools) == (5, "another way", ["Bash", "Read"]) and (got["t2"].fix_line, got["t2"].resolution_tools, got["t2"].given) == (None, [], {"command": "make"})
+    human = e.filter("entry_type = 'user'")
+    assert [(r.line_no, r.basis, r.before) for r in lessons.corrections(b, human).collect()] == [(4, "explicit_rejection", "trying")]
+    assert lessons.corrections(b, human.filter("line_no < 4")).count() == 0
+
+
 def test_corrections(spark):
     from tracelode.operators import lessons
 
@@ -163,7 +205,7 @@ def test_index_follows_changes(spark, tmp_path):
     assert tuple(ix.coverage(e).first()) == (3, 0, 0, 0)
 
 
-def test_exports(spark):
+def test_exports(spark, tmp_path):
     from tracelode.sources import sinks
 
     use = {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": "ls  -l"}}
@@ -175,6 +217,20 @@ def test_exports(spark):
     page = sinks.to_html(b2, dark=True).first().document
     assert "mail &lt;[REDACTED]&gt;" in page and "bob" not in page and "hm" not in page and e2.count() == 1
     assert sinks.from_template(e.filter("line_no = 1").select("session_key", "uuid"), "<{{uuid}} of {{ session_key }}>").first().document == "<a1 of a>"
+    # a secret in a call, a result, a thought and a text leaves no exporter, behind quotes and escapes neither
+    token, word = "ghp_" + "a1B2" * 10, "hunter22x"
+    rows = [
+        ("a", 1, "user", f"use {token}"), ("a", 2, "assistant", [{"type": "thinking", "thinking": token}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": f'export PASSWORD="{word}" T={token}\n\\', "n": [1, None, "plain"]}}]),
+        ("a", 3, "user", [{"type": "tool_result", "tool_use_id": "t", "content": f"said {token}"}]),
+    ]
+    e3, b3 = sinks.transformed(*entries_of(spark, rows), hide="all")
+    tables = sinks.relational(e3, b3)
+    out = [*[r.document for f in (sinks.to_text(b3), sinks.to_html(b3), sinks.to_json(e3, b3)) for r in f.collect()], *[str(r) for t in tables.values() for r in t.collect()], *[r.raw for r in e3.collect()]]
+    assert not [x for x in out if token in x or word in x]
+    given = json.loads(tables["tool_uses"].first().input)
+    assert given["n"] == [1, None, "plain"] and given["command"].startswith("export PASSWORD=[REDACTED]") and given["command"].endswith("\n\\") and json.loads(e3.filter("line_no = 2").first().raw)["uuid"] == "a2"
+    sinks.to_jsonl(entries_of(spark, rows)[0], f"{tmp_path}/out", hide="all")
+    assert not [r.value for r in spark.read.text(f"{tmp_path}/out").collect() if token in r.value or word in r.value]
     tables = sinks.relational(e, b)
     assert tables["tool_uses"].count() == 1 and tables["content_blocks"].count() == 4 and tables["entries"].count() == 2
 

@@ -138,7 +138,7 @@ def test_one_schema_for_both_dialects(spark, walk, tmp_path):
     assert (total["s1"].input_tokens, total["s1"].output_tokens, total["s1"].cache_read_tokens) == (90, 30, 110)
     calls = {r.id: r for r in usage.tool_calls(blocks).collect()}
     assert calls["k9"].failed is True and calls["k1"].result.startswith("a") and set(calls) == {"k1", "k2", "k3", "k9", "ws1", "t"}
-    assert "k9" in {r.id for r in lessons.failures(blocks).collect()}
+    assert {(r.id, r.basis) for r in lessons.failures(n.blocks, n.observed).collect()} == {("k9", "process_exit")}
     ix = Index(spark, str(tmp_path / "ix"))
     assert ix.update(entries, blocks) == {"added": 2} and {r.line_no // 2 for r in ix.search("never an item").collect()} == {9}
     assert sinks.to_text(blocks).count() == 2 == sinks.to_json(entries, blocks).count() and sinks.messages(entries, blocks).count() > 10

@@ -26,19 +26,43 @@ PATTERNS = {
 #: Applied in this order; kinds whose match keeps its name before the value.
 ORDER = tuple(k for k in PATTERNS if k != "password_url")
 KEYED = ("aws_secret_key", "password_env", "api_key", "generic_secret")
+#: How credentials in an address are replaced: what follows them stays.
+URL_CREDENTIALS = r"(?i)\b((?:https?|ftp|ssh)://)[^:/@\s]+:[^@\s]+@(?=\S)"
 #: Left out at the level `security`.
 PERSONAL = ("email", "ipv4", "ipv6", "phone")
 PLACEHOLDER = "[REDACTED]"
 
 
 def redacted(text: Column, level: str = "all", placeholder: str = PLACEHOLDER) -> Column:
-    """text with every match of the level's kinds replaced; null stays null."""
+    """text with every match of the level's kinds replaced; null stays null. Texts in which none of them is found once are passed on after a single search."""
+    kinds = [k for k in ORDER if level != "security" or k not in PERSONAL]
+    any_ = "|".join(f"(?:{PATTERNS[k] if k != 'url_credentials' else URL_CREDENTIALS})" for k in kinds)
+    return F.when(text.rlike(any_), _replaced(text, level, placeholder)).otherwise(text)
+
+
+def redacted_json(json: Column, level: str = "all", placeholder: str = PLACEHOLDER) -> Column:
+    """JSON text whose strings, names of fields included, are each redacted as the texts that they stand for, so that a quote within one hides nothing."""
+    # control characters can't stand in JSON text: they hold the places of escapes, so that quotes only part strings
+    held = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
+    freed = lambda x: F.replace(F.replace(x, F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+    plain = lambda x: F.get(F.from_json(F.concat(F.lit('["'), freed(x), F.lit('"]')), "array<string>"), 0)
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r'^\["|"\]$', "")
+    hidden = lambda x, i: F.when(i % 2 == 0, freed(x)).otherwise(F.coalesce(F.nullif(quoted(redacted(plain(x), level, placeholder)), F.lit("[null]")), freed(x)))
+    return F.array_join(F.transform(F.split(held, '"', -1), hidden), '"')
+
+
+def redacted_variant(value: Column, level: str = "all", placeholder: str = PLACEHOLDER) -> Column:
+    """A VARIANT with its strings redacted."""
+    return F.parse_json(redacted_json(F.to_json(value), level, placeholder))
+
+
+def _replaced(text: Column, level: str, placeholder: str) -> Column:
     safe = placeholder.replace("\\", "\\\\").replace("$", "\\$")
     for kind in ORDER:
         if level == "security" and kind in PERSONAL:
             continue
         if kind == "url_credentials":
-            text = F.regexp_replace(text, r"(?i)\b((?:https?|ftp|ssh)://)[^:/@\s]+:[^@\s]+@(?=\S)", f"$1{safe}@")
+            text = F.regexp_replace(text, URL_CREDENTIALS, f"$1{safe}@")
         elif kind == "bearer_token":
             text = F.regexp_replace(text, PATTERNS[kind], f"Bearer {safe}")
         else:

@@ -58,3 +58,25 @@ def tool_kind(name: Column) -> Column:
     for kind, names in groups.items():
         out = out.when(low.isin(*names), F.lit(kind))
     return out.otherwise(F.concat(F.lit("other:"), low))
+
+
+#: Of each tool's input, the fields that tell what a call is about, and how much of each is shown (0: all).
+TELLING = {
+    "Read": (("file_path", 0),), "Write": (("file_path", 0), ("content", 500)), "Edit": (("file_path", 0), ("old_string", 200), ("new_string", 200)), "MultiEdit": (("file_path", 0),),
+    "Bash": (("command", 200),), "Grep": (("pattern", 0), ("path", 0)), "Glob": (("pattern", 0),), "Agent": (("description", 100), ("subagent_type", 0), ("prompt", 500)),
+    "Task": (("description", 100), ("subagent_type", 0), ("prompt", 500)), "WebSearch": (("query", 150),), "WebFetch": (("url", 0),),
+}
+
+
+def input_summary(tool: Column, given: Column) -> Column:
+    """A map of what tells a call apart: the telling fields of its input (JSON text), a list of edits by their number and first, todos in one line; null fields are left out."""
+    text = lambda path, n: truncated(F.trim(F.get_json_object(given, path)), n) if n else F.get_json_object(given, path)
+    field = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    edits = F.from_json(F.get_json_object(given, "$.edits"), "array<string>")
+    todos = F.from_json(F.get_json_object(given, "$.todos"), "array<struct<content:string,status:string>>")
+    listed = F.array_join(F.transform(F.filter(todos, lambda t: t["content"].isNotNull()), lambda t: F.concat(F.lit("["), F.coalesce(t["status"], F.lit("pending")), F.lit("] "), t["content"])), "; ")
+    more = {"MultiEdit": [field("edit_count", F.size(edits).cast("string")), field("old_string", text("$.edits[0].old_string", 200)), field("new_string", text("$.edits[0].new_string", 200))]}
+    out = F.when(tool == "TodoWrite", F.array(field("todos", F.nullif(truncated(listed, 500), F.lit("")))))
+    for name, fields in TELLING.items():
+        out = out.when(tool == name, F.array(*[field(k, text(f"$.{k}", n)) for k, n in fields], *more.get(name, [])))
+    return F.map_from_entries(F.coalesce(F.filter(out, lambda x: x["value"].isNotNull()), F.array().cast("array<struct<key:string,value:string>>")))

@@ -37,6 +37,7 @@ class Normalized(NamedTuple):
     entries: DataFrame
     blocks: DataFrame
     dispositions: DataFrame
+    observed: DataFrame
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -249,8 +250,15 @@ def _dispositions(x: DataFrame) -> DataFrame:
     return x.select("session_key", "file_path", F.col("line_no").alias("record"), outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("shape") == "suppressed", F.col("twin")).alias("twin"), named.alias("entries"))
 
 
+def _observed(x: DataFrame) -> DataFrame:
+    """(session_key, call_id, record, exit_code, success, status, seconds): the ends of operations that belong to a call or are one."""
+    nanos = _get("$.payload.duration.nanos", "bigint")
+    seconds = F.when(nanos.between(0, 999_999_999), _get("$.payload.duration.secs", "bigint") + nanos / 1e9)
+    return x.filter("fate in ('paired', 'alone')").select("session_key", _get("$.payload.call_id").alias("call_id"), F.col("line_no").alias("record"), _get("$.payload.exit_code", "int").alias("exit_code"), _get("$.payload.success", "boolean").alias("success"), _get("$.payload.status").alias("status"), seconds.alias("seconds"))
+
+
 def normalized(raw: DataFrame, first_new: DataFrame | None = None) -> Normalized:
-    """Canonical entries and blocks of raw(file_path, line_no, line), and a disposition for every line that isn't blank.
+    """Canonical entries and blocks of raw(file_path, line_no, line), a disposition for every line that isn't blank, and the observed ends of operations.
 
     A line may give two entries, so line_no in the canonical tables is twice the line's number plus the entry's within
     it; origins lists the lines of the file that an entry rests on. Entries have, beyond the canonical columns, turn_id,
@@ -264,7 +272,7 @@ def normalized(raw: DataFrame, first_new: DataFrame | None = None) -> Normalized
     refused = r.filter("dialect <> 'envelope'").select("session_key", "file_path", F.col("line_no").alias("record"), F.lit("refused").alias("outcome"), F.col("dialect").alias("reason"))
     broken = p.filter("status = 'skipped'").select(F.lit(None).cast("string").alias("session_key"), "file_path", F.col("line_no").alias("record"), F.lit("unparseable").alias("outcome"), F.lit(None).cast("string").alias("reason"))
     rest = refused.unionByName(broken).withColumns({"twin": F.lit(None).cast("long"), "entries": F.array().cast("array<string>")})
-    return Normalized(_entries(x), _blocks(x), _dispositions(x).unionByName(rest))
+    return Normalized(_entries(x), _blocks(x), _dispositions(x).unionByName(rest), _observed(x))
 
 
 def violations(raw: DataFrame, entries: DataFrame, dispositions: DataFrame) -> DataFrame:

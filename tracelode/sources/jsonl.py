@@ -125,7 +125,10 @@ def blocks(e: DataFrame) -> DataFrame:
     rows = e.withColumn("is_text", kind == "STRING").withColumn("plain", text).withColumn("listed", F.when(kind.startswith("ARRAY"), listed))
     one = rows.filter("is_text").select(*_KEY, F.lit(0).alias("block_no"), F.lit("text").alias("block_type"), F.col("plain").alias("text"), *[F.lit(None).cast(t).alias(c) for c, _, t in _BLOCK])
     many = rows.filter("listed is not null").select(*_KEY, F.posexplode("listed").alias("block_no", "b"))
-    many = many.select(*_KEY, "block_no", _get("b", "$.type", "string").alias("block_type"), _get("b", "$.text", "string").alias("text"), *[_get("b", path, t).alias(c) for c, path, t in _BLOCK])
+    many = many.select(*_KEY, "block_no", _get("b", "$.type", "string").alias("block_type"), _get("b", "$.text", "string").alias("text"), *[_get("b", path, t).alias(c) for c, path, t in _BLOCK], _get("b", "$.content", "array<variant>").alias("parts"))
+    # a result may be a list of parts: its texts, one below the other
+    texts = F.filter(F.transform("parts", lambda x: F.try_variant_get(x, "$.text", "string")), lambda x: x.isNotNull())
+    many = many.withColumn("result_text", F.when((F.col("block_type") == "tool_result") & F.col("parts").isNotNull(), F.array_join(texts, "\n")).otherwise(F.col("result_text"))).drop("parts")
     return one.unionByName(many)
 
 

@@ -10,7 +10,7 @@ from ..functions import redact, text
 
 def to_jsonl(entries: DataFrame, path: str, hide: str | None = None) -> None:
     """The lines as they were read, in file order within a session, or with a redaction level applied."""
-    raw = F.col("raw") if hide is None else redact.redacted(F.col("raw"), hide)
+    raw = F.col("raw") if hide is None else redact.redacted_json(F.col("raw"), hide)
     entries.sortWithinPartitions("session_key", "line_no").select(raw.alias("value")).write.mode("error").text(path)
 
 
@@ -43,15 +43,21 @@ def code_blocks(blocks: DataFrame) -> DataFrame:
     return found.select("session_key", "line_no", "block_no", "entry_type", "nr", F.regexp_extract("code", r"^([^\n]*)\n", 1).alias("language"), F.regexp_replace("code", r"^[^\n]*\n", "").alias("code"))
 
 
+def _hidden(df: DataFrame, columns: tuple[str, ...], level: str) -> DataFrame:
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    how = lambda c: redact.redacted_json if c == "raw" else redact.redacted_variant if kinds[c] == "variant" else redact.redacted
+    return df.withColumns({c: how(c)(F.col(c), level) for c in columns if c in kinds})
+
+
 def transformed(entries: DataFrame, blocks: DataFrame, hide: str | None = None, only: tuple[str, ...] | None = None, thinking: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Both tables as an export shows them: of some entry types, with or without thinking, and redacted at a level."""
+    """Both tables as an export shows them: of some entry types, with or without thinking, and redacted at a level, texts, results and what tools were given alike."""
     if only:
         entries, blocks = entries.filter(F.col("entry_type").isin(*only)), blocks.filter(F.col("entry_type").isin(*only))
     if not thinking:
         blocks = blocks.filter("block_type <> 'thinking'")
     if hide is not None:
-        entries = entries.withColumn("raw", redact.redacted(F.col("raw"), hide))
-        blocks = blocks.withColumns({c: redact.redacted(F.col(c), hide) for c in ("text", "thinking", "result_text") if c in blocks.columns})
+        entries = _hidden(entries, ("raw", "summary", "system_text", "content", "tool_use_result"), hide)
+        blocks = _hidden(blocks, ("text", "thinking", "result_text", "tool_input"), hide)
     return entries, blocks
 
 
