@@ -52,8 +52,8 @@ def test_diff_is_longest(spark):
         for i in range(len(a)):
             for j in range(len(b)):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        x, y = replay._common(a, b)
-        assert len(x) == len(y) == best[-1][-1] and [a[i] for i in sorted(x)] == [b[i] for i in sorted(y)]
+        pairs = replay.common(a, b)
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
     one = spark.createDataFrame([("s", i, c) for i, c in enumerate("abc")], "k string, i int, m string")
     two = spark.createDataFrame([("s", i, c) for i, c in enumerate("axc")], "k string, i int, m string")
     got = sorted((r.side, r.m) for r in replay.sequence_diff(one, two, "k", "i", "m").collect())

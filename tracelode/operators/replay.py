@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RECOVERED = "path string, content string, applied int, skipped int, integrity double"
 
@@ -34,33 +38,68 @@ def recovered(ops: DataFrame) -> DataFrame:
     return ops.groupBy("path").applyInPandas(_replay, RECOVERED)
 
 
-def _common(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
-    """Places of a longest common subsequence (greedy search by furthest reach on diagonals)."""
-    n, m = len(a), len(b)
-    reach, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                in_a, in_b, y = set(), set(), m
-                x = n
-                for e in range(d, -1, -1):
-                    before, k = trail[e], x - y
-                    down = k == -e or (k != e and before[k - 1] < before[k + 1])
-                    px = before[k + 1 if down else k - 1]
-                    py = px - (k + 1 if down else k - 1)
-                    while x > px and y > py and x > 0 and y > 0:
-                        x, y = x - 1, y - 1
-                        in_a.add(x)
-                        in_b.add(y)
-                    x, y = (px, py) if e else (x, y)
-                return in_a, in_b
-    return set(), set()
+#: From so many places on, an element's places are kept as one number; with fewer that number is made when needed.
+FREQUENT = 64
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """For each j, the length of a longest common subsequence of a and b[:j]; a bit for each place of b, all in one number."""
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    kept: dict[int, int] = {}
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        at = places.get(x)
+        if at is None:
+            continue
+        mask = kept.get(x)
+        if mask is None:
+            if len(at) < FREQUENT:
+                mask = sum(1 << j for j in at)
+            else:
+                bits = np.zeros(len(b), np.uint8)
+                bits[at] = 1
+                mask = kept[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        hit = row & mask
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), np.uint8), bitorder="little", count=len(b))
+    return np.concatenate(([0], np.cumsum(1 - bits, dtype=np.int64)))
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, in order.
+
+    The first sequence is halved and the second cut where the two halves' lengths add up to most, so the memory is
+    linear; the lengths take time by the product of the sequences over the bits of a machine word. Elements that the
+    other side hasn't, and equal ends, are set apart first.
+    """
+    code: dict = {}
+    x, y = ([code.setdefault(v, len(code)) for v in side] for side in (a, b))
+    in_x, in_y = set(x), set(y)
+    px, py = [i for i, v in enumerate(x) if v in in_y], [j for j, v in enumerate(y) if v in in_x]
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(px), 0, len(py))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and x[px[a0]] == y[py[b0]]:
+            out.append((px[a0], py[b0]))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and x[px[a1 - 1]] == y[py[b1 - 1]]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((px[a1], py[b1]))
+        if a0 == a1 or b0 == b1:
+            continue
+        left, right = [x[i] for i in px[a0:a1]], [y[j] for j in py[b0:b1]]
+        if len(left) == 1:
+            if left[0] in right:
+                out.append((px[a0], py[b0 + right.index(left[0])]))
+            continue
+        half = len(left) // 2
+        cut = int((_lengths(left[:half], right) + _lengths(left[half:][::-1], right[::-1])[::-1]).argmax())
+        todo += [(a0, a0 + half, b0, b0 + cut), (a0 + half, a1, b0 + cut, b1)]
+    return sorted(out)
 
 
 def sequence_diff(first: DataFrame, second: DataFrame, by: str, order: str, mark: str) -> DataFrame:
@@ -68,15 +107,83 @@ def sequence_diff(first: DataFrame, second: DataFrame, by: str, order: str, mark
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         x, y = (t.sort_values(order)[mark].astype(str).tolist() for t in (a, b))
-        in_x, in_y = _common(x, y)
+        pairs = common(x, y)
+        in_x, in_y = {i for i, _ in pairs}, {j for _, j in pairs}
         rows = [(key[0], "common" if i in in_x else "removed", i, v) for i, v in enumerate(x)]
         rows += [(key[0], "added", i, v) for i, v in enumerate(y) if i not in in_y]
         return pd.DataFrame(rows, columns=[by, "side", "pos", mark])
 
     kind = dict(first.dtypes)[by]
+    # columns of their own, also where both sides come from one table
+    first, second = (side.select(*[F.col(c).alias(c) for c in dict.fromkeys((by, order, mark))]) for side in (first, second))
     return first.groupBy(by).cogroup(second.groupBy(by)).applyInPandas(run, f"{by} {kind}, side string, pos int, {mark} string")
 
 
+def hunks(a: list[str], b: list[str], context: int = 3) -> tuple[int, int, int, str]:
+    """(added, removed, unchanged, unified diff) of two texts' lines; stretches up to twice the context apart share a hunk."""
+    edits: list[tuple[str, int, int]] = []  # (sign, line of a, line of b)
+    i = j = 0
+    pairs = common(a, b)
+    for p, q in [*pairs, (len(a), len(b))]:
+        edits += [("-", k, j) for k in range(i, p)] + [("+", p, k) for k in range(j, q)]
+        if p < len(a) and q < len(b):
+            edits.append((" ", p, q))
+        i, j = p + 1, q + 1
+    changed = [n for n, e in enumerate(edits) if e[0] != " "]
+    spans: list[list[int]] = []
+    for n in changed:
+        low, high = max(0, n - context), min(len(edits), n + context + 1)
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = high
+        else:
+            spans.append([low, high])
+    out = []
+    for low, high in spans:
+        part = edits[low:high]
+        n, m = sum(e[0] != "+" for e in part), sum(e[0] != "-" for e in part)
+        out.append(f"@@ -{part[0][1] + (n > 0)},{n} +{part[0][2] + (m > 0)},{m} @@")
+        out += [s + (b[q] if s == "+" else a[p]) for s, p, q in part]
+    return len(b) - len(pairs), len(a) - len(pairs), len(pairs), "".join(x + "\n" for x in out)
+
+
+DIFF = "added int, removed int, unchanged int, diff string"
+
+
+def text_diffs(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """rows with added, removed, unchanged (lines) and diff, a unified diff with three lines around; a null text has no lines."""
+    new = [f.split()[0] for f in DIFF.split(", ")]
+    rows = rows.select(*[c for c in rows.columns if c not in new])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lines = lambda t: t.removesuffix("\n").split("\n") if t else []
+            found = [hunks(lines(x), lines(y)) for x, y in zip(b[before], b[after], strict=True)]
+            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(found, columns=new)], axis=1)
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, *StructType.fromDDL(DIFF).fields]))
+
+
+def backups(spark: SparkSession, path: str) -> DataFrame:
+    """(path, version, modified, size, content) of backup files `home-user-file-hash.bak`: versions of a path by time, from 1. Spark lists no empty files."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.bak").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"([^/]+)-[^/-]*\.bak$", 1)
+    f = f.filter(name != "").select(F.replace(name, F.lit("-"), F.lit("/")).alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.col("content").cast("string").alias("content"), F.col("path").alias("file"))
+    w = Window.partitionBy("path").orderBy("modified", "file")
+    return f.withColumn("version", F.row_number().over(w)).select("path", "version", "modified", "size", "content")
+
+
+def version_diffs(versions: DataFrame) -> DataFrame:
+    """(path, version, added, removed, unchanged, diff): each version(path, version, content) but the first against the one before."""
+    w = Window.partitionBy("path").orderBy("version")
+    pairs = versions.select("path", "version", F.lag("version").over(w).alias("was_version"), F.lag("content").over(w).alias("was"), "content").filter("was_version is not null")
+    return text_diffs(pairs, "was", "content").drop("was", "content", "was_version")
+
+
+def at_version(versions: DataFrame, n: int) -> DataFrame:
+    """(path, content) of the version n, of paths that have one: each is whole."""
+    return versions.filter(F.col("version") == n).select("path", "content")
+
+
 def fuzzy_score(pattern: str, text: str | None, ignore_case: bool = True) -> int | None:
     """0 to 100 where the pattern's characters follow each other in the text, else null.
 

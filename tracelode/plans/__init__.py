@@ -1,3 +1,3 @@
 """The query catalogue with its DuckDB counterparts."""
 
-from . import custom, engine, requests, sessions, texts  # noqa: F401
+from . import custom, engine, logs, requests, sessions, texts  # noqa: F401

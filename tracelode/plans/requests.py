@@ -33,7 +33,7 @@ both("F16_scope", "select page_id from {pages} where @like_re(url, '/en/') and n
 
 both("G7_linkage", "select a.user_id, a.event_id as call, min(b.event_id) as result from {events} a join {events} b on a.user_id = b.user_id and b.event_type = 'view' and b.event_id > a.event_id where a.event_type = 'signup' group by a.user_id, a.event_id")
 both("turn_levels", "select conv_id, turn, dense_rank() over (order by turn) as level from {conversations}")
-both("G10_path", "select conv_id, turn, @join(@list(lpad(@text(p), 3, '0')), '/') as path from (select c.conv_id, c.turn, q.turn as p from {conversations} c join {conversations} q on q.conv_id = c.conv_id and q.turn <= c.turn) x group by conv_id, turn")
+both("turn_paths", "select conv_id, turn, @join(@list(lpad(@text(p), 3, '0')), '/') as path from (select c.conv_id, c.turn, q.turn as p from {conversations} c join {conversations} q on q.conv_id = c.conv_id and q.turn <= c.turn) x group by conv_id, turn")
 both("G11_leaves", "select c.conv_id, c.turn from {conversations} c left join {conversations} d on d.conv_id = c.conv_id and d.turn = c.turn + 1 where d.turn is null")
 both("G14_semantic_turns", "select conv_id, nr, count(*) as entries, count(*) filter (where role = 'assistant') as answers from (select conv_id, role, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as nr from {conversations}) x group by conv_id, nr having count(*) filter (where role <> 'system') > 0")
 both("G16_chunk_range", "select conv_id, turn from (select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) - 1 as chunk from {conversations}) x where chunk between 1 and 2")
@@ -60,11 +60,11 @@ both("A16_session_merge", "select n_regionkey, count(distinct n_nationkey) as na
 
 both("C8_envelope", "select count(*) as records, min(doc_id) as first_id, max(doc_id) as last_id, @md5(@join(@list(source), ',')) as digest from (select source, min(doc_id) as doc_id from {documents} group by source) x")
 both("C12_input_summary", "select event_id, concat(event_type, ': k=', @json(props, k)) as summary from {events}")
-both("C19_read_only", "select event_id, event_type in ('view', 'click') as read_only from {events}")
+both("events_that_read", "select event_id, event_type in ('view', 'click') as read_only from {events}")
 both("C22_hunk_lines", "select doc_id, @count_re(text, '\\n') + 1 as lines, @count_re(text, '\\n\\n') as breaks from {documents}")
 both("C24_canonical", "select event_id, concat('k=', @json(props, k), ';t=', event_type) as canonical from {events}")
 both("C28_glob", "select page_id from {pages} where url like 'https://%.example.com/en/%'")
-both("C30_version_map", "select p_partkey, case when p_size < 10 then 'v1' when p_size < 30 then 'v2' else 'v3' end as era from {part}")
+both("sizes_by_era", "select p_partkey, case when p_size < 10 then 'v1' when p_size < 30 then 'v2' else 'v3' end as era from {part}")
 
 # --- requests --------------------------------------------------------------------------------------------------------
 

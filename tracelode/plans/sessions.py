@@ -213,12 +213,12 @@ both(
     select o.event_id, o.event_type, o.pos - t.p as place from o cross join t where o.pos between t.p - 5 and t.p + 5""",
 )
 both(
-    "W4_phase",
+    "stretches_of_events",
     """select conv_id, turn, case when r < 0.33 then 'early' when r < 0.67 then 'middle' else 'late' end as phase from (
     select conv_id, turn, turn * 1e0 / (max(turn) over (partition by conv_id) + 1) as r from {conversations}) x""",
 )
 both(
-    "W5_epochs",
+    "falls_of_counters",
     """with o as (select user_id, event_id, value, lag(value) over (partition by user_id order by ts, event_id) as before from {events}),
     f as (select *, case when before is null or value < before then 1 else 0 end as reset, case when before is null or value < before then value else value - before end as delta from o)
     select user_id, cast(sum(reset) as bigint) as epochs, round(sum(delta), 4) as total from f group by user_id""",
@@ -289,7 +289,7 @@ both("K8_set_difference", "select event_type from {events} where user_id = 1 exc
 both("K8_intersection", "select event_type from {events} where user_id = 1 intersect select event_type from {events} where user_id = 2")
 both("texts_of_two_sources", "select line, max(a) as in_first, max(b) as in_second from (select text as line, 1 as a, 0 as b from {documents} where source = 'src0' union all select text, 0, 1 from {documents} where source = 'src1') x group by line")
 both(
-    "K11_similarity",
+    "shared_event_types",
     """with t as (select user_id, @set(concat(event_type, @text(@div(cast(@json(props, k) as int), 20)))) as s from {events} group by user_id), a as (select s from t where user_id = 1)
     select t.user_id, round(100e0 * @len(@common(t.s, a.s)) / @len(@either(t.s, a.s)), 6) as jaccard from t cross join a where t.user_id <> 1""",
 )

@@ -85,8 +85,8 @@ both("C10_tag_content", "select page_id, @first_re(html, '<title>([^<]*)</title>
 both("C11_tag_counts", "select page_id, @count_re(html, '<p>|<p ') as paragraphs, @count_re(html, '<a ') as anchors from {pages}")
 both("C13_basenames", "select page_id, @first_re(@sub_re(url, '[?#].*$', ''), '([^/]*)/?$', 1) as base from {pages}")
 both("C14_preview", "select conv_id, turn, substr(@sub_re(text, '\\s+', ' '), 1, 100) as preview from {conversations}")
-both("C15_failure_class", "select event_id, case when event_type = 'error' then 'confirmed' when value > 95 then 'inferred' else 'none' end as failure from {events} where event_type = 'error' or value > 95")
-both("C16_corrections", "select conv_id, turn, 250 + length(text) % 7 as strength from {conversations} where role = 'user' and @like_re(lower(text), '^(no|not|non|nein)[ ,.]')")
+both("events_by_failure", "select event_id, case when event_type = 'error' then 'confirmed' when value > 95 then 'inferred' else 'none' end as failure from {events} where event_type = 'error' or value > 95")
+both("refusing_turns", "select conv_id, turn, 250 + length(text) % 7 as strength from {conversations} where role = 'user' and @like_re(lower(text), '^(no|not|non|nein)[ ,.]')")
 both("C17_decisions", "select doc_id from {documents} where @like_re(lower(text), '(we|they) (decided|agreed) to') or @count_re(text, '(^|\\n)[0-9]+\\.') >= 3")
 both("C18_normalise", "select doc_id, substr(@sub_re(@sub_re(text, '[0-9]+', '<N>'), '\\s+', ' '), 1, 120) as normal from {documents}")
 both("C20_taxonomy", "select event_type, case event_type when 'click' then 'shell' when 'view' then 'file_read' when 'purchase' then 'file_write' else concat('other:', event_type) end as kind, count(*) as n from {events} group by event_type")
@@ -108,7 +108,7 @@ both(
 )
 both("G1_roots", "select c.conv_id, c.turn from {conversations} c left join {conversations} p on p.conv_id = c.conv_id and p.turn = c.turn - 1 where p.turn is null")
 both("G2_duplicates", "select text, count(*) as copies, min(doc_id) as kept from {documents} group by text having count(*) > 1")
-both("G5_branches", "select n_regionkey, count(*) as children from {nation} group by n_regionkey having count(*) > 1")
+both("regions_of_several_nations", "select n_regionkey, count(*) as children from {nation} group by n_regionkey having count(*) > 1")
 both("G8_chunks", "select user_id, h, @last_by(event_type, ts) as last_type, count(*) as chunks from (select *, @us(date_trunc('hour', ts)) as h from {events}) x group by user_id, h having count(*) > 1")
 both(
     "G11_subtree",

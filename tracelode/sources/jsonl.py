@@ -66,6 +66,12 @@ def parse_statistics(p: DataFrame) -> DataFrame:
     return by.withColumn("success_rate", F.when(tried == 0, 100.0).otherwise(100.0 * F.col("parsed") / tried))
 
 
+def parse_report(p: DataFrame) -> DataFrame:
+    """parse_statistics with salvaged: whole entries found in the lines that were skipped."""
+    found = salvaged(p).groupBy("file_path").agg(F.count("*").alias("salvaged"))
+    return parse_statistics(p).join(found, "file_path", "left").withColumn("salvaged", F.coalesce("salvaged", F.lit(0)))
+
+
 def parse_errors(p: DataFrame) -> DataFrame:
     return p.filter("status = 'skipped'").select("file_path", "line_no", "line")
 

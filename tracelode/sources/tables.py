@@ -13,15 +13,19 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the folder that all executors share (spark.checkpoint.dir), so that what follows doesn't compute it again; a local session without one gets a folder of its own."""
-    spark = df.sparkSession
+def kept_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local session without one gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, so that what follows doesn't compute it again."""
+    path = kept_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
