@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "session_key string, uuid string, parent_uuid string, line_no long, depth int, subtree_size int, n_children int, is_root boolean, is_main boolean, main_pos int, is_leaf boolean, dfs_pos int, bfs_pos int"
+NODES = "session_key string, uuid string, parent_uuid string, line_no long, depth int, subtree_size int, n_children int, is_root boolean, is_main boolean, main_pos int, is_leaf boolean, dfs_pos int, bfs_pos int, fork_root string, anchor string"
 
 
 def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -64,11 +64,18 @@ def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
             n += 1
             # of equal keys the last one wins
             now = max(reversed(children[now]), key=rank) if children[now] else None
+    # off the main thread: the topmost node of the same branch, and the node of the main thread that it hangs by
+    fork, anchor = [None] * len(ids), [None] * len(ids)
+    for i in order:
+        if not main[i]:
+            p = parent[i]
+            fork[i], anchor[i] = (ids[i], None if p is None else ids[p]) if p is None or main[p] else (fork[p], anchor[p])
     return pd.DataFrame(
         {
             "session_key": key[0], "uuid": ids, "parent_uuid": [None if p is None else ids[p] for p in parent], "line_no": rows["line_no"].tolist(), "depth": depth, "subtree_size": size,
             "n_children": [len(c) for c in children], "is_root": [p is None for p in parent], "is_main": main, "main_pos": pos, "is_leaf": [not c for c in children],
             "dfs_pos": pd.Series(range(len(order)), index=order).sort_index().tolist(), "bfs_pos": pd.Series(range(len(order)), index=sorted(order, key=depth.__getitem__)).sort_index().tolist(),
+            "fork_root": pd.Series(fork, dtype=object), "anchor": pd.Series(anchor, dtype=object),
         }
     )
 
@@ -79,7 +86,8 @@ def nodes(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     Parent is parentUuid, else logicalParentUuid; a missing parent makes a root. The main thread follows, from each
     root that holds conversation, the child whose subtree spoke last, then the larger one, then the later one.
     Progress entries and tool results don't count as conversation. dfs_pos and bfs_pos number the session's nodes
-    depth first and level by level. A cycle is cut at an edge to a logical parent, if it has one. Entries without a
+    depth first and level by level. Nodes off the main thread have fork_root, the topmost node of their branch, and
+    anchor, the node of the main thread that it hangs by, if any. A cycle is cut at an edge to a logical parent, if it has one. Entries without a
     uuid are no nodes: orphans() has them.
     """
     results = blocks.filter("block_type = 'tool_result' and entry_type = 'user'").select("session_key", "line_no").distinct().withColumn("has_result", F.lit(True))

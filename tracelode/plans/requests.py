@@ -52,7 +52,7 @@ both("K5_strength", "select conv_id, turn, row_number() over (order by strength
 
 both("A14_subagents", "select user_id, count(*) as results, round(sum(value), 4) as tokens, count(distinct cast(@json(props, k) as int)) as agents from {events} where event_type = 'purchase' group by user_id")
 both("A31_health", "select o_orderpriority, count(*) as changes, count(distinct o_custkey) as sessions, count(*) filter (where o_orderstatus = 'F') as failures from {orders} group by o_orderpriority")
-both("A40_hierarchy_totals", "select r.r_name, count(distinct n.n_nationkey) as children, count(s.s_suppkey) as members, round(sum(s.s_acctbal), 2) as total from {region} r left join {nation} n on n.n_regionkey = r.r_regionkey left join {supplier} s on s.s_nationkey = n.n_nationkey group by r.r_name")
+both("region_totals", "select r.r_name, count(distinct n.n_nationkey) as children, count(s.s_suppkey) as members, round(sum(s.s_acctbal), 2) as total from {region} r left join {nation} n on n.n_regionkey = r.r_regionkey left join {supplier} s on s.s_nationkey = n.n_nationkey group by r.r_name")
 both("A44_usage_summary", "select event_type, case when value > 50 then 'large' else 'small' end as basis, count(*) as observations, count(distinct user_id) as sessions from {events} group by event_type, case when value > 50 then 'large' else 'small' end")
 both("A16_session_merge", "select n_regionkey, count(distinct n_nationkey) as nations, min(n_name) as first_name, max(n_name) as last_name from {nation} group by n_regionkey")
 

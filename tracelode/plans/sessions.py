@@ -189,7 +189,7 @@ both("A39_overview", "select count(distinct user_id) as sessions, count(*) as en
 both("A41_suggestions", "select source, n from (select source, count(*) as n from {documents} where source like 'src1%' group by source) x where n > 0")
 both("A42_outcomes", "select count(*) as labelled, cast(sum(quality) as bigint) as good, round(100e0 * sum(quality) / count(*), 6) as success_rate, cast(sum(toxic) as bigint) as toxic from {labels}")
 both("A43_drift", "select event_type, min(@us(ts)) as first_us, max(@us(ts)) as last_us, count(*) as n, count(distinct user_id) as sessions from {events} where event_type not in ('click', 'view') group by event_type")
-both("A45_first_versions", "select user_id, event_type, min(@us(ts)) as first_us from {events} group by user_id, event_type")
+both("first_events", "select user_id, event_type, min(@us(ts)) as first_us from {events} group by user_id, event_type")
 both(
     "A46_pattern_counts",
     """with p(label, pattern) as (select * from (values ('mail', '[a-z]+@[a-z]+'), ('digits', '[0-9][0-9][0-9][0-9]'), ('bang', '!!')) v(a, b))
@@ -200,7 +200,7 @@ both("A47_distinct_turns", "select count(*) as turns from (select distinct role,
 # --- sequences -------------------------------------------------------------------------------------------------------
 
 both(
-    "W1_timeline",
+    "turns_by_user",
     """with o as (select user_id, event_id, ts, event_type, case when event_type in ('click', 'view') then 1 else 0 end as tool, row_number() over (partition by user_id order by ts, event_id) as a from {events}),
     g as (select *, a - row_number() over (partition by user_id, tool order by ts, event_id) as run from o)
     select user_id, tool, min(a) as first_pos, count(*) as n, @join(@set(event_type), ',') as kinds from g group by user_id, tool, run having tool = 0 or count(*) >= 2""",
@@ -230,7 +230,7 @@ both(
 )
 both("W7_paging", "select conv_id, turn, role from {conversations} where role = 'user' order by conv_id desc, turn desc limit 50 offset 20")
 both("W8_changes", "select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from {events}) x where before <> event_type")
-both("W9_evolution", "select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as version from {lineitem}")
+both("parts_over_orders", "select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as version from {lineitem}")
 both(
     "W10_sparkline",
     """select day, substr('12345678', cast(case when hi = lo then 4 else round((v - lo) / (hi - lo) * 7) + 1 end as int), 1) as glyph from (

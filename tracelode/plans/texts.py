@@ -36,8 +36,8 @@ both(
 )
 both("X11_coverage", "select count(*) as documents, count(*) filter (where @like_re(text, 'tion')) as matched, count(distinct source) as sessions, count(*) filter (where text is null) as incomplete from {documents}")
 both("X12_literal", "select doc_id from {documents} where contains(text, 'license') or contains(text, 'License')")
-both("X13_thread", "select a.conv_id, a.turn, a.role, b.turn as reply from {conversations} a left join {conversations} b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and @like_re(a.text, 'tion')")
-both("X14_provenance", "select conv_id, turn, case when role <> 'user' then 'primary' when @like_re(text, '^\\s*<') then 'injected' when @like_re(text, '(^|\\n)>') then 'quoted' else 'primary' end as provenance from {conversations}")
+both("texts_and_replies", "select a.conv_id, a.turn, a.role, b.turn as reply from {conversations} a left join {conversations} b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and @like_re(a.text, 'tion')")
+both("texts_by_opening", "select conv_id, turn, case when role <> 'user' then 'primary' when @like_re(text, '^\\s*<') then 'injected' when @like_re(text, '(^|\\n)>') then 'quoted' else 'primary' end as provenance from {conversations}")
 
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
@@ -122,7 +122,7 @@ both(
     """select conv_id, turn as user_turn, next_turn from (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as next_role, lead(turn) over (partition by conv_id order by turn) as next_turn from {conversations}) x
     where role = 'user' and next_role = 'assistant'""",
 )
-both("G15_chunks", "select conv_id, chunk, count(*) as entries, min(turn) as first_turn from (select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as chunk from {conversations}) x group by conv_id, chunk")
+both("turns_by_prompt", "select conv_id, chunk, count(*) as entries, min(turn) as first_turn from (select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as chunk from {conversations}) x group by conv_id, chunk")
 both(
     "G17_chains",
     """with o as (select user_id, event_id, @us(ts) as t, lag(@us(ts)) over (partition by user_id order by ts, event_id) as before from {events}),
@@ -135,6 +135,6 @@ both(
     f as (select *, sum(case when before is null or t - before > 1800000000 then 1 else 0 end) over (partition by user_id order by t, event_id) as chain from o)
     select user_id, count(distinct chain) as sessions, count(*) as entries, max(t) as latest_us from f group by user_id""",
 )
-both("G19_hierarchy", "select r.r_name, n.n_name, count(c.c_custkey) as customers from {region} r join {nation} n on n.n_regionkey = r.r_regionkey left join {customer} c on c.c_nationkey = n.n_nationkey group by r.r_name, n.n_name")
+both("region_nation_customers", "select r.r_name, n.n_name, count(c.c_custkey) as customers from {region} r join {nation} n on n.n_regionkey = r.r_regionkey left join {customer} c on c.c_nationkey = n.n_nationkey group by r.r_name, n.n_name")
 both("G22_identity", "select coalesce(case when c.c_acctbal < 0 then null else c.c_mktsegment end, n.n_name) as identity, count(*) as members from {customer} c left join {nation} n on c.c_nationkey = n.n_nationkey group by coalesce(case when c.c_acctbal < 0 then null else c.c_mktsegment end, n.n_name)")
 both("G23_order", "select event_id, row_number() over (partition by user_id order by ts nulls last, event_id) as pos from {events}")
