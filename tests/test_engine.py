@@ -236,8 +236,23 @@ def test_exports(spark, tmp_path):
 
 
 def test_decision_scores(spark):
-    from tracelode.operators import lessons
+    from tracelode.operators import decisions, threads, trees
+
+    call = {"type": "tool_use", "id": "t", "name": "Edit", "input": {}}
+    rows = [
+        ("a", 1, "user", "start"), ("a", 2, "assistant", "We use Parquet tables for storage; alternatively CSV, option a or option b"), ("a", 3, "user", "Yes, go"), ("a", 4, "assistant", [call]),
+        ("b", 1, "user", "x"), ("b", 2, "assistant", "rename modules"), ("b", 3, "user", "No, rename modules is wrong now"), ("c", 1, "user", "x"), ("c", 2, "assistant", "Parquet storage it is"), ("c", 3, "user", "why?"), ("c", 4, "assistant", [call]),
+        ("e", 1, "user", "x"), ("e", 2, "assistant", "parquet storage"), ("e", 3, "user", "great"),
+    ]
+    lines = [(f"/x/{key}.jsonl", n, json.dumps({"type": kind, "uuid": f"{key}{n}", "parentUuid": f"{key}{n - 1}" if n > 1 else None, "timestamp": f"2024-01-01T00:00:{n:02d}.000Z", "message": {"role": kind, "content": content}})) for key, n, kind, content in rows]
+    from tracelode.sources import jsonl
 
-    _, b = entries_of(spark, [("a", 1, "assistant", "We use Parquet tables for storage; an alternative is CSV"), ("a", 2, "user", "yes, go"), ("b", 1, "assistant", "rename modules"), ("b", 2, "user", "No, that's wrong."), ("c", 1, "user", "x")])
-    d = spark.createDataFrame([("1", "Parquet storage", "confirmed"), ("2", "rename modules", "superseded"), ("3", "unheard of", "proposed")], "id string, title string, status string")
-    assert {r.id: r.score for r in lessons.decision_scores(d, b).collect()} == {"1": 0.8, "2": 0.15, "3": 0.5}
+    e = jsonl.entries(jsonl.parsed(spark.createDataFrame(lines, "file_path string, line_no long, line string")))
+    b = jsonl.blocks(e)
+    main = threads.main_thread(trees.nodes(e, b), e, b)
+    projects = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "p"), ("e", "q")], "session_key string, project string")
+    d = spark.createDataFrame([("1", "Parquet storage", "proposed", "a", None), ("2", "rename modules", "superseded", "b", None), ("3", "unheard of", "confirmed", "c", None), ("4", "Parquet storage", "proposed", "c", ["a"]), ("5", "x", "proposed", "gone", None), ("6", "Parquet storage", "proposed", "b", None)], "id string, title string, status string, session_key string, references array<string>")
+    # 1: agreed, calls follow, options, and c calls after naming it; 4: the same in a, c its own; 6: a agrees and calls, c calls
+    assert {r.id: r.score for r in decisions.scores(d, main, projects).collect()} == {"1": 1.0, "2": 0.15, "3": 0.6, "4": 0.95, "6": 0.7}
+    said = spark.createDataFrame([("Yes", True), ("I pick b", True), ("that sounds fine", True), ("sounds fine?", False), ("no", False), (None, False), ("word " * 31 + "great", False)], "t string, want boolean")
+    assert [r for r in said.select("t", "want", decisions.affirmative(F.col("t")).alias("got")).collect() if r.got != r.want] == []

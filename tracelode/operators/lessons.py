@@ -196,25 +196,3 @@ def corrections(blocks: DataFrame, human: DataFrame) -> DataFrame:
 def recurring(fixes: DataFrame, least: int = 2) -> DataFrame:
     """Errors that several sessions had."""
     return fixes.groupBy("error").agg(F.count("*").alias("n"), F.count_distinct("session_key").alias("sessions")).filter((F.col("n") >= least) & (F.col("sessions") >= least))
-
-
-def decision_scores(decisions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(id, score) of decisions(id, title, status) by what the sessions say about them.
-
-    Half a point to begin with; more where a user agrees right after the assistant named the decision, and where
-    options were discussed; less where a user corrects there, or where another decision took its place.
-    """
-    t = blocks.filter("block_type = 'text' and entry_type in ('user', 'assistant')").select("session_key", "line_no", "entry_type", "text")
-    w = Window.partitionBy("session_key").orderBy("line_no")
-    t = t.withColumn("reply", F.lead("text").over(w)).withColumn("by", F.lead("entry_type").over(w)).filter("entry_type = 'assistant'")
-    words = F.filter(F.split(F.lower("title"), r"[^\p{Alnum}]+"), lambda x: F.length(x) > 3)
-    d = decisions.select("id", F.lower("title").alias("title"), "status", words.alias("words"))
-    low = F.lower("text")
-    named = low.contains(F.col("title")) | ((F.size("words") >= 2) & F.forall("words", lambda x: low.contains(x)))
-    # the decisions of a store are few beside the texts: one row a decision and text that names it comes out
-    hits = t.join(d, named).withColumn("user", F.when(F.col("by") == "user", F.col("reply")))
-    agrees = F.col("user").rlike(r"(?i)^\s*(yes|yeah|yep|ok|okay|sure|agreed|sounds good|go ahead|do it|perfect|great|lgtm)\b")
-    of = hits.groupBy("id").agg(F.bool_or(agrees).alias("agreed"), F.bool_or(low.rlike(r"\b(option|alternative|instead of|trade-?off)")).alias("options"), F.bool_or(correction(F.col("user")).isNotNull()).alias("corrected"), F.count_distinct("session_key").alias("sessions"))
-    yes = lambda c, x: F.when(F.coalesce(c, F.lit(False)), F.lit(x)).otherwise(F.lit(0.0))
-    score = 0.5 + yes(F.col("agreed"), 0.2) + yes(F.col("options"), 0.1) - yes(F.col("corrected"), 0.2) + yes(F.col("sessions") > 1, 0.1) - yes(F.col("status") == "superseded", 0.15)
-    return decisions.select("id", "status").join(of, "id", "left").select("id", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 6).alias("score"))

@@ -17,6 +17,24 @@ def edges(entries: DataFrame) -> DataFrame:
     return e.select(F.col("session_key").alias("child"), F.col("session_id").alias("parent"), kind.alias("kind")).distinct()
 
 
+def rollout_edges(r: DataFrame) -> DataFrame:
+    """(child, parent, kind, tool_use_id, agent_type) of the second dialect's records(): forks and spawns, by a file's first line.
+
+    A fork names its parent, or, in older files, is followed at once by a copy of the parent's first line. A spawn
+    names its parent's thread in the first line or in its source. Parents that aren't there are kept.
+    """
+    get = lambda path: F.try_variant_get(F.col("v"), path, "string")
+    w = Window.partitionBy("file_path").orderBy("line_no")
+    head = r.filter("dialect = 'envelope'").withColumn("nr", F.row_number().over(w)).filter("nr <= 2 and type = 'session_meta'")
+    own = F.struct(get("$.payload.id").alias("id"), get("$.payload.forked_from_id").alias("forked"), get("$.payload.parent_thread_id").alias("thread"), get("$.payload.agent_role").alias("role"), *[get(f"$.payload.source.subagent.thread_spawn.{x}").alias(f"spawn_{x}") for x in ("parent_thread_id", "tool_use_id", "agent_role")])
+    f = head.groupBy("file_path", "session_key").agg(F.max(F.when(F.col("nr") == 1, own)).alias("a"), F.max(F.when(F.col("nr") == 2, get("$.payload.id"))).alias("copied")).filter("a is not null")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    fork = F.coalesce("a.forked", F.when(F.col("copied") != F.col("a.id"), F.col("copied")))
+    forks = f.select(F.col("a.id").alias("child"), fork.alias("parent"), F.lit("fork").alias("kind"), none("tool_use_id"), none("agent_type"))
+    spawns = f.select(F.col("a.id").alias("child"), F.coalesce("a.thread", "a.spawn_parent_thread_id").alias("parent"), F.lit("spawn").alias("kind"), F.col("a.spawn_tool_use_id").alias("tool_use_id"), F.coalesce("a.role", "a.spawn_agent_role").alias("agent_type"))
+    return forks.unionByName(spawns).filter("parent is not null and child is not null and parent <> child").distinct()
+
+
 def _climbed(up: DataFrame, steps: int) -> DataFrame:
     """(node, up, low, hops) of up(node, up): 2**steps parents further, the least node on the way, and the steps that moved; a root is its own parent."""
     now = kept(up.select("node", "up", F.least("node", "up").alias("low"), F.when(F.col("node") == F.col("up"), 0).otherwise(1).cast("long").alias("hops")), "lineage")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "kind string, id string, seq long, removed boolean, session_key string, name string, status string, body string, confidence double, at timestamp"
 #: Statuses of each kind.
-STATUSES = {"goal": ("open", "in_progress", "done", "abandoned"), "decision": ("proposed", "confirmed", "superseded", "abandoned"), "note": ("active", "expired"), "tag": ("set",)}
+STATUSES = {"goal": ("open", "in_progress", "done", "abandoned"), "decision": ("proposed", "confirmed", "superseded", "abandoned"), "note": ("active", "expired"), "tag": ("set",), "outcome": ("success", "partial", "failed", "abandoned"), "bookmark": ("set",), "name": ("set",), "link": ("set",)}
 
 
 class Registry:
@@ -52,7 +52,31 @@ class Registry:
         self.put("decision", old, at, status="superseded")
         self.put("decision", new, at, status="confirmed", **fields)
 
+    def annotations(self) -> DataFrame:
+        """(session_key, tags, outcome, bookmarked, name, notes, links): a row for each session that has any; of several outcomes and names the last counts."""
+        i = self.items()
+        of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+        last = lambda kind, c: F.max_by(of(kind, c), F.when(F.col("kind") == kind, F.struct("at", "id")))
+        return i.filter("session_key is not null").groupBy("session_key").agg(
+            F.sort_array(F.collect_set(of("tag", "name"))).alias("tags"), last("outcome", "status").alias("outcome"), F.bool_or(F.col("kind") == "bookmark").alias("bookmarked"), last("name", "name").alias("name"),
+            F.count_if(F.col("kind") == "note").alias("notes"), F.sort_array(F.collect_set(of("link", "name"))).alias("links"),
+        )
+
     def annotate(self, sessions: DataFrame) -> DataFrame:
-        """sessions with the names of their tags."""
-        tags = self.items("tag").groupBy("session_key").agg(F.sort_array(F.collect_set("name")).alias("tags"))
-        return sessions.join(F.broadcast(tags), "session_key", "left") if tags.count() <= 100_000 else sessions.join(tags, "session_key", "left")
+        """sessions with annotations(); Spark picks the join by the store's size."""
+        return sessions.join(self.annotations(), "session_key", "left")
+
+    def find(self, tags: tuple[str, ...] = (), every: bool = True, outcome: str | None = None, bookmarked: bool | None = None) -> DataFrame:
+        """Sessions with all of the tags, or one of them, and with the outcome and bookmark asked for."""
+        a = self.annotations()
+        if tags:
+            wanted = F.array(*[F.lit(t) for t in tags])
+            a = a.filter(F.size(F.array_intersect("tags", wanted)) >= (len(set(tags)) if every else 1))
+        if outcome is not None:
+            a = a.filter(F.col("outcome") == outcome)
+        return a.filter(F.col("bookmarked") == bookmarked) if bookmarked is not None else a
+
+    def outcomes(self) -> DataFrame:
+        """(outcome, sessions, share): sessions by outcome, and their share of those that have one, in per cent."""
+        n = self.annotations().filter("outcome is not null").groupBy("outcome").agg(F.count("*").alias("sessions"))
+        return n.join(n.agg(F.sum("sessions").alias("all"))).select("outcome", "sessions", (100.0 * F.col("sessions") / F.col("all")).alias("share"))

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import lessons, usage
+from ..functions import text
+from . import history, lessons, prompts, threads, trees, usage, validation
+
 
 @dataclass
 class Logs:
@@ -45,14 +47,54 @@ class Logs:
         c = c.filter(F.lower("tool_name") == name.lower()) if name else c
         return c.filter("failed") if failed_only else c
 
+    def forest(self) -> DataFrame:
+        return trees.nodes(self.entries, self.blocks)
+
+    def main(self) -> DataFrame:
+        return threads.main_thread(self.forest(), self.entries, self.blocks)
+
+    def timeline(self, limit: int = 30) -> DataFrame:
+        """The first rows of each session's timeline."""
+        t = threads.timeline(threads.turns(self.main()))
+        return t.withColumn("nr", F.row_number().over(Window.partitionBy("session_key").orderBy("turn"))).filter(F.col("nr") <= limit).drop("nr")
+
+    def topic(self, pattern: str, **options) -> DataFrame:
+        return threads.topic(self.main(), pattern, **options)
+
+    def chunks(self) -> DataFrame:
+        """A row for each prompt's chunk."""
+        said = prompts.texts(self.blocks)
+        human = prompts.with_authors(self.entries, said).filter("human and not mid_turn").select("session_key", "uuid")
+        return threads.chunk_summary(threads.chunks(self.forest(), human, self.entries), said)
+
+    def tree(self) -> DataFrame:
+        """(session_key, dfs_pos, line): each session's tree as indented lines; a star marks the main thread."""
+        n = self.forest().join(prompts.texts(self.blocks).select("session_key", "uuid", "line_no", "text"), ["session_key", "uuid", "line_no"], "left").join(self.entries.select("session_key", "line_no", "entry_type"), ["session_key", "line_no"])
+        line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.col("is_main"), "* ").otherwise("- "), F.substring("uuid", 1, 8), F.lit(" "), "entry_type", F.coalesce(F.concat(F.lit(": "), text.truncated(F.regexp_replace("text", r"\s+", " "), 60)), F.lit("")))
+        return n.select("session_key", "dfs_pos", line.alias("line")).orderBy("session_key", "dfs_pos")
+
+    def entry(self, uuid_prefix: str) -> DataFrame:
+        """Entries whose id begins so, as they were read."""
+        return self.entries.filter(F.col("uuid").startswith(uuid_prefix)).select("session_key", "line_no", "uuid", "entry_type", "ts", "raw")
+
+    def file_evolution(self, pattern: str, context: int = 1) -> DataFrame:
+        """Changes of files whose path holds the pattern, by snapshots, with what was said around each."""
+        raw = self.entries.select("file_path", "line_no", F.col("raw").alias("line"))
+        said = prompts.with_authors(self.entries, prompts.texts(self.blocks))
+        return history.evolution(history.file_history(history.snapshots(raw)), said, context=context, pattern=pattern).orderBy("path", F.asc_nulls_last("at"), "session_key")
+
+    def validation(self, parsed: DataFrame) -> DataFrame:
+        """The verdict on each session; parsed are the lines that the entries came from."""
+        return validation.report(validation.findings(parsed, self.entries, self.blocks), self.entries)
+
     def lessons(self) -> DataFrame:
         """Failed calls with the answer after each."""
         return lessons.error_fixes(self.entries, self.blocks)
 
     def corrections(self) -> DataFrame:
         """User texts that correct, the strongest first."""
-        t = self.blocks.filter("block_type = 'text' and entry_type = 'user'").withColumn("c", lessons.correction(F.col("text"))).filter("c is not null")
-        return t.select("session_key", "line_no", "text", "c.strength", "c.basis").orderBy(F.desc("strength"), "session_key", "line_no")
+        human = prompts.with_authors(self.entries, prompts.texts(self.blocks)).filter("human").select("session_key", "line_no")
+        return lessons.corrections(self.blocks, human).orderBy(F.desc("strength"), "session_key", "line_no")
 
     def file_history(self, path: str | None = None) -> DataFrame:
         """Files that calls wrote, with their sessions and whether the call held."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rates that a card may have, as it goes to all tasks.
+CARD = 10_000
 TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
 
 
@@ -38,7 +40,9 @@ def costs(t: DataFrame, rates: DataFrame, *by: str) -> DataFrame:
     at = F.to_date("ts")
     dated = ((F.col("since").isNull()) | (at >= F.col("since"))) & ((F.col("until").isNull()) | (at < F.col("until")))
     on = F.expr("model_name rlike model_pattern") & F.when(at.isNull(), F.col("until").isNull()).otherwise(dated)
-    j = m.join(rates, on, "left")  # Spark broadcasts a rate card, as the smaller side of a join without equal keys
+    if rates.limit(CARD + 1).count() > CARD:
+        raise ValueError(f"more than {CARD} rates: a card is compared with every turn")
+    j = m.join(F.broadcast(rates), on, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     cost = (zero("input_tokens") * F.col("input") + zero("output_tokens") * F.col("output") + zero("cache_creation_tokens") * F.col("cache_write") + zero("cache_read_tokens") * F.col("cache_read")) / 1e6
     return j.withColumn("cost", cost).groupBy(*by).agg(F.sum("cost").alias("cost"), F.sort_array(F.collect_set(F.when(F.col("input").isNull(), F.col("model")))).alias("unpriced"))
@@ -83,6 +87,14 @@ def phases(entries: DataFrame, short: int = 120, edge: int = 30) -> DataFrame:
     return e.select("session_key", "line_no", F.when(whole <= short, third).otherwise(ends).alias("phase"), F.floor("into").cast("long").alias("minutes_in"), compacted.alias("after_compaction"))
 
 
+def correlated_files(commits: DataFrame, committed: DataFrame, touched: DataFrame) -> DataFrame:
+    """(session_key, sha, path): the files touched(session_key, path) in a session that a commit of it, commits_of(), has among committed(sha, path): one whose path ends with the file's name. Only a session's files and its own commits' meet."""
+    name = F.regexp_extract("path", r"([^/]+)/*$", 1)
+    t = touched.select("session_key", "path", name.alias("name")).filter("name <> ''").distinct()
+    c = commits.select("session_key", "sha").join(committed.select("sha", F.col("path").alias("in_commit")), "sha")
+    return t.join(c, "session_key").filter(F.col("in_commit").endswith(F.col("name"))).select("session_key", "sha", "path").distinct()
+
+
 def commits_of(sessions: DataFrame, commits: DataFrame) -> DataFrame:
     """(session_key, sha, at): commits(repo, sha, at) in a session's own folder between its start and its end."""
     s = sessions.select("session_key", F.col("cwd").alias("repo"), "start_ts", "end_ts").filter("repo is not null")

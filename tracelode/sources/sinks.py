@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import redact, text
+from ..operators import usage
 
 
 def to_jsonl(entries: DataFrame, path: str, hide: str | None = None) -> None:
@@ -61,13 +62,51 @@ def transformed(entries: DataFrame, blocks: DataFrame, hide: str | None = None,
     return entries, blocks
 
 
-def to_json(entries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(session_key, document): a session as one JSON object with its facts and its entries in order. A group is one session."""
-    own = blocks.groupBy("session_key", "line_no").agg(F.sort_array(F.collect_list(F.struct("block_no", "block_type", "text", "thinking", "tool_name", "result_text"))).alias("shown"))
-    e = entries.join(own, ["session_key", "line_no"], "left").select("session_key", F.struct("line_no", "uuid", "parent_uuid", F.col("entry_type").alias("type"), F.col("ts").alias("timestamp"), "model", F.col("shown").alias("content")).alias("e"))
-    s = e.groupBy("session_key").agg(F.sort_array(F.collect_list("e")).alias("entries"))
-    facts = F.struct("session_key", F.size("entries").alias("entry_count"), F.array_min(F.transform("entries", lambda x: x["timestamp"])).alias("start"), F.array_max(F.transform("entries", lambda x: x["timestamp"])).alias("end"))
-    return s.select("session_key", F.to_json(F.struct(facts.alias("metadata"), "entries")).alias("document"))
+def to_json(entries: DataFrame, blocks: DataFrame, forest: DataFrame | None = None, analytics: bool = False, lossless: bool = False) -> DataFrame:
+    """(session_key, document): a session as one JSON object with its facts and its entries in order. A group is one session.
+
+    With forest (trees.nodes()) `tree` tells the roots, branch points, depth and the main thread's length. analytics adds
+    turns, tokens, calls by tool and failed results. Entries show their blocks with what calls were given; lossless
+    ones are the lines as they were read, byte for byte.
+    """
+    facts = F.struct("session_key", F.size("entries").alias("entry_count"), F.col("start").alias("start"), F.col("end").alias("end"))
+    span = entries.groupBy("session_key").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    if lossless:
+        e = entries.select("session_key", F.struct("line_no", "raw").alias("e"))
+    else:
+        block = F.struct("block_no", "block_type", "text", "thinking", "call_id", "tool_name", F.col("tool_input").alias("tool_input"), "tool_use_id", "result_text", "is_error")
+        own = blocks.groupBy("session_key", "line_no").agg(F.transform(F.array_sort(F.collect_list(block), lambda x, y: x["block_no"] - y["block_no"]), lambda x: x).alias("shown"))
+        e = entries.join(own, ["session_key", "line_no"], "left").select("session_key", F.struct("line_no", F.to_json(F.struct("line_no", "uuid", "parent_uuid", F.col("entry_type").alias("type"), F.col("ts").alias("timestamp"), "model", F.col("shown").alias("content"))).alias("raw")).alias("e"))
+    s = e.groupBy("session_key").agg(F.sort_array(F.collect_list("e")).alias("entries")).join(span, "session_key")
+    parts = [F.concat(F.lit('"metadata":'), F.to_json(facts))]
+    if analytics:
+        t = usage.token_totals(usage.turns(entries), "session_key").select("session_key", F.struct("turns", *usage.TOKENS, "total_tokens").alias("tokens"))
+        tools = blocks.filter("block_type = 'tool_use'").groupBy("session_key", "tool_name").agg(F.count("*").alias("n")).groupBy("session_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool_name", "n")))).alias("tools"))
+        failed = blocks.groupBy("session_key").agg(F.count_if("is_error").alias("failed_results"))
+        s = s.join(t, "session_key", "left").join(tools, "session_key", "left").join(failed, "session_key", "left")
+        parts.append(F.concat(F.lit('"analytics":'), F.to_json(F.struct("tokens", "tools", "failed_results"))))
+    if forest is not None:
+        shape = forest.groupBy("session_key").agg(F.struct(F.count_if("is_root").alias("roots"), F.count_if(F.col("n_children") > 1).alias("branch_points"), F.max("depth").alias("max_depth"), F.count_if("is_main").alias("main_thread")).alias("tree"))
+        s = s.join(shape, "session_key", "left")
+        parts.append(F.concat(F.lit('"tree":'), F.coalesce(F.to_json("tree"), F.lit("null"))))
+    parts.append(F.concat(F.lit('"entries":['), F.array_join(F.transform("entries", lambda x: x["raw"]), ","), F.lit("]")))
+    return s.select("session_key", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("document"))
+
+
+def export_all(documents: DataFrame, sessions: DataFrame, path: str, since=None, until=None, project: str | None = None) -> None:
+    """Writes documents(session_key, document) as text, in a folder for each project, of the sessions(session_key, project, start_ts, end_ts) that overlap since to until and whose project holds the text.
+
+    Each document is one line if it has none of its own line ends, as JSON hasn't.
+    """
+    s = sessions
+    if since is not None:
+        s = s.filter(F.col("end_ts") >= F.lit(since))
+    if until is not None:
+        s = s.filter(F.col("start_ts") <= F.lit(until))
+    if project:
+        s = s.filter(F.contains(F.lower("project"), F.lit(project.lower())))
+    named = documents.join(s.select("session_key", F.coalesce("project", F.lit("")).alias("project")), "session_key")
+    named.select("project", F.col("document").alias("value")).write.mode("error").partitionBy("project").text(path)
 
 
 def tool_line(name: Column, args: Column) -> Column:
