@@ -1,3 +1,3 @@
 """The query catalogue with its DuckDB counterparts."""
 
-from . import custom, engine, logs, requests, sessions, texts, threads  # noqa: F401
+from . import custom, engine, logs, ranks, requests, sessions, texts, threads  # noqa: F401

@@ -82,13 +82,18 @@ def expand(sql: str, side: int) -> str:
     return re.sub(r"\{(" + "|".join(TABLES) + r")\}", r"\1", sql)
 
 
+def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a query in Spark."""
+    text = expand(sql, 0)
+    used = sorted(set(re.findall(r"\{(" + "|".join(TABLES) + r")\}", text)))
+    return spark.sql(text, **{t: load(spark, sf_dir, t) for t in used})
+
+
 def both(name: str, sql: str, duck: str | None = None) -> None:
     """Registers a query; duck is its DuckDB text where macros don't do."""
-    text, other = expand(sql, 0), expand(duck or sql, 1)
-    used = sorted(set(re.findall(r"\{(" + "|".join(TABLES) + r")\}", text)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{t: load(spark, sf_dir, t) for t in used})
+        return frame(spark, sf_dir, sql)
 
     run.__name__, run.__doc__ = name, sql
-    register(name, other)(run)
+    register(name, expand(duck or sql, 1))(run)

@@ -16,8 +16,6 @@ both("S24_externalised", "select source, count(*) filter (where n_chars > 5000)
 both("S25_validation", "select event_type, count(*) filter (where not (@is_json(props))) as not_json, count(*) filter (where @json(props, k) is null) as missing_k, count(*) filter (where value < 0) as negative from {events} group by event_type")
 both("equal_turns", "select b.conv_id, max(a.conv_id) as parent, count(*) as shared from {conversations} a join {conversations} b on a.text = b.text and a.turn = b.turn and a.conv_id < b.conv_id group by b.conv_id")
 both("S31_preferred_artifact", "select text_md5, doc_id from (select @md5(text) as text_md5, doc_id, row_number() over (partition by @md5(text) order by doc_id desc) as nr from {documents}) x where nr = 1")
-both("S37_revision", "select source, count(*) as n, @md5(@join(@list(@text(doc_id)), ',')) as revision from {documents} group by source")
-
 # --- predicates ------------------------------------------------------------------------------------------------------
 
 both("F3_date_filter", "select count(*) as n from {orders} where o_orderdate >= timestamp '1998-01-01 00:00:00' and o_orderdate < timestamp '1998-01-01 00:00:00' + interval '30' day")
@@ -32,8 +30,6 @@ both("F16_scope", "select page_id from {pages} where @like_re(url, '/en/') and n
 # --- trees and lineage -----------------------------------------------------------------------------------------------
 
 both("G7_linkage", "select a.user_id, a.event_id as call, min(b.event_id) as result from {events} a join {events} b on a.user_id = b.user_id and b.event_type = 'view' and b.event_id > a.event_id where a.event_type = 'signup' group by a.user_id, a.event_id")
-both("turn_levels", "select conv_id, turn, dense_rank() over (order by turn) as level from {conversations}")
-both("turn_paths", "select conv_id, turn, @join(@list(lpad(@text(p), 3, '0')), '/') as path from (select c.conv_id, c.turn, q.turn as p from {conversations} c join {conversations} q on q.conv_id = c.conv_id and q.turn <= c.turn) x group by conv_id, turn")
 both("G11_leaves", "select c.conv_id, c.turn from {conversations} c left join {conversations} d on d.conv_id = c.conv_id and d.turn = c.turn + 1 where d.turn is null")
 both("G14_semantic_turns", "select conv_id, nr, count(*) as entries, count(*) filter (where role = 'assistant') as answers from (select conv_id, role, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as nr from {conversations}) x group by conv_id, nr having count(*) filter (where role <> 'system') > 0")
 both("G16_chunk_range", "select conv_id, turn from (select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) - 1 as chunk from {conversations}) x where chunk between 1 and 2")
@@ -45,9 +41,6 @@ both("G24_export_order", "select conv_id, turn, row_number() over (partition by
 
 both("supplier_nations", "select s.s_suppkey, n.n_name from {supplier} s left join {nation} n on s.s_nationkey = n.n_nationkey")
 both("J13_all_others", "select b.user_id, abs(a.n - b.n) as apart from (select count(*) as n from {events} where user_id = 5) a cross join (select user_id, count(*) as n from {events} where user_id <> 5 group by user_id) b")
-both("K3_relevance", "select doc_id, hits, rank() over (order by hits desc) as rank_no from (select doc_id, @count_re(text, 'ing') as hits from {documents}) x where hits > 0")
-both("K5_strength", "select conv_id, turn, row_number() over (order by strength desc, conv_id, turn) as nr from (select conv_id, turn, length(text) % 10 as strength from {conversations} where role = 'user') x")
-
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 both("A14_subagents", "select user_id, count(*) as results, round(sum(value), 4) as tokens, count(distinct cast(@json(props, k) as int)) as agents from {events} where event_type = 'purchase' group by user_id")
@@ -79,9 +72,7 @@ both("M8_tool_calls", "select user_id, event_id, event_type, case when event_typ
 both("M9_lessons", "select a.user_id, count(*) as errors, count(distinct a.k) as kinds from (select user_id, cast(@json(props, k) as int) as k from {events} where event_type = 'error') a group by a.user_id")
 both("M11_digest", "select conv_id, @first_by(text, turn) as opening, @last_by(role, turn) as closing_role, count(distinct role) as roles from {conversations} group by conv_id")
 both("M14_file_history", "select l_partkey, count(distinct l_orderkey) as sessions, count(*) as attempts, count(*) filter (where l_linestatus = 'F') as applied from {lineitem} group by l_partkey")
-both("M15_thread_topic", "select conv_id, turn, role, row_number() over (order by conv_id, turn) as pos from {conversations} where @like_re(text, 'ment')")
 both("M16_project_health", "select l_suppkey, count(distinct l_partkey) as files, count(*) as changes, round(avg(l_quantity), 6) as mean_quantity from {lineitem} group by l_suppkey")
-both("M17_priorities", "select part, round(score, 6) as score, row_number() over (order by round(score, 6) desc, part) as rank_no from (select l_partkey as part, 1.5e0 * count(distinct l_orderkey) + ln(count(*)) as score from {lineitem} group by l_partkey having count(distinct l_orderkey) >= 3) x")
 both("first_shipments", "select l_partkey, version, l_orderkey from (select l_partkey, l_orderkey, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber) as version from {lineitem}) x where version = 1")
 both("M20_time_parse", "select event_id, @us(ts) - @us(timestamp '2024-01-01 00:00:00') as since_us from {events} where ts >= timestamp '2024-01-30 00:00:00' - interval '2' hour")
 both("O19_export_warning", "select lang, count(*) filter (where @like_re(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+')) as with_mail, count(*) as total from {documents} group by lang")

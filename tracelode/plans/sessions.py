@@ -118,13 +118,6 @@ both(
     """select day, block, count(distinct user_id) as sessions, count(*) as turns, round(sum(most), 4) as tokens from (
     select user_id, @day(ts) as day, @div(@hour(ts), 5) * 5 as block, event_type, max(value) as most from {events} group by user_id, @day(ts), @div(@hour(ts), 5) * 5, event_type, cast(@json(props, k) as int)) x group by day, block""",
 )
-both(
-    "A20_response_time",
-    """with o as (select user_id, event_type, @us(ts) as t, lead(event_type) over (partition by user_id order by ts, event_id) as next_type, lead(@us(ts)) over (partition by user_id order by ts, event_id) as next_t from {events}),
-    d as (select (next_t - t) / 1e6 as s from o where event_type = 'click' and next_type = 'view' and next_t > t and next_t - t < 3600000000),
-    l as (select @list(s) as x, count(*) as n, avg(s) as mean from d)
-    select n, round(mean, 6) as mean_s, round(@at(x, 1), 6) as min_s, round(@at(x, n), 6) as max_s, round(@at(x, floor(n / 2) + 1), 6) as median_s, round(@at(x, floor(n * 0.95) + 1), 6) as p95_s from l where n > 0""",
-)
 both(
     "A21_efficiency",
     """select user_id, round(cast(sum(cast(value as decimal(18,6))) as double) / count(*), 4) as tokens_per_message, round(count(*) filter (where event_type = 'click') * 1e0 / count(distinct @day(ts)), 4) as tools_per_day,
@@ -159,14 +152,6 @@ both(
     "A27_prompt_frequency",
     """select text, n, round(100e0 * n / total, 6) as percent from (select text, count(*) as n, sum(count(*)) over () as total from {conversations} where role = 'user' group by text) x where n >= 2""",
 )
-both(
-    "A28_prompt_stats",
-    """with p as (select text, length(text) as c from {conversations} where role = 'user'), u as (select text, count(*) as n from p group by text), l as (select @list(c) as x, count(*) as n, avg(c) as mean from p)
-    select l.n as total, (select count(*) from u) as unique_texts, (select count(*) filter (where n > 1) from u) as reused, round(l.mean, 6) as mean_chars,
-      @at(l.x, 1) as min_chars, @at(l.x, l.n) as max_chars, @at(l.x, floor(l.n / 2) + 1) as median_chars,
-      (select count(*) filter (where c < 50) from p) as under_50, (select count(*) filter (where c >= 50 and c < 200) from p) as under_200, (select count(*) filter (where c >= 200) from p) as longer from l""",
-)
-both("A29_hotspots", "select l_partkey as part, count(*) as changes, rank() over (order by count(*) desc) as rank_no from {lineitem} group by l_partkey")
 both("A30_rework", "select l_partkey as part, count(distinct l_orderkey) as sessions from {lineitem} group by l_partkey having count(distinct l_orderkey) > 1")
 both("A32_churn", "select o_orderstatus as status, count(*) as n from {orders} group by o_orderstatus")
 both(
@@ -174,7 +159,6 @@ both(
     """select k, count(*) as n, count(distinct user_id) as sessions, @last_by(event_id, ts) as latest from (
     select @div(cast(@json(props, k) as int), 10) as k, user_id, event_id, ts from {events} where event_type = 'error') x group by k having count(*) >= 2 and count(distinct user_id) >= 2""",
 )
-both("A34_error_prone", "select user_id, n, row_number() over (order by n desc, user_id) as rank_no from (select user_id, count(*) as n from {events} where event_type = 'error' group by user_id) x")
 both("A35_failure_counts", "select count(*) filter (where event_type = 'error' and value >= 10) as confirmed, count(*) filter (where event_type = 'error' and value < 10) as inferred from {events}")
 both(
     "A36_priorities",

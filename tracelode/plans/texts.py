@@ -23,17 +23,6 @@ both("X6_occurrences", "select doc_id, @count_re(text, 'the') as n from {documen
 both("X7_files_only", "select distinct source from {documents} where @like_re(text, 'MIT')")
 both("X7_count_by_session", "select source, count(*) as docs, cast(sum(@count_re(text, '[Ll]icense')) as bigint) as hits from {documents} where @like_re(text, '[Ll]icense') group by source")
 both("X8_driver", "select doc_id, source, hits from (select doc_id, source, @count_re(text, 'tion') as hits from {documents} where lang = 'en') x where hits > 0 order by hits desc, doc_id limit 50")
-both(
-    "X9_bm25",
-    """with w as (select doc_id, term, count(*) as tf from (select doc_id, explode(split(lower(text), ' ')) as term from {documents}) x where term in ('license', 'license.', 'the', 'mit') group by doc_id, term),
-    n as (select doc_id, size(split(text, ' ')) as len from {documents}), s as (select count(*) as docs, avg(len) as mean from n), f as (select term, count(*) as df from w group by term)
-    select w.doc_id, round(sum(ln(1 + (s.docs - f.df + 0.5e0) / (f.df + 0.5e0)) * w.tf * 2.2e0 / (w.tf + 1.2e0 * (0.25e0 + 0.75e0 * n.len / s.mean))), 6) as score
-    from w join f on w.term = f.term join n on w.doc_id = n.doc_id cross join s group by w.doc_id""",
-    """with w as (select doc_id, term, count(*) as tf from (select doc_id, unnest(string_split(lower(text), ' ')) as term from documents) x where term in ('license', 'license.', 'the', 'mit') group by doc_id, term),
-    n as (select doc_id, len(string_split(text, ' ')) as len from documents), s as (select count(*) as docs, avg(len) as mean from n), f as (select term, count(*) as df from w group by term)
-    select w.doc_id, round(sum(ln(1 + (s.docs - f.df + 0.5e0) / (f.df + 0.5e0)) * w.tf * 2.2e0 / (w.tf + 1.2e0 * (0.25e0 + 0.75e0 * n.len / s.mean))), 6) as score
-    from w join f on w.term = f.term join n on w.doc_id = n.doc_id cross join s group by w.doc_id""",
-)
 both("X11_coverage", "select count(*) as documents, count(*) filter (where @like_re(text, 'tion')) as matched, count(distinct source) as sessions, count(*) filter (where text is null) as incomplete from {documents}")
 both("X12_literal", "select doc_id from {documents} where contains(text, 'license') or contains(text, 'License')")
 both("texts_and_replies", "select a.conv_id, a.turn, a.role, b.turn as reply from {conversations} a left join {conversations} b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and @like_re(a.text, 'tion')")
@@ -65,9 +54,6 @@ def _redacted(side: int) -> str:
     return out
 
 
-both("C4_redact", f"select doc_id, text from (select doc_id, text as raw, {_redacted(0)} as text from {{documents}}) x where raw <> text", f"select doc_id, text from (select doc_id, text as raw, {_redacted(1)} as text from documents) x where raw <> text")
-
-
 def _kinds(side: int) -> str:
     like = "regexp_matches(text, '{}')" if side else "text rlike '{}'"
     names = ("github", "aws", "ssn", "email", "ipv4")
@@ -75,7 +61,6 @@ def _kinds(side: int) -> str:
 
 
 both("C5_detect", _kinds(0), _kinds(1))
-both("C7_anonymise", "select event_id, concat('session-', lpad(@text(dense_rank() over (order by user_id)), 4, '0')) as session_name, @us(date_trunc('hour', ts)) as hour_us from {events}")
 both(
     "C9_relative_time",
     """select user_id, case when m < 60 then concat(@text(m), ' minutes ago') when m < 1440 then concat(@text(@div(m, 60)), ' hours ago') else concat(@text(@div(m, 1440)), ' days ago') end as last_seen from (
@@ -100,22 +85,10 @@ both("C31_bar", "select event_type, repeat('#', cast(round(20e0 * n / most) as i
 
 # --- trees -----------------------------------------------------------------------------------------------------------
 
-both(
-    "G4_depth",
-    """with recursive t(conv_id, turn, depth) as (select conv_id, turn, 0 from {conversations} where turn = 0
-    union all select c.conv_id, c.turn, t.depth + 1 from t join {conversations} c on c.conv_id = t.conv_id and c.turn = t.turn + 1)
-    select conv_id, max(depth) as max_depth, count(*) as nodes from t group by conv_id""",
-)
 both("G1_roots", "select c.conv_id, c.turn from {conversations} c left join {conversations} p on p.conv_id = c.conv_id and p.turn = c.turn - 1 where p.turn is null")
 both("G2_duplicates", "select text, count(*) as copies, min(doc_id) as kept from {documents} group by text having count(*) > 1")
 both("regions_of_several_nations", "select n_regionkey, count(*) as children from {nation} group by n_regionkey having count(*) > 1")
 both("G8_chunks", "select user_id, h, @last_by(event_type, ts) as last_type, count(*) as chunks from (select *, @us(date_trunc('hour', ts)) as h from {events}) x group by user_id, h having count(*) > 1")
-both(
-    "G11_subtree",
-    """with recursive t(conv_id, top, turn) as (select conv_id, turn, turn from {conversations} where role = 'user'
-    union all select c.conv_id, t.top, c.turn from t join {conversations} c on c.conv_id = t.conv_id and c.turn = t.turn + 1)
-    select conv_id, top, count(*) as size from t group by conv_id, top""",
-)
 both("G12_statistics", "select conv_id, count(*) as nodes, count(*) filter (where role = 'user') as users, max(turn) + 1 as main_length, @any(role = 'system') as has_system from {conversations} group by conv_id")
 both(
     "G13_turns",
