@@ -1,25 +1,33 @@
 """Conversation trees of the canonical entries.
 
 A session's tree is rebuilt by one grouped pass: its depth has no bound that recursion in SQL would keep, and the
-choice of the main thread compares whole subtrees. A group is one session's ids and times, without contents.
+choice of the main thread compares whole subtrees. Sessions come one after
+the other through a task that holds one's ids and times, without contents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODES = "session_key string, uuid string, parent_uuid string, line_no long, depth int, subtree_size int, n_children int, is_root boolean, is_main boolean, main_pos int, is_leaf boolean, dfs_pos int, bfs_pos int, fork_root string, anchor string"
+#: Nodes that a task hands on at once.
+BATCH = 20_000
 
 
-def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("line_no").drop_duplicates("uuid")
-    ids = rows["uuid"].tolist()
+def _rebuild(rows: list[tuple]) -> list[list]:
+    """The columns of NODES but the first, of one session's (uuid, parent, logical parent, line, time, conversational) in the order of lines; of an id that comes again the first counts."""
+    seen: set[str] = set()
+    rows = [r for r in rows if not (r[0] in seen or seen.add(r[0]))]
+    ids = [r[0] for r in rows]
     at = {u: i for i, u in enumerate(ids)}
     parent, bridged = [], []
-    for u, p, q in zip(ids, rows["parent_uuid"], rows["logical_parent_uuid"], strict=True):
-        found = next(((at[x], x is q) for x in (p, q) if isinstance(x, str) and x in at), (None, False))
+    for u, p, q, *_ in rows:
+        found = next(((at[x], x is q) for x in (p, q) if x is not None and x in at), (None, False))
         parent.append(None if found[0] is None or ids[found[0]] == u else found[0])
         bridged.append(found[1])
     # cut cycles: a node that hangs by its logical parent becomes a root, else the one met again on its own way up
@@ -46,8 +54,8 @@ def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
         for c in children[i]:
             depth[c] = depth[i] + 1
         stack.extend(reversed(children[i]))
-    weight = [1 if x else 0 for x in rows["conversational"]]
-    ts = [x.value if x is not pd.NaT else -1 for x in pd.to_datetime(rows["ts"])]
+    weight = [1 if r[5] else 0 for r in rows]
+    ts = [-1 if r[4] is None else r[4] for r in rows]
     size, talk, latest = [1] * len(ids), list(weight), [t if w else -1 for t, w in zip(ts, weight, strict=True)]
     for i in reversed(order):
         for c in children[i]:
@@ -70,14 +78,13 @@ def _rebuild(key, rows: pd.DataFrame) -> pd.DataFrame:
         if not main[i]:
             p = parent[i]
             fork[i], anchor[i] = (ids[i], None if p is None else ids[p]) if p is None or main[p] else (fork[p], anchor[p])
-    return pd.DataFrame(
-        {
-            "session_key": key[0], "uuid": ids, "parent_uuid": [None if p is None else ids[p] for p in parent], "line_no": rows["line_no"].tolist(), "depth": depth, "subtree_size": size,
-            "n_children": [len(c) for c in children], "is_root": [p is None for p in parent], "is_main": main, "main_pos": pos, "is_leaf": [not c for c in children],
-            "dfs_pos": pd.Series(range(len(order)), index=order).sort_index().tolist(), "bfs_pos": pd.Series(range(len(order)), index=sorted(order, key=depth.__getitem__)).sort_index().tolist(),
-            "fork_root": pd.Series(fork, dtype=object), "anchor": pd.Series(anchor, dtype=object),
-        }
-    )
+    dfs, bfs = [0] * len(ids), [0] * len(ids)
+    for k, i in enumerate(order):
+        dfs[i] = k
+    for k, i in enumerate(sorted(order, key=depth.__getitem__)):
+        bfs[i] = k
+    up = [None if p is None else ids[p] for p in parent]
+    return [ids, up, [r[3] for r in rows], depth, size, [len(c) for c in children], [p is None for p in parent], main, pos, [not c for c in children], dfs, bfs, fork, anchor]
 
 
 def nodes(entries: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -94,7 +101,41 @@ def nodes(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     e = entries.filter("uuid is not null").join(results, ["session_key", "line_no"], "left")
     talks = F.col("entry_type").isin("user", "assistant") & F.col("has_result").isNull()
     slim = e.select("session_key", "uuid", "parent_uuid", "logical_parent_uuid", "line_no", "ts", talks.alias("conversational"))
-    return slim.groupBy("session_key").applyInPandas(_rebuild, NODES)
+    # times in microseconds; a session's rows follow each other in one task
+    slim = slim.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))).repartition("session_key").sortWithinPartitions("session_key", "line_no")
+    return slim.mapInArrow(_by_session, NODES)
+
+
+def _by_session(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string())
+    names = [f.split()[0] for f in NODES.split(", ")]
+    done: list[list] = [[] for _ in names]
+
+    def made() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds, strict=True)], names=names)
+        for c in done:
+            c.clear()
+        return out
+
+    def add(key: str | None, rows: list[tuple]) -> None:
+        columns = _rebuild(rows)
+        done[0].extend([key] * len(columns[0]))
+        for c, x in zip(done[1:], columns, strict=True):
+            c.extend(x)
+
+    now, rows = None, []
+    for b in batches:
+        for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != now and rows:
+                add(now, rows)
+                rows = []
+                if len(done[0]) >= BATCH:
+                    yield made()
+            now = key
+            rows.append((row[0], row[1], row[2], row[3], row[4], row[5]))
+    if rows:
+        add(now, rows)
+    yield made()
 
 
 def orphans(entries: DataFrame) -> DataFrame:

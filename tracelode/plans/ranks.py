@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import trees
-from ..sources.tables import load, ranked
+from ..sources.tables import kept, load, ranked
 from .catalogue import register
 from .custom import _entries
 from .dialect import expand, frame
-from .texts import _REDACT, _quoted, _redacted
+from .texts import _redacted
 
 
 def _duck(name: str, sql: str):
@@ -31,7 +31,7 @@ _RESPONSES = """select (next_t - t) / 1e6 as s from (select user_id, event_type,
 @_duck("A20_response_time", f"""with d as ({_RESPONSES}), l as (select @list(s) as x, count(*) as n, avg(s) as mean from d)
     select n, round(mean, 6) as mean_s, round(@at(x, 1), 6) as min_s, round(@at(x, n), 6) as max_s, round(@at(x, floor(n / 2) + 1), 6) as median_s, round(@at(x, floor(n * 0.95) + 1), 6) as p95_s from l where n > 0""")
 def response_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, n = frame(spark, sf_dir, _RESPONSES), F.col("n")
+    d, n = kept(frame(spark, sf_dir, _RESPONSES), "responses"), F.col("n")
     r = _at_places(d, "s", n, {"min_s": F.lit(1), "max_s": n, "median_s": F.floor(n / 2) + 1, "p95_s": F.floor(n * 0.95) + 1})
     return r.crossJoin(d.agg(F.round(F.avg("s"), 6).alias("mean_s"))).select("n", "mean_s", *[F.round(c, 6).alias(c) for c in ("min_s", "max_s", "median_s", "p95_s")])
 
@@ -148,15 +148,13 @@ _TERMS = "('license', 'license.', 'the', 'mit')"
 
 @_duck("X9_bm25", f"with w as (select doc_id, term, count(*) as tf from (select doc_id, unnest(string_split(lower(text), ' ')) as term from {{documents}}) x where term in {_TERMS} group by doc_id, term), " + _SCORE.format("len(string_split(text, ' '))"))
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the words that are asked for leave a text's row, and its length is the number of its spaces and one."""
-    w = f"select doc_id, term, count(*) as tf from (select doc_id, explode(filter(split(lower(text), ' '), x -> x in {_TERMS})) as term from {{documents}} where lower(text) rlike 'license|the|mit') x group by doc_id, term"
+    """A text's length is the number of its spaces and one: it is split once."""
+    w = f"select doc_id, term, count(*) as tf from (select doc_id, explode(split(lower(text), ' ')) as term from {{documents}}) x where term in {_TERMS} group by doc_id, term"
     return frame(spark, sf_dir, f"with w as ({w}), " + _SCORE.format("length(text) - length(replace(text, ' ')) + 1"))
 
 
-_ANY = "|".join(f"({_quoted(p, 0)})" for p, _ in _REDACT)
-
-
 @register("C4_redact", f"select doc_id, text from (select doc_id, text as raw, {_redacted(1)} as text from documents) x where raw <> text")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search over all kinds first: only texts that hold one are rewritten."""
-    return frame(spark, sf_dir, f"select doc_id, text from (select doc_id, text as raw, {_redacted(0)} as text from {{documents}} where text rlike '{_ANY}') x where raw <> text")
+    """Only texts that have what each kind needs are rewritten: a sign, a prefix, or digits about a hyphen or a point."""
+    may = "contains(text, '@') or contains(text, 'ghp_') or contains(text, 'AKIA') or text rlike '[0-9][-.][0-9]'"
+    return frame(spark, sf_dir, f"select doc_id, text from (select doc_id, text as raw, {_redacted(0)} as text from {{documents}} where {may}) x where raw <> text")

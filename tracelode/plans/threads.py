@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, history, prompts, similarity, threads, trees
-from ..sources.tables import load
+from ..sources.tables import kept, load
 from .catalogue import register
 from .logs import _canonical
 
@@ -97,7 +97,7 @@ def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("session_key"), (turn + 1).alias("line_no"), key(turn).alias("uuid"), F.when(turn > 0, key(F.when(turn % 3 == 2, turn - 2).otherwise(turn - 1))).alias("parent_uuid"), F.lit(None).cast("string").alias("logical_parent_uuid"),
         F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("entry_type"), "role", F.timestamp_seconds("turn").alias("ts"),
     )
-    forest = trees.nodes(e, e.select("session_key", "line_no", "entry_type", F.lit("text").alias("block_type")))
+    forest = kept(trees.nodes(e, e.select("session_key", "line_no", "entry_type", F.lit("text").alias("block_type"))), "forest")
     return threads.chunks(forest, e.filter("role = 'user'").select("session_key", "uuid"), e).select("session_key", "uuid", "chunk", "place")
 
 
@@ -150,7 +150,7 @@ def similar_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
     s = j.groupBy("c_custkey", "c_nationkey", "c_mktsegment").agg(F.max("o_orderdate").alias("modified"), F.collect_set("o_orderpriority").alias("tools"), F.collect_set(F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderstatus"))).alias("tags"), F.count("*").alias("tokens"))
     s = s.select(F.col("c_custkey").cast("string").alias("session_key"), F.concat(F.lit("/"), F.col("c_nationkey").cast("string"), F.lit("/"), "c_mktsegment").alias("project"), "modified", "tools", "tags", "tokens")
-    first = s.agg(F.min(F.col("session_key").cast("long"))).first()[0]
+    first = load(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
     return similarity.similar(s, str(first)).select("session_key", F.round("total", 4).alias("total"))
 
 
