@@ -348,6 +348,29 @@ def test_archives_of_pages(spark, sf_dir):
     assert sorted(map(tuple, warc.op6_warc(spark, sf_dir).collect())) == sorted(want)
 
 
+def test_neighbours_of_many_lengths(spark, monkeypatch):
+    """The lengths beyond the most frequent ones, of which one holds more than a group, against all pairs."""
+    from tracelode.llm import ann
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ann, "MAX_LENGTHS", 1)
+    monkeypatch.setattr(ann, "GROUP", 7)
+    monkeypatch.setattr(ann, "CALLS", 3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, d)]) for i, d in enumerate([4] * 120 + [3] * 40 + [2] * 25 + [1] * 3 + list(range(10, 80)))]
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, df.filter("vec_id % 2 = 0")).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 12)))
+    short = {i for i, v in rows if len(v) != 4}
+    for i, v in rows:
+        if i % 2 == 0 and i in short:
+            q = np.array(v)
+            score = {j: float(ann.cosine(q[None], np.array(w)[None])[0]) for j, w in rows if len(w) == len(v) and j != i}
+            assert got.get(i, []) == [(j, round(s, 12)) for j, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    assert {i for i in got if i not in short}
+
+
 def test_neighbours(spark, sf_dir):
     from tracelode.llm import ann
 

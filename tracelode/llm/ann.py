@@ -30,7 +30,7 @@ COLUMNS, WIDTH = 16, 2.1
 #: Vectors and queries of a group, about: what a task holds at once; and queries scanned together.
 GROUP, CALLS, TILE = 16_384, 65_536, 256
 SEED = 7
-#: Different lengths of vectors in one table, each a search of its own.
+#: Different lengths of vectors in one table, the most frequent ones, that have an index each; vectors of the others are compared with all of their length.
 MAX_LENGTHS = 64
 NEAREST, QUERY_EVERY = 5, 50
 
@@ -128,6 +128,26 @@ def scan(queries: np.ndarray, rows: np.ndarray, barred: np.ndarray, k: int, colu
     return i, j
 
 
+def searched(rows: pa.Table, calls: pa.Table, d: int, turn: np.ndarray, k: int, width: float = WIDTH) -> pa.Table:
+    """(query_id, vec_id, score) of the k nearest of rows(id, v) to each of calls(id, v), all of d components; turn rotates them for the scan."""
+    kind = rows.schema.field("id").type
+    tables = []
+    if rows.num_rows and calls.num_rows:
+        own, (v, u) = np.asarray(rows["id"]), _unit(rows["v"].combine_chunks(), d)
+        u = u @ turn
+        who, (q, uq) = np.asarray(calls["id"]), _unit(calls["v"].combine_chunks(), d)
+        uq = uq @ turn
+        for low in range(0, len(who), TILE):
+            part = who[low : low + TILE]
+            i, j = scan(uq[low : low + TILE], u, part[:, None] == own, k, width=width)
+            score = cosine(q[low + i], v[j])
+            order = np.lexsort((own[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            near = np.arange(len(i)) - np.searchsorted(i, i) < k
+            tables.append(pa.table({"query_id": pa.array(part[i[near]], kind), "vec_id": pa.array(own[j[near]], kind), "score": pa.array(score[near])}))
+    return pa.concat_tables(tables) if tables else pa.schema([("query_id", kind), ("vec_id", kind), ("score", pa.float64())]).empty_table()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, reach: float = REACH) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest by cosine, ties to the smaller id.
 
@@ -142,13 +162,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     pick = lambda df: df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     base, asked = pick(vectors), pick(queries).groupBy("id").agg(F.min("v").alias("v"))
     kind = dict(base.dtypes)["id"]
-    lengths = base.groupBy(F.size("v").alias("d")).count().orderBy("d").limit(MAX_LENGTHS + 1).collect()
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"vectors of more than {MAX_LENGTHS} different lengths")
+    lengths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(MAX_LENGTHS + 1).collect()
     out = vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    for n, (d, total) in enumerate(lengths):
+    for n, (d, total) in enumerate(lengths[:MAX_LENGTHS]):
         found = _nearest(base.filter(F.size("v") == d), asked.filter(F.size("v") == d), kind, d, total, k, reach)
         out = found if n == 0 else out.union(found)
+    if len(lengths) > MAX_LENGTHS:
+        rest = ~F.size("v").isin([d for d, _ in lengths[:MAX_LENGTHS]])
+        out = out.union(_exact(base.filter(rest), asked.filter(rest), kind, k))
     return out
 
 
@@ -197,28 +218,34 @@ def _nearest(base: DataFrame, asked: DataFrame, kind: str, d: int, total: int, k
     calls = probed.withColumn("b", F.pmod(F.xxhash64("id"), call).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), row - 1)))
 
     def search(rows: pa.Table, calls: pa.Table) -> pa.Table:
-        kind = rows.schema.field("id").type
-        tables = []
-        if rows.num_rows and calls.num_rows:
-            own, (v, u) = np.asarray(rows["id"]), _unit(rows["v"].combine_chunks(), d)
-            u = u @ turn
-            who, (q, uq) = np.asarray(calls["id"]), _unit(calls["v"].combine_chunks(), d)
-            uq = uq @ turn
-            for low in range(0, len(who), TILE):
-                part = who[low : low + TILE]
-                i, j = scan(uq[low : low + TILE], u, part[:, None] == own, k)
-                score = cosine(q[low + i], v[j])
-                order = np.lexsort((own[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                near = np.arange(len(i)) - np.searchsorted(i, i) < k
-                tables.append(pa.table({"query_id": pa.array(part[i[near]], kind), "vec_id": pa.array(own[j[near]], kind), "score": pa.array(score[near])}))
-        return pa.concat_tables(tables) if tables else pa.schema([("query_id", kind), ("vec_id", kind), ("score", pa.float64())]).empty_table()
+        return searched(rows, calls, d, turn, k)
 
     found = parts.groupBy("list", "a", "b").cogroup(calls.groupBy("list", "a", "b")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
+    return _first(found, k)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _exact(base: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFrame:
+    """nearest() of vectors(id, v) of any number of lengths, comparing all of a length: for the lengths that few vectors have. Groups of a length are dealt by their numbers, which stay a table."""
+    count = lambda df, name: df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias(name))
+    sizes = count(base, "n").join(count(asked, "m"), "d").select("d", F.ceil(F.col("n") / GROUP).cast("int").alias("row"), F.ceil(F.col("m") / CALLS).cast("int").alias("call"))
+    part = lambda df: df.withColumn("d", F.size("v")).join(sizes, "d")
+    place, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    parts = part(base).withColumn("a", place("row")).withColumn("b", every("call")).select("d", "a", "b", "id", "v")
+    calls = part(asked).withColumn("b", place("call")).withColumn("a", every("row")).select("d", "a", "b", "id", "v")
+
+    def search(rows: pa.Table, calls: pa.Table) -> pa.Table:
+        d = (rows if rows.num_rows else calls)["d"][0].as_py()
+        return searched(rows, calls, d, np.eye(d), k, 1e6)
+
+    found = parts.groupBy("d", "a", "b").cogroup(calls.groupBy("d", "a", "b")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
+    return _first(found, k)
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     vectors = table(spark, sf_dir, "embeddings")
