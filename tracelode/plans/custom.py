@@ -83,7 +83,11 @@ def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("text <> redacted").select("doc_id", "redacted")
 
 
-@register("C1_word_truncate")
+@register(
+    "C1_word_truncate",
+    """with h as (select doc_id, text, left(text, 80) as head from documents), s as (select *, length(head) - strpos(reverse(head), ' ') as space from h)
+    select doc_id, case when length(text) <= 80 then text when strpos(head, ' ') > 0 and space > 40 then left(head, space) || '...' else head || '...' end as preview from s""",
+)
 def word_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text"), 80).alias("preview"))
 

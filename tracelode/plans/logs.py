@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import index, lessons, replay, usage
+from ..operators import index, lessons, replay, usage, validation
 from ..sources import envelope, jsonl
 from ..sources.tables import kept_path, load
 from .catalogue import register
@@ -133,6 +133,34 @@ def error_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("session_key", "id", "basis", F.trim("preview").alias("preview"), F.get("resolution_tools", F.lit(0)).alias("next_tool"), F.col("resolution").endswith("...").alias("cut"), F.substring("resolution", 1, 20).alias("resolution"))
 
 
+@register(
+    "O14_validation",
+    """with a as (select cast(conv_id as varchar) as session_key, count(*) as n from conversations where role = 'assistant' group by conv_id)
+    select session_key, 'warning' as level, 'calls and results out of balance' as finding, n from a union all select session_key, 'warning', 'id used again with other content', n from a""",
+)
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a validation says of the log: messages streamed twice use their ids and calls again. Torn lines have no session of their own here."""
+    p = jsonl.parsed(first_dialect(spark, sf_dir))
+    e = jsonl.entries(p).unionByName(jsonl.entries(jsonl.salvaged(p))).withColumn("session_key", F.col("session_id"))
+    return validation.findings(p.filter("status = 'parsed'"), e, jsonl.blocks(e)).select("session_key", "level", "finding", "n")
+
+
+@register(
+    "J7_commit_files",
+    """with t as (select distinct o_custkey, l_suppkey % 30 as name from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 4 = 0),
+    c as (select distinct o_custkey, o_orderkey, l_partkey % 40 as part from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 4 <> 0)
+    select distinct cast(t.o_custkey as varchar) as session_key, cast(o_orderkey as varchar) as sha, '/w/' || name || '.rs' as path from t join c on t.o_custkey = c.o_custkey where ends_with('src/p' || part || '.rs', name || '.rs')""",
+)
+def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sessions: three of four orders are their commits of parts, and the suppliers of the others the files that they touched."""
+    j = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    text = lambda c: F.col(c).cast("string")
+    commits = load(spark, sf_dir, "orders").filter("o_orderkey % 4 <> 0").select(text("o_custkey").alias("session_key"), text("o_orderkey").alias("sha"))
+    committed = j.select(text("o_orderkey").alias("sha"), F.concat(F.lit("src/p"), (F.col("l_partkey") % 40).cast("string"), F.lit(".rs")).alias("path")).distinct()
+    touched = j.filter("o_orderkey % 4 = 0").select(text("o_custkey").alias("session_key"), F.concat(F.lit("/w/"), (F.col("l_suppkey") % 30).cast("string"), F.lit(".rs")).alias("path"))
+    return usage.correlated_files(commits, committed, touched)
+
+
 def second_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_path, line_no, line): each conversation as a file of the second dialect.
 
