@@ -106,7 +106,7 @@ class Index:
         listed.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("bin").parquet(part("postings"))
         # the postings stand sorted by token, so their distinct ones are found without going over the texts again
         posted = self.spark.read.schema("bin int, token string").parquet(part("postings"))
-        posted.distinct().write.mode("overwrite").partitionBy("bin").parquet(part("tokens"))
+        posted.distinct().repartition("bin").write.mode("overwrite").partitionBy("bin").parquet(part("tokens"))
 
     def candidates(self, word: str) -> DataFrame:
         """The keys of all segments that may hold the literal. Tokens are searched for it, then the postings of those that have it; Spark prunes bins by the tokens found."""
