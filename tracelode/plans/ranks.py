@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +108,49 @@ def anonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(names, "user_id").select("event_id", "session_name", "hour_us")
 
 
-@register("S37_revision", "select source, count(*) as n, cast(sum(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 8) as bigint)) as varchar) as revision from documents group by source")
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, id) as (key, part, nr, n, ids): the ids of each key of a batch, joined, and its number of rows, ids that are null included."""
+    part, nr = TaskContext.get().partitionId(), 0
+    for b in batches:
+        by: dict[str | None, list[str | None]] = {}
+        for key, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            by.setdefault(key, []).append(i)
+        if by:
+            there = [[i for i in ids if i is not None] for ids in by.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([part] * len(by), pa.int64()), pa.array(range(nr, nr + len(by)), pa.int64()), pa.array([len(x) for x in by.values()], pa.int64()), pa.array([",".join(x) if x else None for x in there], pa.string())], names=["key", "part", "nr", "n", "ids"])
+            nr += len(by)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, revision) of _joined() rows in order: a digest takes one piece after the other, so no key's ids are held."""
+    out = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["key", "n", "revision"])
+    key, n, begun, digest = None, 0, False, None
+    for b in batches:
+        for new, more, ids in zip(*(b.column(c).to_pylist() for c in ("key", "n", "ids")), strict=True):
+            if digest is None or new != key:
+                if digest is not None:
+                    yield out(key, n, digest.hexdigest())
+                key, n, begun, digest = new, 0, False, hashlib.md5()
+            n += more
+            if ids is not None:
+                digest.update((("," if begun else "") + ids).encode())
+                begun = True
+    if digest is not None:
+        yield out(key, n, digest.hexdigest())
+
+
+def revisions(rows: DataFrame) -> DataFrame:
+    """(key, n, revision) of rows(key, id): MD5 of a key's ids in order, joined by commas. Ranges of keys and ids are sorted and joined in tasks of their own; only the joined pieces go to their key."""
+    dealt = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    pieces = dealt.mapInArrow(_joined, "key string, part long, nr long, n long, ids string")
+    return pieces.repartition("key").sortWithinPartitions("key", "part", "nr").mapInArrow(_digests, "key string, n long, revision string")
+
+
+@_duck("S37_revision", "select source, count(*) as n, @md5(@join(@list(@text(doc_id)), ',')) as revision from {documents} group by source")
 def revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A number that follows from a source's ids, whatever their order."""
-    part = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("decimal(38,0)")
-    return load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("revision"))
+    """A digest of a source's ids, whatever their order of arrival."""
+    d = load(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").cast("string").alias("id"))
+    return revisions(d).withColumnRenamed("key", "source")
 
 
 @_duck("turn_paths", "select conv_id, turn, @join(@list(lpad(@text(p), 3, '0')), '/') as path from (select c.conv_id, c.turn, q.turn as p from {conversations} c join {conversations} q on q.conv_id = c.conv_id and q.turn <= c.turn) x group by conv_id, turn")
