@@ -1,0 +1,24 @@
+"""Work that grows with its input: what was done more than once, or for all pairs, is done once."""
+
+import datetime
+import random
+
+from pyspark.sql import functions as F
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_commits_meet_sessions_by_spans(spark):
+    from tracelode.operators import usage
+
+    rng = random.Random(3)
+    start = datetime.datetime(1969, 12, 20)
+    at = lambda: start + datetime.timedelta(seconds=rng.choice((0, 1, 3600)) * rng.randrange(700) + rng.randrange(3))
+    sessions = [(f"s{i}", rng.choice(("a", "b", None)), *sorted((at(), at()))) for i in range(120)] + [("long", "a", datetime.datetime(1, 1, 2), datetime.datetime(9999, 12, 30)), ("turned", "a", start + datetime.timedelta(days=9), start), ("open", "b", start, None)]
+    commits = [(rng.choice(("a", "b")), f"c{i}", at()) for i in range(120)] + [("a", f"e{i}", x[2 + i % 2]) for i, x in enumerate(sessions[:40])]
+    got = usage.commits_of(spark.createDataFrame(sessions, "session_key string, cwd string, start_ts timestamp, end_ts timestamp"), spark.createDataFrame(commits, "repo string, sha string, at timestamp"))
+    want = sorted((k, c) for k, d, a, z in sessions for r, c, t in commits if d == r and z is not None and a <= t <= z)
+    assert sorted((r.session_key, r.sha) for r in got.collect()) == want
+    assert "span" in next(x for x in plan(got).split("\n") if "Join" in x)

@@ -95,7 +95,25 @@ def correlated_files(commits: DataFrame, committed: DataFrame, touched: DataFram
     return t.join(c, "session_key").filter(F.col("in_commit").endswith(F.col("name"))).select("session_key", "sha", "path").distinct()
 
 
+#: Seconds of the shortest span of time, and how often spans double.
+SPAN, DOUBLED = 3_600, 20
+
+
 def commits_of(sessions: DataFrame, commits: DataFrame) -> DataFrame:
-    """(session_key, sha, at): commits(repo, sha, at) in a session's own folder between its start and its end."""
-    s = sessions.select("session_key", F.col("cwd").alias("repo"), "start_ts", "end_ts").filter("repo is not null")
-    return s.join(commits, "repo").filter("at between start_ts and end_ts").select("session_key", "sha", "at")
+    """(session_key, sha, at): commits(repo, sha, at) in a session's own folder between its start and its end.
+
+    A session's time is parted into the largest spans of one, two, four ... hours that begin at a multiple of their
+    size, and a commit stands under the one span of each size that holds it. So sessions meet commits by equal spans:
+    each pair once, and none but those that a session's first or last hour then rules out.
+    """
+    hour = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / SPAN).cast("long")
+    s = sessions.select("session_key", F.col("cwd").alias("repo"), "start_ts", "end_ts").filter("repo is not null and start_ts <= end_ts")
+    s = s.withColumns({"low": hour("start_ts"), "high": hour("end_ts") + 1})
+    # at a level, a span without a partner within the session is taken; the rest goes on in pairs
+    low, high = "-shiftright(-low, level)", "shiftright(high, level)"
+    taken = f"filter(array(if({low} % 2 <> 0, {low}, null), if({high} % 2 <> 0, {high} - 1, null)), x -> x is not null)"
+    parts = f"flatten(transform(sequence(0, {DOUBLED}), level -> transform(case when {low} >= {high} then array() when level = {DOUBLED} then sequence({low}, {high} - 1) else {taken} end, x -> struct(level, x as span))))"
+    s = s.select("session_key", "repo", "start_ts", "end_ts", F.expr(f"inline({parts})"))
+    c = commits.select("repo", "sha", "at", hour("at").alias("hour")).select("repo", "sha", "at", F.explode(F.sequence(F.lit(0), F.lit(DOUBLED))).alias("level"), "hour")
+    c = c.select("repo", "sha", "at", "level", F.expr("shiftright(hour, level)").alias("span"))
+    return s.join(c.hint("merge"), ["repo", "level", "span"]).filter("at between start_ts and end_ts").select("session_key", "sha", "at")
