@@ -22,3 +22,17 @@ def test_commits_meet_sessions_by_spans(spark):
     want = sorted((k, c) for k, d, a, z in sessions for r, c, t in commits if d == r and z is not None and a <= t <= z)
     assert sorted((r.session_key, r.sha) for r in got.collect()) == want
     assert "span" in next(x for x in plan(got).split("\n") if "Join" in x)
+
+
+def test_segments_hold_few_texts(monkeypatch):
+    import pyarrow as pa
+
+    from tracelode.operators import prompts
+
+    seen = []
+    whole = prompts.markdown_segments
+    monkeypatch.setattr(prompts, "markdown_segments", lambda x: seen.append(x) or whole(x))
+    texts = [f"a{i}\n> b\n```\nc\n```" if i % 3 else None if i % 2 else "" for i in range(3 * prompts.HELD + 5)]
+    got = prompts._segments(pa.array(texts, pa.string()))
+    assert len(got) == len(seen) == len(texts) and got.to_pylist() == [[{"kind": k, "text": x} for k, x in whole(t)] for t in texts]
+    assert len(prompts._segments(pa.array([], pa.string()))) == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,11 +94,18 @@ def markdown_segments(text: str | None) -> list[tuple[str, str]]:
     return [(k, x) for k, x in joined if x.strip()]
 
 
-def _segments(text: str) -> list[dict]:
-    return [{"kind": k, "text": x} for k, x in markdown_segments(text)]
+#: Texts whose segments are held as Python's values at once.
+HELD = 256
+_SEGMENTS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
+
+
+def _segments(texts: pa.Array) -> pa.Array:
+    few = (texts.slice(i, HELD).to_pylist() for i in range(0, len(texts), HELD))
+    made = [pa.array([[{"kind": k, "text": y} for k, y in markdown_segments(x)] for x in some], _SEGMENTS) for some in few]
+    return pa.concat_arrays(made) if made else pa.array([], _SEGMENTS)
 
 
 def segments(text: Column, injected: Column) -> Column:
     """The segments of an entry's text; what the harness wrote is injected as a whole."""
     whole = F.array(F.struct(F.lit(INJECTED).alias("kind"), text.alias("text")))
-    return F.when(text.isNull(), F.array().cast("array<struct<kind:string,text:string>>")).when(injected, whole).otherwise(F.udf(_segments, "array<struct<kind:string,text:string>>", useArrow=True)(text))
+    return F.when(text.isNull(), F.array().cast("array<struct<kind:string,text:string>>")).when(injected, whole).otherwise(F.arrow_udf(_segments, "array<struct<kind:string,text:string>>")(text))
