@@ -36,3 +36,10 @@ def test_segments_hold_few_texts(monkeypatch):
     got = prompts._segments(pa.array(texts, pa.string()))
     assert len(got) == len(seen) == len(texts) and got.to_pylist() == [[{"kind": k, "text": x} for k, x in whole(t)] for t in texts]
     assert len(prompts._segments(pa.array([], pa.string()))) == 0
+
+
+def test_a_line_is_parsed_once(spark):
+    from tracelode.operators import history
+
+    raw = spark.range(3).select(F.lit("/logs/s.jsonl").alias("file_path"), F.col("id").alias("line_no"), F.lit("{}").alias("line"))
+    assert plan(history.snapshots(raw)).lower().count("parsejson") + plan(history.snapshots(raw)).lower().count("parse_json") <= 1

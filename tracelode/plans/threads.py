@@ -168,7 +168,7 @@ def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.create_map(F.concat(F.lit("/src/f"), (F.col("k") % 10).cast("string")), file((F.col("event_id") % 4).cast("int")), F.concat(F.lit("/doc/g"), (F.col("k") % 3).cast("string")), file(F.col("k") % 5))
     snapshot = F.to_json(F.struct(F.lit("file-history-snapshot").alias("type"), F.col("event_id").cast("string").alias("messageId"), F.struct(listed.alias("trackedFileBackups")).alias("snapshot")))
     other = F.to_json(F.struct(F.lit("user").alias("type"), F.concat(F.lit("no file-history-snapshot "), "event_type").alias("content")))
-    raw = e.select(F.concat(F.lit("/logs/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("file_path"), F.col("event_id").alias("line_no"), F.when(F.col("event_type") == "click", other).otherwise(snapshot).alias("line"))
+    raw = e.select(F.concat(F.lit("/logs/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("file_path"), F.col("event_id").alias("line_no"), F.explode(F.array(F.when(F.col("event_type") == "click", other).otherwise(snapshot))).alias("line"))  # made once, not again in each filter
     return history.file_history(history.snapshots(raw)).select("session_key", "path", "version", "line_no")
 
 

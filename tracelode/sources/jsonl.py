@@ -52,11 +52,12 @@ def parsed(raw: DataFrame) -> DataFrame:
     """raw lines with v, the parsed value (null for blank lines and those that aren't one JSON object and nothing else), and status."""
     # within brackets, text after the object is an error and a second object is a second element
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))), "$", "array<variant>")
-    v = F.get(items, 0)
-    ok = F.coalesce((F.size(items) == 1) & F.ltrim("line").startswith("{"), F.lit(False))
+    # filters on what follows stop at the generated column: a line isn't parsed again for each of them
+    r = raw.select("*", F.explode(F.array(items)).alias("_items"))
+    ok = F.coalesce((F.size("_items") == 1) & F.ltrim("line").startswith("{"), F.lit(False))
     blank = F.trim("line") == ""
     status = F.when(blank, "empty").when(ok, "parsed").otherwise("skipped")
-    return raw.withColumn("v", F.when(ok, v)).withColumn("status", status)
+    return r.select(*[c for c in raw.columns if c not in ("v", "status")], F.when(ok, F.get("_items", F.lit(0))).alias("v"), status.alias("status"))
 
 
 def parse_statistics(p: DataFrame) -> DataFrame:
