@@ -43,3 +43,15 @@ def test_a_line_is_parsed_once(spark):
 
     raw = spark.range(3).select(F.lit("/logs/s.jsonl").alias("file_path"), F.col("id").alias("line_no"), F.lit("{}").alias("line"))
     assert plan(history.snapshots(raw)).lower().count("parsejson") + plan(history.snapshots(raw)).lower().count("parse_json") <= 1
+
+
+def test_postings_of_a_bin_are_dealt_by_slices(spark, sf_dir, monkeypatch):
+    from tracelode.operators import index
+    from tracelode.plans import logs
+
+    whole = logs._document_index(spark, sf_dir)
+    want = (sorted(map(tuple, whole._read("postings", index.POSTINGS).collect())), whole.narrowed("licen").first())
+    monkeypatch.setattr(index, "SLICE", 20)
+    sliced = logs._document_index(spark, sf_dir)
+    assert (sorted(map(tuple, sliced._read("postings", index.POSTINGS).collect())), sliced.narrowed("licen").first()) == want
+    assert len(set(want[0])) == len(want[0])

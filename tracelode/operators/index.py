@@ -22,6 +22,8 @@ TOKENS = "token string, gen long, bin int"
 KEY = ["gen", "shard", "session_key", "line_no", "block_no"]
 #: Shards of sessions and bins of tokens; bytes from which on a token isn't listed; the token of segments that hold such.
 SHARDS, BINS, LONG, ANY = 64, 64, 40, ""
+#: Segments whose postings of a bin go to one task.
+SLICE = 1_000_000
 MANIFEST = "session_key string, fingerprint string, entries long, segments long, gen long, generation long"
 
 
@@ -102,8 +104,10 @@ class Index:
             return
         listed = self.spark.read.schema(SEGMENTS.replace(", gen long", "")).parquet(part("segments"))
         listed = listed.select(F.explode(tokens_of(F.col("text"))).alias("token"), *KEY[1:]).withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(BINS)).cast("int"))
-        by = ["bin", "token", "session_key", "line_no"]  # a frequent token is split by sessions
-        listed.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("bin").parquet(part("postings"))
+        # dealt by bin and a slice of the lines, so a frequent token is split too; ranges would find all tokens once more to sample them
+        n = self.spark.read.schema("line_no long").parquet(part("segments")).count()
+        slice_ = F.pmod(F.xxhash64("session_key", "line_no"), F.lit(n // SLICE + 1))
+        listed.repartition("bin", slice_).sortWithinPartitions("bin", "token", "session_key", "line_no").write.mode("overwrite").partitionBy("bin").parquet(part("postings"))
         # the postings stand sorted by token, so their distinct ones are found without going over the texts again
         posted = self.spark.read.schema("bin int, token string").parquet(part("postings"))
         posted.distinct().repartition("bin").write.mode("overwrite").partitionBy("bin").parquet(part("tokens"))
@@ -125,11 +129,12 @@ class Index:
 
     def narrowed(self, word: str) -> DataFrame:
         """One row: segments in all, candidates of a literal, and how many of these only because of a long or non-ASCII token."""
-        sure = self._read("postings", POSTINGS).join(self._read("tokens", TOKENS).filter(F.col("token").contains(word)), ["gen", "bin", "token"], "left_semi").select(*KEY).distinct()
+        hit = self._read("tokens", TOKENS).filter(F.col("token").contains(word) | (F.col("token") == ANY))
+        posted = self._read("postings", POSTINGS).join(hit, ["gen", "bin", "token"], "left_semi")
         live = self.current().select("session_key", "gen")
-        n = lambda df, name: df.join(live, ["session_key", "gen"], "left_semi").agg(F.count("*").alias(name))
-        found = self.candidates(word)
-        return n(self._read("segments", SEGMENTS), "segments").crossJoin(n(found, "candidates")).crossJoin(n(found.join(sure, KEY, "left_anti"), "fallback"))
+        found = posted.groupBy(*KEY).agg(F.bool_or(F.col("token") != ANY).alias("sure")).join(live, ["session_key", "gen"], "left_semi")
+        count = self._read("segments", SEGMENTS).join(live, ["session_key", "gen"], "left_semi").agg(F.count("*").alias("segments"))
+        return count.crossJoin(found.agg(F.count("*").alias("candidates"), F.count_if(~F.col("sure")).alias("fallback")))
 
     def compact(self) -> int:
         """Writes the current sessions' segments as one generation and removes the others; says how many generations went. Readers that started before have to start again."""
