@@ -77,3 +77,13 @@ def test_redaction_with_conditions_is_that_without(spark, monkeypatch):
     with_ = made()
     monkeypatch.setattr(redact, "_may", lambda kind, text: F.lit(True))
     assert with_ == made()
+
+
+def test_violations_join_once(spark):
+    from tracelode.sources import envelope
+
+    raw = spark.createDataFrame([("f", 1, "{}")], "file_path string, line_no long, line string")
+    entries = spark.createDataFrame([("f", "x", [1])], "file_path string, entry_id string, origins array<long>")
+    df = envelope.violations(raw, entries, spark.createDataFrame([], envelope.DISPOSITIONS))
+    assert plan(df).count("FullOuter") == 2
+    assert sorted((r.record, r.violation) for r in df.collect()) == [(1, "entry that its record doesn't name"), (1, "record without a disposition")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index, lessons, replay, usage, validation
 from ..sources import envelope, jsonl
-from ..sources.tables import kept_path, load
+from ..sources.tables import kept, kept_path, load
 from .catalogue import register
 
 #: What calls give, in turn: tool, command, result, native flag.
@@ -240,7 +240,7 @@ def second_dialect_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the account of the second dialect lacks once some dispositions are taken away and others given twice."""
-    raw = second_dialect(spark, sf_dir)
+    raw = kept(second_dialect(spark, sf_dir), "lines")
     n = envelope.normalized(raw)
     d = n.dispositions.filter("record % 13 <> 5")
     return envelope.violations(raw, n.entries, d.union(d.filter("record % 13 = 6"))).select("file_path", "record", "violation")
