@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,29 +91,33 @@ def suffix_array(data: np.ndarray, depth: int, starts: np.ndarray) -> np.ndarray
     Prefix doubling: ranks by seven symbols, then by pairs of ranks, each time among those that are still equal.
     """
     n, seen = len(data), 7
-    padded = np.concatenate((data.astype(np.int64), np.zeros(7, np.int64)))
+    padded = np.concatenate((data.astype(np.uint16), np.zeros(7, np.uint16)))
     key = np.zeros(n, np.int64)
     for k in range(7):
         key <<= 9
         key |= padded[k : k + n]
-    rank = np.zeros(n + 1, np.int64)  # the last one is that of the end
+    rank = np.zeros(n + 1, np.int32)  # the last one is that of the end
     rank[n] = -1
-    open_, found = np.arange(n), np.arange(n)
+    open_ = found = np.arange(n, dtype=np.int32)
     while True:
         order = np.argsort(key)
         open_, key = open_[order], key[order]
-        here, before = np.arange(len(open_)), rank[open_]
+        del order
+        here, before = np.arange(len(open_), dtype=np.int32), rank[open_]
         new, old = np.ones(len(open_), bool), np.ones(len(open_), bool)
         np.not_equal(key[1:], key[:-1], out=new[1:])
         np.not_equal(before[1:], before[:-1], out=old[1:])
         rank[open_] = before + np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(old, here, 0))
+        del here, before, old, key
         new = np.append(new, True)
         open_ = open_[~(new[:-1] & new[1:])]
         if seen <= depth:
             found = open_
         if not len(open_):
             break
-        key = rank[open_] * (n + 1) + rank[np.minimum(open_ + seen, n)] + 1
+        key = rank[open_].astype(np.int64)
+        key *= n + 1
+        key += rank[np.minimum(open_ + seen, n)] + 1
         seen *= 2
     found = found[starts[found]]
     return found[np.argsort(rank[found])]
@@ -120,7 +125,7 @@ def suffix_array(data: np.ndarray, depth: int, starts: np.ndarray) -> np.ndarray
 
 def common_prefixes(data: np.ndarray, ends: np.ndarray, places: np.ndarray, block: int = 8_192) -> np.ndarray:
     """Symbols that each of the suffixes data[i:ends[i]] shares with the one before it."""
-    common = np.zeros(len(places), np.int64)
+    common = np.zeros(len(places), np.int32)
     size = ends[places] - places
     depth = int(size.max()) if len(size) else 0
     rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(depth + 1, data.dtype))), depth + 1)
@@ -135,7 +140,8 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, places: np.ndarray, bloc
 def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(common prefix, first, last) of every interval of the array whose members share at least `least` bytes, inner ones first."""
     stack: list[tuple[int, int]] = []  # (common prefix, first member) of the open intervals
-    for i, value in enumerate([*common[1:].tolist(), 0], 1):
+    blocks = (common[low : low + 8_192].tolist() for low in range(1, len(common), 8_192))
+    for i, value in enumerate(chain(chain.from_iterable(blocks), (0,)), 1):
         first = i - 1
         while stack and stack[-1][0] > value:
             depth, first = stack.pop()
@@ -151,9 +157,9 @@ def maximal_repeats(data: np.ndarray, ends: np.ndarray, first: np.ndarray, least
     to their left differs from everything. An interval whose members all have the same symbol to their left can be
     extended, and is no maximal repeat.
     """
-    places = suffix_array(data, least, ends - np.arange(len(data)) >= least)
+    places = suffix_array(data, least, ends - np.arange(len(data), dtype=ends.dtype) >= least)
     common = common_prefixes(data, ends, places)
-    before = np.where(first[places], -1, data[places - 1].astype(np.int64))
+    before = np.where(first[places], -1, data[places - 1].astype(np.int32))
     # whole trees whose members have the same symbol to their left hold no maximal repeat
     tree = np.cumsum(common < least) - 1
     low, high = (np.full(tree[-1] + 1 if len(tree) else 0, x) for x in (999, -999))
@@ -172,8 +178,9 @@ def repeats_of(parts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarra
     """(length, parts, places within them) of the maximal repeats of `length` bytes or more among the parts, inner ones first."""
     size = np.array([len(p) for p in parts], np.int64) + 1
     base = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(parts)), size)
-    ends = (base + size - 1)[of]
+    # numbers of 32 bits: an array's working memory is many times its bytes
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), size)
+    ends = (base + size - 1).astype(np.int32)[of]
     data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     data[base + size - 1] = 0
     first = np.zeros(len(data), bool)
