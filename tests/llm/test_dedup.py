@@ -171,6 +171,39 @@ def test_a_bucket_compares_all_its_pairs(spark):
         simhash.CROWD = keep
 
 
+def test_a_bucket_tells_differences_in_a_sign_bit(spark):
+    """Texts one bit apart, the highest of a lane; of a group with values, those that share one."""
+    from tracelode.llm import simhash
+
+    bits = [[0] * simhash.LANES, [-(2**63)] + [0] * (simhash.LANES - 1), [0] * (simhash.LANES - 1) + [-2]]
+    schema = "key long, tid long, root long, n long, " + ", ".join(f"s{i} long" for i in range(simhash.LANES))
+    rows = [(9, i, i, 3, *x) for i, x in enumerate(bits)]
+    assert {(r.a, r.b) for r in simhash._crowded_pairs(spark.createDataFrame(rows, schema), 1).collect()} == {(1, 0)}
+    shared = [[5, 6], [7], [6, 7]]
+    df = spark.createDataFrame([(*r, v) for r, v in zip(rows, shared, strict=True)], schema + ", values array<long>")
+    assert {(r.a, r.b) for r in simhash._crowded_pairs(df, 640).collect()} == {(2, 0), (2, 1)}
+
+
+def test_a_crowd_has_a_row_for_each_text_met(spark, monkeypatch):
+    """Texts of a template that share many values with few leaders: the rows compared are by leader, not by value."""
+    from tracelode.llm import simhash
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    template, texts = [word() for _ in range(300)], []
+    for _ in range(60):
+        copy = list(template)
+        for i in rng.sample(range(300), 8):
+            copy[i] = word()
+        texts.append(" ".join(copy))
+    tables, written = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, what: tables.setdefault(what, []).append(written(df, what)) or tables[what][-1])
+    simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "tid long, text string"))
+    met = tables["met"][0].filter("n > 2 and tid <> leader")
+    pairs = met.select("leader", "tid").distinct().count()
+    assert tables["rest"][0].count() == pairs < met.count()
+
+
 def test_later_links_join_components(spark):
     """Links between components, to texts in none, and among such, beside components that stay."""
     from tracelode.llm import simhash

@@ -35,9 +35,7 @@ BLOCK = 1 << 15
 LANES, SEGMENT, FLIPS = 10, 32, 4
 #: Texts of a task whose copies are told at once.
 SEEN = 500_000
-#: Texts under one lookup value whose pairs of different components are listed.
-FEW = 6
-#: Texts under one lookup value that a task compares with one another; more are dealt in blocks, and all pairs of blocks compared.
+#: Texts of a group that a task compares with one another; more are dealt in blocks, and all pairs of blocks compared.
 CROWD = 4096
 
 
@@ -238,7 +236,10 @@ def _within(pairs: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
 
 
 def _close_pairs(group: np.ndarray, tid: np.ndarray, root: np.ndarray, block: np.ndarray, bits: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of one group, the pairs within `limit` bits that no component joins yet; of two blocks, one text from each."""
+    """Of one value's texts, the pairs within `limit` bits that no component joins yet; of two blocks, one text from each.
+
+    bits are unsigned: of a negative number numpy counts the bits of its absolute value.
+    """
     names, sizes = np.unique(root, return_counts=True)
     rest = root != names[sizes.argmax()]
     order = np.argsort(~rest, kind="stable")  # those of the largest component come last and need not meet each other
@@ -253,37 +254,53 @@ def _close_pairs(group: np.ndarray, tid: np.ndarray, root: np.ndarray, block: np
             yield np.maximum(other, tid[i]), np.minimum(other, tid[i])
 
 
+def _group_pairs(t: np.ndarray, value: np.ndarray, row: np.ndarray, limit: int) -> np.ndarray:
+    """The distinct pairs, (n, 2), of one group's rows t: those close under one of the values, of which row[i] has value[i]."""
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    ends, root = np.r_[starts[1:], len(value)], t[row, 5]
+    apart = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    found = []
+    for x, y in zip(starts[apart].tolist(), ends[apart].tolist(), strict=True):
+        own = t[row[x:y]]
+        found += [np.stack(p, axis=1) for p in _close_pairs(own[0], own[:, 4], own[:, 5], own[:, 3], own[:, 6:].view(np.uint64), limit)]
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+
 def _crowded_pairs(rows: DataFrame, limit: int) -> DataFrame:
-    """(a, b): all pairs of different components within `limit` bits, of the texts under one value, rows(key, tid, root, n, s0, ...)."""
+    """(a, b): pairs of different components within `limit` bits, of the texts of a group, rows(key, tid, root, n, s0, ...).
+
+    With a column `values`, an array of longs, only texts that share one of them are compared, else all of a group.
+    """
     blocks = F.ceil(F.col("n") / CROWD).cast("int")
     own = rows.withColumn("block", F.pmod(F.xxhash64("tid"), blocks).cast("int"))
+    shared = F.col("values") if "values" in rows.columns else F.array("key")
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tid", "root", *[f"s{i}" for i in range(LANES)]
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tid", "root", *[f"s{i}" for i in range(LANES)], shared.alias("values")
     )
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(t: np.ndarray, last: bool) -> tuple[list, np.ndarray]:
-            starts = np.flatnonzero(np.r_[True, (t[1:, :3] != t[:-1, :3]).any(axis=1)])
-            ends = np.r_[starts[1:], len(t)]
-            done = len(starts) if last else len(starts) - 1  # the last group may go on in the next batch
-            found = [p for x, y in zip(starts[:done].tolist(), ends[:done].tolist(), strict=True) for p in _close_pairs(t[x], t[x:y, 4], t[x:y, 5], t[x:y, 3], t[x:y, 6:], limit)]
-            return found, t[len(t) if last else starts[-1] :]
-
-        held = None
-        for b in itertools.chain(batches, [None]):
+        held = None  # rows, and the values of each
+        for b in itertools.chain((x for x in batches if x.num_rows), [None]):
             if b is not None:
-                if not b.num_rows:
-                    continue
-                t = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1)
-                held = t if held is None else np.concatenate([held, t])
-            if held is None or not len(held):
+                t = np.stack([c.to_numpy().astype(np.int64) for c in b.columns[:-1]], axis=1)
+                new = t, np.diff(b.column(b.num_columns - 1).offsets.to_numpy()), b.column(b.num_columns - 1).flatten().to_numpy()
+                held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            if held is None:
                 continue
-            found, held = compared(held, b is None)
-            if found:
-                x, y = (np.concatenate([p[k] for p in found]) for k in (0, 1))
-                for low in range(0, len(x), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 100_000]), pa.array(y[low : low + 100_000])], names=["a", "b"])
+            t, n, value = held
+            ends = np.r_[np.flatnonzero((t[1:, :3] != t[:-1, :3]).any(axis=1)) + 1, len(t)]
+            at = np.r_[0, np.cumsum(n)]
+            x = 0
+            for y in (ends if b is None else ends[:-1]).tolist():  # the last group may go on in the next batch
+                pairs = _group_pairs(t[x:y], value[at[x] : at[y]], np.repeat(np.arange(y - x), n[x:y]), limit)
+                for low in range(0, len(pairs), 100_000):
+                    part = pairs[low : low + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+                x = y
+            held = t[x:], n[x:], value[at[x] :]
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -330,8 +347,9 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     table, the values reached by flipping its least certain bits, and is in the table under them too, so two texts
     meet where their differences in a segment lie among the doubtful bits of either. Of those that meet under a value
     all pairs are compared: first each with one of them, in two rounds of half the segments each, the nearest of a
-    text's before the others, then, where that leaves more than one component, all pairs of different components; these are listed where the texts are few, and
-    else compared by a task. Pairs with near enough fingerprints are verified by their sets of shingles before they
+    text's before the others, then, where that leaves more than one component, all pairs of different components. For these the
+    values are grouped by that one text, so that a text has a row for each it met, not for each value, and a task compares those
+    of a group that share a value. Pairs with near enough fingerprints are verified by their sets of shingles before they
     link; those that are joined already aren't.
     What is lost are pairs that never meet: at a similarity of 0.8 four in a hundred, at 0.85 less than one (simulated).
     """
@@ -346,15 +364,11 @@ def similar_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     roots = _linked(led.filter(F.shiftright("key", 32) < half).select(F.col("tid").alias("a"), F.col("leader").alias("b")), None, bits, limit, texts, words, similarity)
     roots = _linked(led.filter(F.shiftright("key", 32) >= half).select(F.col("tid").alias("a"), F.col("leader").alias("b")), roots, bits, limit, texts, words, similarity)
     # all under a value have met their leader; any other two need to be compared unless they are joined already
-    looked = met.filter("n > 2 and tid <> leader").groupBy("tid").agg(F.collect_list(F.struct("key", "n")).alias("l"))  # as many as a text's lookups at most
-    rest = written(looked.join(roots, "tid", "left").select("tid", F.coalesce("root", "tid").alias("root"), F.inline("l")), "rest")
-    few = rest.filter(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("root", "tid")).alias("l"))
-    other = "transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(greatest(x.tid, y.tid) as a, least(x.tid, y.tid) as b))"
-    few = few.select(F.inline(F.expr(f"flatten(transform(l, (x, i) -> {other}))")))
-    rest = rest.filter(F.col("n") > FEW)
-    apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    crowd = rest.join(apart, "key").join(bits, "tid").select("key", "tid", "root", "n", *[f"s{i}" for i in range(LANES)])
-    close = written(_crowded_pairs(crowd, limit).union(_within(few, bits, limit).select("a", "b")).distinct(), "close")
+    met = met.filter("n > 2 and tid <> leader").groupBy("leader", "tid").agg(F.collect_list("key").alias("values"))  # as many as a text's lookups at most
+    rest = written(met.withColumnRenamed("leader", "key").join(roots, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"), "values"), "rest")
+    apart = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
+    crowd = rest.join(apart, "key").join(bits, "tid").select("key", "tid", "root", "n", "values", *[f"s{i}" for i in range(LANES)])
+    close = written(_crowded_pairs(crowd, limit), "close")
     more = written(verified(close, shingle_sets(close, texts, words), similarity), "more-links")
     return _joined(roots, more) if more.head(1) else roots
 
